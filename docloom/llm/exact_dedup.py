@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, materialise
+from docloom.llm.common import SPACE, materialise, ship_package
 
 SLOTS = 4
 KICKS = 200
@@ -190,6 +190,7 @@ def build_index(rows: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     ops = rows.select("digest", "doc_id", F.lit(1).cast("long").alias("n"), F.lit(0).alias("gone"))
     if removed is not None:
         ops = ops.unionByName(removed.select("digest", F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("gone")))
+    ship_package(rows.sparkSession)
     dealt = ops.mapInArrow(combine, f"digest binary, doc_id {kind}, n long, gone int").repartition("digest")
     return dealt.mapInArrow(index, f"digest binary, keep_id {kind}, group_size long")
 

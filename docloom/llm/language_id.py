@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import hash32
+from docloom.llm.common import hash32, ship_package
 from docloom.llm.textbuffer import strings
 
 #: Bins of the n-grams of length 1, 2, 3 and 4.
@@ -108,31 +108,53 @@ def predict(docs: DataFrame, model: KernelModel, *, id_col: str = "doc_id", text
     A null text, or one without a letter, is ``und`` with score 0; so is every text if the model has
     learned no language. Empty tables, repeated rows and other columns need no care.
     """
-    languages, weights = model.languages, model.weights
-    block = 64
+    label = _labeller(model)
 
     def run(batches):
-        own = KernelModel(languages, weights)
         for batch in batches:
-            texts, valid = strings(batch.column("text"))
-            labels, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if languages:
-                for at in range(0, len(texts), block):
-                    rows = [i for i in range(at, min(at + block, len(texts))) if valid[i] and _has_letter(texts[i])]
-                    if rows:
-                        best, p = own.score([texts[i] for i in rows])
-                        scores[rows] = p
-                        for i, k in zip(rows, best, strict=True):
-                            labels[i] = languages[k]
-            rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
+            labels, scores = label(batch.column("text"))
             names = [name for name in batch.schema.names if name != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(labels, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(labels, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *(c for c in keep), F.col(text_col).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    ship_package(docs.sparkSession)
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def keep_determined(docs: DataFrame, model: KernelModel, *, text_col: str = "text") -> DataFrame:
+    """The documents whose language the model can tell, with all their columns; ``und`` ones go."""
+    label, at = _labeller(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            labels, _ = label(batch.column(at))
+            yield batch.filter(pa.array([x != UNDETERMINED for x in labels], pa.bool_()))
+
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _labeller(model: KernelModel, block: int = 64):
+    """A function from a string column to its languages and scores, 64 texts at a time."""
+    languages, weights = model.languages, model.weights
+
+    def label(column: pa.Array) -> tuple[list[str], np.ndarray]:
+        own = KernelModel(languages, weights)
+        texts, valid = strings(column)
+        labels, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        for at in range(0, len(texts) if languages else 0, block):
+            rows = [i for i in range(at, min(at + block, len(texts))) if valid[i] and _has_letter(texts[i])]
+            if rows:
+                best, p = own.score([texts[i] for i in rows])
+                scores[rows] = p
+                for i, k in zip(rows, best, strict=True):
+                    labels[i] = languages[k]
+        return labels, scores
+
+    return label
+
+
 def _has_letter(raw: np.ndarray) -> bool:
     if ((raw | 32) - 97 < 26).any():  # unsigned: anything below a wraps round
         return True
