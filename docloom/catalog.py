@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+FAMILIES = ("retrieval", "text", "compute", "tree", "structure", "views", "tools", "scoring", "plans", "events")
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _name in FAMILIES:
+    _family = import_module(f"docloom.queries.{_name}").FAMILY
+    QUERIES |= _family.queries
+    ORACLES |= _family.oracles

@@ -1 +1 @@
-
+"""Plans of questions: intermediate form, validation, lowering, execution."""
