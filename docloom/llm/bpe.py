@@ -25,35 +25,42 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import ship_package
 
-#: Words kept by a worker, text handled at once (characters), words in one recursive query.
-KEPT_WORDS, BLOCK, WORDS_A_QUERY = 400_000, 1 << 20, 25_000
-#: Bytes from which a word is long; rounds of one recursive query, which go on in the next.
-LONG, ROUNDS = 256, 48
+#: Words kept by a worker, text handled at once (characters).
+KEPT_WORDS, BLOCK = 800_000, 3 << 20
+#: Bytes from which a word is long. Rows that a query over short words may make (at most the squares of
+#: their lengths), and rounds of a query over a long word, which go on in the next query.
+LONG, ROWS_A_QUERY, ROUNDS = 64, 8_000_000, 48
 
-_CONTRACT = """
+_SHORT = """
 WITH RECURSIVE t AS (
-  SELECT word, pos, tok, 0 AS round, false AS done FROM tokens
+  SELECT word, pos, tok, next_tok, false AS done FROM tokens
   UNION ALL
-  (WITH pairs AS (SELECT word, pos, tok, round, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next_tok FROM t WHERE NOT done AND round < {rounds}),
-        ranked AS (SELECT pairs.*, m.rank, (m.rank::BIGINT << 40) | pos AS key FROM pairs LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok)),
-        {chosen}
-   SELECT word, pos, CASE WHEN here THEN rank ELSE tok END, round + 1, nothing FROM chosen WHERE NOT before)
+  (WITH ranked AS (SELECT word, pos, tok, next_tok, (m.rank::BIGINT << 40) | pos AS key FROM t LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok) WHERE NOT done),
+        chosen AS (SELECT *, min(key) OVER (PARTITION BY word) AS best, lag(key) OVER in_word AS key_before, lead(key) OVER in_word AS key_after, lead(next_tok) OVER in_word AS after_next
+                   FROM ranked WINDOW in_word AS (PARTITION BY word ORDER BY pos))
+   SELECT word, pos, CASE WHEN key = best THEN (best >> 40)::INT ELSE tok END,
+          CASE WHEN key = best THEN after_next WHEN key_after = best THEN (best >> 40)::INT ELSE next_tok END, best IS NULL
+   FROM chosen WHERE best IS NULL OR key_before IS NULL OR key_before <> best)
 )
-SELECT word, pos, tok, done FROM t WHERE done OR round = {rounds}
-"""
-
-_LEFTMOST = """
-        lowest AS (SELECT *, min(key) OVER (PARTITION BY word) AS best, lag(key) OVER (PARTITION BY word ORDER BY pos) AS key_before FROM ranked),
-        chosen AS (SELECT *, best IS NULL AS nothing, coalesce(key = best, false) AS here, coalesce(key_before = best, false) AS before FROM lowest)
+SELECT word, string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS bytes
+FROM t JOIN pieces USING (tok) WHERE done GROUP BY word
 """
 
-_ALL_PLACES = """
+_LONG = f"""
+WITH RECURSIVE t AS (
+  SELECT word, pos, tok, 0 AS round, false AS done FROM tokens
+  UNION ALL
+  (WITH pairs AS (SELECT word, pos, tok, round, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next_tok FROM t WHERE NOT done AND round < {ROUNDS}),
+        ranked AS (SELECT pairs.*, m.rank FROM pairs LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok)),
         lowest AS (SELECT *, min(rank) OVER (PARTITION BY word) AS best, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM ranked),
         hits AS (SELECT *, coalesce(rank = best, false) AS hit FROM lowest),
         runs AS (SELECT *, n - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run, row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS nth FROM hits),
         picked AS (SELECT *, hit AND CASE WHEN best IN (SELECT tok FROM unsafe) THEN nth = 1
                                           ELSE row_number() OVER (PARTITION BY word, hit, run ORDER BY pos) % 2 = 1 END AS here FROM runs),
-        chosen AS (SELECT *, best IS NULL AS nothing, coalesce(lag(here) OVER (PARTITION BY word ORDER BY pos), false) AS before FROM picked)
+        chosen AS (SELECT *, coalesce(lag(here) OVER (PARTITION BY word ORDER BY pos), false) AS before FROM picked)
+   SELECT word, pos, CASE WHEN here THEN rank ELSE tok END, round + 1, best IS NULL FROM chosen WHERE NOT before)
+)
+SELECT word, pos, tok, done FROM t WHERE done OR round = {ROUNDS}
 """
 
 _JOINED = """
@@ -96,40 +103,59 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Contract words that are not known yet."""
-        if len(self.ids) + len(words) > KEPT_WORDS:
-            self.ids.clear()
-            self.text.clear()
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        short = [i for i, r in enumerate(raw) if len(r) <= LONG]
-        for at in range(0, len(short), WORDS_A_QUERY):
-            self._contract([words[i] for i in short[at : at + WORDS_A_QUERY]], [raw[i] for i in short[at : at + WORDS_A_QUERY]], _LEFTMOST)
-        for word, r in zip(words, raw, strict=True):
-            if len(r) > LONG:
-                self._contract([word], [r], _ALL_PLACES)
-
-    def _contract(self, words: list[str], raw: list[bytes], chosen: str) -> None:
+        part, rows = [], 0
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            if len(raw) > LONG:
+                self._long(word, raw)
+                continue
+            part.append((word, raw))
+            rows += len(raw) ** 2
+            if rows > ROWS_A_QUERY:
+                self._short(part)
+                part, rows = [], 0
+        self._short(part)
+
+    def _bytes(self, raw: list[bytes]) -> dict:
+        """The words as token rows, one a byte, with the token after each (-1 at the end)."""
         sizes = np.array([len(r) for r in raw])
         ends = np.cumsum(sizes)
-        word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
+        tok = self.bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        after = np.append(tok[1:], np.int32(-1))
+        after[ends - 1] = -1
         pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-        self._table("tokens", {"word": word, "pos": pos, "tok": self.bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)]})
+        return {"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": pos, "tok": tok, "next_tok": after}
+
+    def _short(self, part: list[tuple[str, bytes]]) -> None:
+        if part:
+            self._table("tokens", self._bytes([raw for _, raw in part]))
+            self._keep([word for word, _ in part], self.db.execute(_SHORT).fetchall())
+
+    def _long(self, word: str, raw: bytes) -> None:
+        self._table("tokens", self._bytes([raw]))
         self.db.execute("CREATE OR REPLACE TEMP TABLE finished (word INT, pos INT, tok INT)")
-        query = _CONTRACT.format(rounds=ROUNDS, chosen=chosen)
         while True:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE round_out AS {query}")
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE round_out AS {_LONG}")
             self.db.execute("INSERT INTO finished SELECT word, pos, tok FROM round_out WHERE done")
             if not self.db.execute("SELECT count(*) FROM round_out WHERE NOT done").fetchall()[0][0]:
                 break
             self.db.execute("CREATE OR REPLACE TEMP TABLE tokens AS SELECT word, pos, tok FROM round_out WHERE NOT done")
-        for k, ids, hexed in self.db.execute(_JOINED).fetchall():
+        self._keep([word], self.db.execute(_JOINED).fetchall())
+
+    def _keep(self, words: list[str], rows: list[tuple]) -> None:
+        for k, ids, hexed in rows:
             self.ids[words[k]], self.text[words[k]] = ids, bytes.fromhex(hexed)
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """The words of each text, all of them learned."""
         split = [self.find(t) for t in texts]
-        self.learn(sorted(set().union(*split).difference(self.ids)))
-        if any(w not in self.ids for w in set().union(*split)):  # the memory was cleared to make room
-            self.learn(sorted(set().union(*split).difference(self.ids)))
+        wanted = set().union(*split)
+        new = wanted.difference(self.ids)
+        if len(self.ids) + len(new) > KEPT_WORDS:
+            self.ids.clear()
+            self.text.clear()
+            new = wanted
+        self.learn(sorted(new))
         return split
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
