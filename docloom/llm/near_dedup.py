@@ -10,10 +10,11 @@ bands a sketch: two sets of similarity 0.8 share no band with a probability of 5
 2. Classes that share a band key are a bucket. In each bucket every class is compared with the smallest
    one. Sizes and the collision-corrected estimate drop hopeless pairs (five and a half standard
    deviations under the threshold); the others are verified on their full shingle sets.
-3. Verified links merge classes into components. Where a bucket still has several components, its
-   members are compared across components in rounds: first a few of them, chosen by hash, with all,
-   then eight times as many, at last everybody. Members that a round connects need no more comparison,
-   so a large group of copies costs few comparisons a member, and no link between components is lost.
+3. Verified links merge classes into components. Buckets that still hold several components are joined,
+   where they share members, to clusters; each cluster is cut into blocks of bounded size, and every two
+   blocks meet in one task. It compares the pairs of different components that share a band, on full
+   sets, and returns only links that join components. So no pair that the bands propose goes untested,
+   yet neither all pairs nor a whole cluster ever lie in one place.
 
 All tables between the steps are written in the shared folder: any executor can be lost, plans stay
 short, and joins on keys that many rows share start from exchanges that adaptive execution can split.
@@ -37,8 +38,8 @@ _VALUE_BITS = 64 - _INDEX_BITS
 COLLISION = 0.18 / (1 << MANTISSA)
 #: Standard deviations that an estimate may lie under the threshold before a pair is dropped unverified.
 MARGIN = 5.5
-#: Growth of the number of members that a round compares with all others of their bucket.
-GROWTH_BITS = 3
+#: Bounds of a block of a cluster: members, and shingles on average.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 128, 100_000
 
 _STARTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(_VALUE_BITS)
 _ORDER = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=np.uint64) + np.uint64(77)).reshape(REGISTERS, REGISTERS), axis=1)
@@ -128,6 +129,65 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(same * 100 >= (F.size("x") + F.size("y") - same) * round(threshold * 100)).select("a", "b")
 
 
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of components from ``id, component, cluster``: pairs of component labels to be merged."""
+    percent = round(threshold * 100)
+    full = members.join(classes.select("id", "sketch"), "id").join(sets, "id")
+    size = full.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS)), F.ceil(F.sum(F.size("shingles")) / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    placed = full.join(materialise(size, "near-blocks"), "cluster").withColumn("block", F.pmod(hash32(F.col("id"), "block/"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
+    sent = placed.withColumn("to", F.explode(pairs)).select("cluster", "to.i", "to.j", "block", "id", "component", "sketch", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        links = _block_links(table, percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return sent.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Components linked across two blocks (or within one), each merger once."""
+    table = table.combine_chunks()
+    blocks, bands = table["block"].to_numpy(), np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
+    column = table["shingles"].chunk(0)
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    sets = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    root = {c: c for c in table["component"].to_pylist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    component = table["component"].to_pylist()
+    first = np.flatnonzero(blocks == table["i"][0].as_py())
+    second = np.flatnonzero(blocks == table["j"][0].as_py())
+    size = np.array([len(sets[k]) for k in second])
+    owner = np.repeat(np.arange(len(second)), size)
+    every = np.concatenate([sets[k] for k in second])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    out = []
+    for k in first:
+        mine = find(component[k])
+        other = np.array([find(component[m]) for m in second])
+        hopeful = (other != mine) & (bands[second] == bands[k]).any(axis=1)
+        n = len(sets[k])
+        hopeful &= np.minimum(size, n) * 100 >= np.maximum(size, n) * percent
+        if not hopeful.any():
+            continue
+        lo, hi = np.searchsorted(every, sets[k], "left"), np.searchsorted(every, sets[k], "right")
+        spans = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+        same = np.bincount(owner[at], minlength=len(second))
+        for m in np.flatnonzero(hopeful & (same * 100 >= (size + n - same) * percent)):
+            a, b = find(component[k]), find(component[second[m]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((min(a, b), max(a, b)))
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` (smallest id reachable) of every id in ``links`` (a, b).
 
@@ -191,28 +251,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     first = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = _links(first, reps, sets, threshold)
     labels = components(links)
-    largest = members.agg(F.max("m")).head()[0] or 0
-    levels = 0
-    while largest >> (GROWTH_BITS * (levels + 1)) > 0:
-        levels += 1
-    level = F.least(F.lit(levels), F.floor((F.lit(32) - F.length(F.bin(hash32(F.col("id"), "round/"))) + F.when(hash32(F.col("id"), "round/") == 0, 1).otherwise(0)) / GROWTH_BITS))
-    for now in range(levels, -1, -1) if largest > 2 else ():
-        labelled = members.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        labelled = materialise(labelled.withColumn("level", level), "near-labelled")
-        open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-        left = materialise(labelled.join(open_, "band", "left_semi").where(F.col("level") <= now), "near-open")
-        drop(labelled)
-        chosen = left.where(F.col("level") == now).select("band", F.col("id").alias("p"), F.col("component").alias("pc"))
-        across = chosen.join(left, "band").where((F.col("pc") != F.col("component")) & ((F.col("level") < now) | (F.col("p") < F.col("id"))))
-        pairs = across.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        found = _links(pairs, reps, sets, threshold)
-        if not found.limit(1).count():
-            continue
-        named = found.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ac")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("bc")), "b", "left")
-        merged = components(named.select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b")))
-        known = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
-        moved = merged.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = materialise(known.join(moved, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "near-labels")
+    labelled = members.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    labelled = materialise(labelled, "near-labelled")
+    open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("centre")).where("x <> y").select("band", "centre")
+    left = materialise(labelled.join(open_, "band").select("id", "component", "centre").distinct(), "near-open")
+    drop(labelled)
+    clusters = components(left.select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    found = materialise(_across(clusters.withColumnRenamed("component", "cluster").join(left.select("id", "component").distinct(), "id"), reps, sets, threshold), "near-links")
+    merged = components(found)
+    every = labels.unionByName(left.select("id", "component").distinct().join(labels, "id", "left_anti"))
+    moved = merged.select(F.col("id").alias("component"), F.col("component").alias("root"))
+    labels = materialise(every.join(moved, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "near-labels")
 
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     placed = some.select("id", "n_shingles", "s1", "s2").join(materialise(named, "near-named"), ["s1", "s2"]).select("id", "n_shingles", "component")
