@@ -89,9 +89,9 @@ def _assign(rows: DataFrame, sizes: DataFrame, *, ratio: float, max_epochs: int,
     n = sizes.count()
     bits = power_of_two(n, 64, 1 << 16).bit_length() - 1
     part = F.shiftright("h", 32 - bits)
-    sums = sizes.groupBy("skey", part.alias("part")).agg(F.sum("size").alias("words"), F.first("source").alias("source"))
+    sums = sizes.groupBy("skey", part.alias("part")).agg(F.sum("size").alias("words"))
     sums = materialise(sums, "mix-sums")
-    totals = sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    totals = sums.groupBy("skey").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("skey") != "n", F.substring("skey", F.lit(2), F.length("skey"))))
     targets = source_targets(totals, ratio=ratio, max_epochs=max_epochs, schedules=schedules)
     running = Window.partitionBy("skey").orderBy("part")
     starts = sums.select("skey", "part", (F.sum("words").over(running) - F.col("words")).alias("start")).join(targets, "skey")
