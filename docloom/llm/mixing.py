@@ -45,7 +45,7 @@ def _time_of(share: Column, segments: Column) -> Column:
     s = F.element_at(F.filter(segments, lambda s: s["a0"] <= F.greatest(share, F.lit(0.0))), -1)
     slope = (s["w1"] - s["w0"]) / s["dt"]
     rest = share - s["a0"]
-    curved = (F.sqrt(s["w0"] * s["w0"] + 2 * slope * rest) - s["w0"]) / slope
+    curved = (F.sqrt(F.greatest(F.lit(0.0), s["w0"] * s["w0"] + 2 * slope * rest)) - s["w0"]) / slope
     return s["t0"] + F.when(slope == 0, rest / s["w0"]).otherwise(curved)
 
 
