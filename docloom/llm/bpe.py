@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from docloom.llm.common import ship_package
 
 #: Words kept by a worker, text handled at once (characters).
-KEPT_WORDS, BLOCK = 800_000, 3 << 20
+KEPT_WORDS, BLOCK = 600_000, 2 << 20
 #: Bytes from which a word is long. Rows that a query over short words may make (at most the squares of
 #: their lengths), and rounds of a query over a long word, which go on in the next query.
-LONG, ROWS_A_QUERY, ROUNDS = 64, 8_000_000, 48
+LONG, ROWS_A_QUERY, ROUNDS = 64, 2_000_000, 48
 
 _SHORT = """
 WITH RECURSIVE t AS (
@@ -85,7 +85,7 @@ class Encoder:
         merges = [(ranks[t[:i]] << 20 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.find = regex.compile(pattern).findall
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         self._table("merges", {"pair": pa.array([m[0] for m in merges], pa.int64()), "rank": pa.array([m[1] for m in merges], pa.int32())})
         self._table("pieces", {"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
         low: dict[int, int] = {}
@@ -94,7 +94,7 @@ class Encoder:
                 low[part] = min(rank, low.get(part, rank))
         self._table("unsafe", {"tok": pa.array([t for t, rank in low.items() if rank < t], pa.int32())})
         self.ids: dict[str, str] = {}
-        self.text: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # words whose ids decode to other bytes than theirs
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("arrow_in", pa.table(columns))
@@ -144,7 +144,15 @@ class Encoder:
 
     def _keep(self, words: list[str], rows: list[tuple]) -> None:
         for k, ids, hexed in rows:
-            self.ids[words[k]], self.text[words[k]] = ids, bytes.fromhex(hexed)
+            self.ids[words[k]] = ids
+            if (decoded := bytes.fromhex(hexed)) != words[k].encode("utf-8", "surrogatepass"):
+                self.odd[words[k]] = decoded
+
+    def text(self, words: list[str]) -> bytes:
+        """The bytes that the words' ids decode to; a word is kept once if they are its own."""
+        if self.odd and not self.odd.keys().isdisjoint(words):
+            return b"".join(self.odd[w] if w in self.odd else w.encode("utf-8", "surrogatepass") for w in words)
+        return "".join(words).encode("utf-8", "surrogatepass")
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """The words of each text, all of them learned."""
@@ -153,7 +161,7 @@ class Encoder:
         new = wanted.difference(self.ids)
         if len(self.ids) + len(new) > KEPT_WORDS:
             self.ids.clear()
-            self.text.clear()
+            self.odd.clear()
             new = wanted
         self.learn(sorted(new))
         return split
@@ -216,7 +224,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, outputs: tuple[str, ...]
                         elif name == "ids_sha256":
                             out.append(hashlib.sha256(ids.encode()).hexdigest())
                         else:
-                            text = b"".join(map(encoder.text.__getitem__, words))
+                            text = encoder.text(words)
                             out.append(text if name == "decoded" else hashlib.sha256(text).hexdigest())
                 kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
                 arrays = [pa.array(v, kinds.get(k, pa.string())) for k, v in columns.items()]
