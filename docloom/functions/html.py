@@ -5,8 +5,11 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import ship_package
+
 TABLE = "columns array<string>, rows array<array<string>>"
 
 
@@ -129,14 +132,19 @@ def _texts(html: str) -> list[str]:
     return reader.out
 
 
-@F.pandas_udf(TABLE)
-def parse_table(html: pd.Series) -> pd.DataFrame:
+def parse_table(html: Column | str) -> Column:
     """Struct (columns, rows) of each HTML or pipe table."""
-    found = [table_of(h) for h in html]
-    return pd.DataFrame({"columns": [f["columns"] for f in found], "rows": [f["rows"] for f in found]})
+    ship_package(SparkSession.active())
+
+    @F.pandas_udf(TABLE)
+    def parse(batch: pd.Series) -> pd.DataFrame:
+        found = [table_of(h) for h in batch]
+        return pd.DataFrame({"columns": [f["columns"] for f in found], "rows": [f["rows"] for f in found]})
+
+    return parse(html)
 
 
-@F.pandas_udf("string")
-def table_markdown(html: pd.Series) -> pd.Series:
+def table_markdown(html: Column | str) -> Column:
     """Markdown of each HTML table."""
-    return html.map(markdown_of)
+    ship_package(SparkSession.active())
+    return F.pandas_udf(lambda batch: batch.map(markdown_of), "string")(html)

@@ -23,12 +23,17 @@ def clean_answer(c: Column) -> Column:
     """Lower-cased answer without unit words, parentheses, outer quotes, dollar and percent signs."""
     s = F.trim(F.lower(T.text(c)))
     for suffix in ("mile", "miles", "million"):
-        s = F.when(s.endswith(suffix), F.trim(F.substring(s, F.lit(1), F.length(s) - len(suffix)))).otherwise(s)
+        s = F.trim(F.regexp_replace(s, f"{suffix}$", ""))
     s = F.trim(F.regexp_replace(s, r"\s*\([^)]*\)", ""))
     s = F.trim(F.regexp_replace(s, r"^['\"]|['\"]$", ""))
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(s, r"^\$+", "")), r"%+$", ""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def must_match_exactly(s: Column) -> Column:
     """Answers for which near is not enough: links, files, pages, number ranges, times, dates, addresses."""
     rules = [r"https://", r"\.py$|ipynb$", r"^page", r"^\d+(-\d+|\s\d+)?$", r"a\.m\.|p\.m\.", r"^\d{4}[-\s]\d{2}[-\s]\d{2}$", r"^\d{4}[-\s]\d{2}$", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"]
@@ -49,17 +54,32 @@ def float_equal(reference: Column, prediction: Column) -> Column:
 
 def answer_score(gold: Column, pred: Column, kind: Column) -> Column:
     """Score 0 to 1 of an answer by its type: Int, Float, Str or None, and anything else as a list."""
-    whole = as_double(gold)
-    ints = F.when(T.text(gold).rlike(r"^\s*[+-]?\d+\s*$") & as_double(pred).isNotNull(), (whole.cast("long") == as_double(pred).cast("long")).cast("double")).otherwise(0.0)
-    floats = float_equal(as_double(clean_answer(gold)), as_double(clean_answer(pred))).cast("double")
-    g, p = clean_answer(gold), clean_answer(pred)
-    strings = F.when(must_match_exactly(g), (g == p).cast("double")).otherwise(anls(g, p))
-    items = lambda c: F.array_sort(F.transform(F.when(F.trim(T.text(c)).startswith("["), T.list_literal(c)).otherwise(F.array(T.text(c))), clean_answer))
-    gs, ps = items(gold), items(pred)
-    head = F.coalesce(F.get(gs, F.lit(0)), F.lit(""))
-    exact = (F.array_join(gs, "-") == F.array_join(ps, "-")).cast("double")
-    lists = F.when(F.size(gs) != F.size(ps), 0.0).when(as_double(head).isNotNull() | must_match_exactly(head), exact).otherwise(F.coalesce(F.array_min(F.zip_with(gs, ps, anls)), F.lit(0.0)))
-    return F.when(kind == "Int", ints).when(kind == "Float", floats).when(kind.isin("Str", "None"), strings).otherwise(lists)
+    return (
+        F.when(kind == "Int", let(F.struct(gold.alias("g"), as_double(gold).alias("x"), as_double(pred).alias("y")), _int_score))
+        .when(kind == "Float", let(F.struct(as_double(clean_answer(gold)).alias("x"), as_double(clean_answer(pred)).alias("y")), lambda v: float_equal(v["x"], v["y"]).cast("double")))
+        .when(kind.isin("Str", "None"), let(F.struct(clean_answer(gold).alias("g"), clean_answer(pred).alias("p")), _text_score))
+        .otherwise(let(F.struct(_items(gold).alias("g"), _items(pred).alias("p")), _list_score))
+    )
+
+
+def _int_score(v: Column) -> Column:
+    whole = T.text(v["g"]).rlike(r"^\s*[+-]?\d+\s*$")
+    return F.when(whole & v["y"].isNotNull() & (v["x"].cast("long") == v["y"].cast("long")), 1.0).otherwise(0.0)
+
+
+def _text_score(v: Column) -> Column:
+    return F.when(must_match_exactly(v["g"]), (v["g"] == v["p"]).cast("double")).otherwise(anls(v["g"], v["p"]))
+
+
+def _items(c: Column) -> Column:
+    return F.array_sort(F.transform(F.when(F.trim(T.text(c)).startswith("["), T.list_literal(c)).otherwise(F.array(T.text(c))), clean_answer))
+
+
+def _list_score(v: Column) -> Column:
+    head = F.coalesce(F.get(v["g"], F.lit(0)), F.lit(""))
+    exact = (F.array_join(v["g"], "-") == F.array_join(v["p"], "-")).cast("double")
+    least = F.coalesce(F.array_min(F.zip_with(v["g"], v["p"], lambda a, b: anls(a, b))), F.lit(0.0))
+    return F.when(F.size(v["g"]) != F.size(v["p"]), 0.0).when(as_double(head).isNotNull() | must_match_exactly(head), exact).otherwise(least)
 
 
 def accuracy_and_f1(samples: DataFrame, *by: str) -> DataFrame:

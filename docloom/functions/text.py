@@ -236,7 +236,7 @@ def logical_page_bounds(c: Column) -> Column:
 def logical_page_matches(c: Column, page: Column | int) -> Column:
     """Whether a logical page, alone or in a range ``a-b``, names the page."""
     wanted = (F.lit(page) if isinstance(page, int) else page).cast("string")
-    return F.array_contains(F.transform(F.split(text(c), "-"), F.trim), wanted)
+    return F.array_contains(F.transform(F.split(text(c), "-"), lambda x: F.trim(x)), wanted)
 
 
 def simple_stem(c: Column) -> Column:
@@ -275,23 +275,28 @@ def numbering(c: Column) -> Column:
     return F.struct(kind.alias("kind"), depth.alias("depth"))
 
 
+#: Punctuation that ends a sentence or clause.
+STOP_AT_END = r"[.!?;:。！？；：]$"
+
+
 def is_heading_text(c: Column) -> Column:
-    """Whether a short text reads like a heading: numbered, one word, few words without final stop, or mostly capitals."""
+    """Whether a short text reads like a heading: one word, few words without final stop, mostly capitals, or numbered."""
     s = F.trim(text(c))
     words = F.size(F.split(s, r"\s+"))
     letters = F.length(F.regexp_replace(s, r"[^A-Za-z]", ""))
     capitals = F.length(F.regexp_replace(s, r"[^A-Z]", ""))
-    numbered = s.rlike(r"(?i)^(\d+(\.\d+)*[\.\)]?|[ivxlcdm]+[\.\)]|[a-z][\.\)])\s+\S")
-    return (s != "") & ((words <= 1) | ((words <= 5) & ~s.rlike(r"[.!?;:,]$")) | ((letters > 0) & (capitals >= letters * 0.7)) | numbered)
+    numbered = s.rlike(r"^(\d+(\.\d+)*|[IVXLCM]+\.?|[A-Z]\.)\s+")
+    return (s != "") & ((words <= 1) | ((words <= 5) & ~s.rlike(STOP_AT_END)) | ((letters > 0) & (capitals >= letters * 0.7)) | numbered)
 
 
 def should_merge_headings(a: Column, b: Column) -> Column:
-    """Whether a heading looks continued by the next: a fragment, a connecting tail or opening."""
-    first, second = F.trim(text(a)), F.trim(text(b))
-    fragment = first.rlike(r"(?i)^(chapter|section|part|appendix|\d+(\.\d+)*\.?|[ivxlcdm]+\.?)$")
-    tail = first.rlike(r"(?i)(\b(and|or|of|for|the|in|on|to|with|a|an|by|from)|[:,&\-])$")
-    opening = second.rlike(r"(?i)^(and|or|of|for|in|on|to|with|by|from)\b") | second.rlike(r"^[a-z]")
-    return (first != "") & (second != "") & (fragment | tail | opening)
+    """Whether a heading looks continued by the next heading: it is short without a stop, ends in a
+    connecting word, or opens like the name of a department or chapter."""
+    first = F.trim(text(a))
+    short = (F.size(F.split(first, r"\s+")) <= 5) & ~first.rlike(STOP_AT_END)
+    tail = first.rlike(r"(?i)(^|\s)(of|for|with|and|the|in|on|at|to|&)$")
+    opening = first.rlike(r"(?i)^(department of|school of|faculty of|college of|chapter|part|section)")
+    return is_heading_text(a) & is_heading_text(b) & (short | tail | opening)
 
 
 def strip_tags(c: Column) -> Column:
@@ -315,21 +320,21 @@ def list_marker(c: Column) -> Column:
 
 def split_inline_bullets(c: Column) -> Column:
     """Items of a line with inline bullets; the line itself if there are none."""
-    items = F.filter(F.transform(F.split(text(c), r"\s*[•·▪‣]\s*"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(text(c), r"\s*[•·▪‣]\s*"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(text(c).rlike("[•·▪‣]"), items).otherwise(F.array(text(c)))
 
 
 def split_inline_ordered(c: Column) -> Column:
     """Items of a line with at least two inline ordered markers ``(1) a (2) b``; else the line."""
     mark = r"(?:(?<=\s)|^)(?=\(?\d{1,2}[\.\)]\s)"
-    items = F.filter(F.transform(F.split(text(c), mark), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(text(c), mark), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(items) >= 2, items).otherwise(F.array(text(c)))
 
 
 def split_toc_line(c: Column) -> Column:
     """Entries of a table-of-contents line in which several were run together."""
     mark = r"\s+(?=(?:\d+(?:\.\d+)*\.?|[IVXLC]+\.)\s+[A-Z])"
-    return F.filter(F.transform(F.split(F.trim(text(c)), mark), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.trim(text(c)), mark), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_description_prefix(c: Column) -> Column:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import ship_package
+
 
 def cut(text: str | None, *, limit: int = 600, overlap: int = 80) -> list[str]:
     """Chunks of at most ``limit`` characters, ended at the last space beyond 60 % where there is one."""
@@ -35,6 +37,8 @@ def cut(text: str | None, *, limit: int = 600, overlap: int = 80) -> list[str]:
 def chunk_texts(rows: DataFrame, *, text_col: str = "text", limit: int = 600, overlap: int = 80) -> DataFrame:
     """Rows exploded into ``chunk_idx`` and ``raw_text``, with ids ``node#cN``."""
 
+    ship_package(rows.sparkSession)
+
     @F.pandas_udf("array<string>")
     def pieces(text: pd.Series) -> pd.Series:
         return text.map(lambda t: cut(t, limit=limit, overlap=overlap))
@@ -188,6 +192,8 @@ def summarise(sentences: list[str], *, k: int = 3, budget: int = 360, trade: flo
 def summarise_texts(rows: DataFrame, sentences_col: str, *, k: int = 3, budget: int = 360) -> DataFrame:
     """Add ``summary`` from an array of sentences."""
 
+    ship_package(rows.sparkSession)
+
     @F.pandas_udf("string")
     def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

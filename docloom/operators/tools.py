@@ -212,7 +212,7 @@ def extract_regex(texts: DataFrame, pattern: str, *, around: int = 40) -> DataFr
 
 
 def _segments(c: Column) -> Column:
-    return F.filter(F.transform(F.split(T.text(c), "[\n;•]+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(T.text(c), "[\n;•]+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def extract_series(texts: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def is_heading() -> Column:
 
 
 def parents(items: DataFrame, *, heading: Column | None = None, level: str = "text_level") -> DataFrame:
-    """Add ``is_section`` and ``parent_ord``.
+    """Add ``is_section``, ``parent_ord`` and ``open_ords``, the sections a row lies in from the top.
 
     A section lies in the latest section before it of a smaller level, anything else in the latest
     section. The latest section of each level is a running last value; the parent is the largest of those
@@ -96,7 +96,10 @@ def parents(items: DataFrame, *, heading: Column | None = None, level: str = "te
     latest = {n: F.last(F.when(F.col("is_section") & (F.col("depth_level") == n), F.col("ord")), ignorenulls=True).over(before) for n in range(MOST_LEVELS + 1)}
     rows = rows.withColumns({f"latest_{n}": c for n, c in latest.items()})
     fits = [F.when(~F.col("is_section") | (F.col("depth_level") > n), F.col(f"latest_{n}")) for n in latest]
-    return rows.withColumn("parent_ord", F.greatest(*fits)).drop("depth_level", *(f"latest_{n}" for n in latest))
+    # a level's latest section is still open if no section of a smaller level came after it
+    opened = [F.when(F.coalesce(F.col(f"latest_{n}") > F.greatest(F.lit(-1), *fits[:n]), F.lit(False)), fits[n]) if n else fits[0] for n in latest]
+    rows = rows.withColumn("parent_ord", F.greatest(*fits)).withColumn("open_ords", F.filter(F.array(*opened), lambda o: o.isNotNull()))
+    return rows.drop("depth_level", *(f"latest_{n}" for n in latest))
 
 
 def build_tree(items: DataFrame) -> DataFrame:
@@ -122,6 +125,7 @@ def build_tree(items: DataFrame) -> DataFrame:
         body.alias("text"),
         "page_idx",
         F.row_number().over(in_order()).alias("read_order"),
+        F.transform("open_ords", lambda o: F.concat(F.lit("sec_"), o.cast("string"))).alias("ancestors"),
     )
 
 
@@ -170,8 +174,12 @@ def prev_next(nodes: DataFrame, *, order: str = "read_order") -> DataFrame:
 def ancestors(nodes: DataFrame, *, most: int = MOST_LEVELS) -> DataFrame:
     """``doc_id, node_id, ancestor, distance`` for every section above a node; distance 1 is the parent.
 
-    The closure grows by one level a step, at most ``most``; each step joins on (doc_id, node).
+    Trees that carry ``ancestors`` (from the top) need no join. For others the closure grows by one level
+    a step, at most ``most``; each step joins on (doc_id, node).
     """
+    if "ancestors" in nodes.columns:
+        above = nodes.select("doc_id", "node_id", F.size("ancestors").alias("n"), F.posexplode("ancestors").alias("i", "ancestor"))
+        return above.select("doc_id", "node_id", "ancestor", (F.col("n") - F.col("i")).alias("distance")).where(F.col("distance") <= most)
     up = nodes.where("parent_id IS NOT NULL").select("doc_id", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("above"))
     steps = [nodes.where("parent_id IS NOT NULL").select("doc_id", "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))]
     for n in range(2, most + 1):

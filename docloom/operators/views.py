@@ -193,7 +193,7 @@ def sparse_docs(nodes: DataFrame, *, compat: bool = False) -> DataFrame:
 
 def pipe_table(data: Column) -> Column:
     """Struct (columns, rows) of a table written with ``|``, one line a row; the first is the header."""
-    lines = F.filter(F.transform(F.split(T.text(data), r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(T.text(data), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     cells = F.transform(lines, lambda x: F.split(x, r"\s*\|\s*"))
     return F.struct(F.coalesce(F.get(cells, F.lit(0)), _empty()).alias("columns"), F.filter(cells, lambda _, i: i > 0).alias("rows"))
 

@@ -182,7 +182,7 @@ class Executor:
 
 
 def run_plan(plan: Plan, catalog: Catalog, executor: Executor | None = None, *, enough: float = 0.75) -> tuple[DataFrame | None, dict[str, list[Outcome]]]:
-    """Run stages until one covers enough; returns the last good rows, and all outcomes by stage.
+    """Run stages until one covers enough; returns the rows that cover most, and all outcomes by stage.
 
     A stage's coverage is the number of its distinct nodes over ``k_nodes``, at most 1; it is known to
     the next stage as ``prev_coverage``.
@@ -190,7 +190,7 @@ def run_plan(plan: Plan, catalog: Catalog, executor: Executor | None = None, *,
     executor, ctx = executor or Executor(), Context(catalog)
     facts: dict[str, float] = {"prev_coverage": 0.0}
     outcomes: dict[str, list[Outcome]] = {}
-    best = None
+    best, most = None, -1.0
     for i, stage in enumerate(plan.stages):
         if not should_run(stage.run_if, facts):
             continue
@@ -198,11 +198,17 @@ def run_plan(plan: Plan, catalog: Catalog, executor: Executor | None = None, *,
         rows = next((o.rows for o in reversed(outcomes[stage.name]) if o.status == "ok"), None)
         if rows is None:
             continue
-        best = rows
-        if i + 1 < len(plan.stages) and "node_id" in rows.columns:
-            facts["prev_coverage"] = pack.coverage(rows, stage.k_nodes).head()[0] or 0.0
-            if facts["prev_coverage"] >= enough:
-                break
+        if "node_id" not in rows.columns:  # a computed value covers the question
+            covered = 1.0
+        elif i + 1 < len(plan.stages) or best is not None:
+            covered = pack.coverage(rows, stage.k_nodes).head()[0] or 0.0
+        else:
+            covered = 0.0
+        facts["prev_coverage"] = covered
+        if covered > most:
+            best, most = rows, covered
+        if covered >= enough:
+            break
     return best, outcomes
 
 

@@ -80,9 +80,9 @@ def text_sentences(spark, sf_dir):
     rf"""
 WITH {LINES_SQL}
 SELECT doc_id, ord, trim(line) <> '' AND (len(regexp_split_to_array(trim(line), '\s+')) <= 1
-         OR (len(regexp_split_to_array(trim(line), '\s+')) <= 5 AND NOT regexp_matches(trim(line), '[.!?;:,]$'))
+         OR (len(regexp_split_to_array(trim(line), '\s+')) <= 5 AND NOT regexp_matches(trim(line), '[.!?;:。！？；：]$'))
          OR (length(regexp_replace(trim(line), '[^A-Za-z]', '', 'g')) > 0 AND length(regexp_replace(trim(line), '[^A-Z]', '', 'g')) >= 0.7 * length(regexp_replace(trim(line), '[^A-Za-z]', '', 'g')))
-         OR regexp_matches(trim(line), '(?i)^(\d+(\.\d+)*[\.\)]?|[ivxlcdm]+[\.\)]|[a-z][\.\)])\s+\S')) AS heading
+         OR regexp_matches(trim(line), '^(\d+(\.\d+)*|[IVXLCM]+\.?|[A-Z]\.)\s+')) AS heading
 FROM lines"""
 )
 def text_heading_lines(spark, sf_dir):

@@ -1,3 +1,171 @@
-from docloom.queries.base import Family
+"""Queries of index views over trees of documents' lines, and of tables made from the star schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docloom.functions import text as T
+from docloom.operators import chunks, tree, views
+from docloom.queries.base import Family, table
+from docloom.queries.tree import TREE_SQL, items
 
 FAMILY = Family()
+
+
+def nodes(spark, sf_dir):
+    return tree.build_tree(items(spark, sf_dir))
+
+
+# Tables of parts: one a brand, its parts as rows.
+TABLES_SQL = """tabs AS (SELECT 'tab_' || p_brand AS node_id, 'Table ' || replace(p_brand, 'Brand#', '') || ': parts by price' AS caption, ['Part', 'Price (usd)', 'Size', 'Share %'] AS columns,
+  list([p_name, printf('%.2f', p_retailprice), p_size::VARCHAR, (p_partkey % 100)::VARCHAR || '%'] ORDER BY p_partkey) AS rows_ FROM part GROUP BY p_brand)"""
+
+
+def tables(spark, sf_dir):
+    row = F.struct("p_partkey", F.array("p_name", F.format_string("%.2f", "p_retailprice"), F.col("p_size").cast("string"), F.concat((F.col("p_partkey") % 100).cast("string"), F.lit("%"))).alias("r"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"])
+    out = table(spark, sf_dir, "part").groupBy("p_brand").agg(rows.alias("rows"))
+    return out.select(F.lit("d").alias("doc_id"), F.concat(F.lit("tab_"), "p_brand").alias("node_id"), F.concat(F.lit("Table "), F.regexp_replace("p_brand", "Brand#", ""), F.lit(": parts by price")).alias("caption"), T.strings(["Part", "Price (usd)", "Size", "Share %"]).alias("columns"), "rows")
+
+
+@FAMILY.add(
+    f"""WITH {TABLES_SQL}, r AS (SELECT node_id, unnest(rows_) AS row_, generate_subscripts(rows_, 1) - 1 AS row_index FROM tabs)
+SELECT node_id || ':row:' || row_index AS row_id, row_[1] AS row_label, 'Part=' || row_[1] || '; Price (usd)=' || row_[2] || '; Size=' || row_[3] || '; Share %=' || row_[4] AS dense_text, 'usd,%' AS units FROM r"""
+)
+def view_table_rows(spark, sf_dir):
+    """Row records of tables of parts."""
+    out = views.table_rows(tables(spark, sf_dir))
+    return out.select("row_id", "row_label", "dense_text", F.array_join(F.filter(F.transform("cells", lambda c: c["unit"]), lambda u: u.isNotNull()), ",").alias("units"))
+
+
+@FAMILY.add(
+    f"""WITH {TABLES_SQL}, r AS (SELECT node_id, unnest(rows_) AS row_, generate_subscripts(rows_, 1) - 1 AS row_index FROM tabs),
+w AS (SELECT node_id || ':row:' || row_index AS row_id, list_concat(regexp_extract_all(lower(row_[1]), '[a-z0-9][a-z0-9_\\-\\.%/]*'), ['part', 'price', 'usd', 'size', 'share', '%'], regexp_extract_all(lower(row_[2] || ' ' || row_[3] || ' ' || row_[4]), '[a-z0-9][a-z0-9_\\-\\.%/]*')) AS w FROM r)
+SELECT row_id, len(list_distinct(w))::BIGINT AS n_tokens FROM w"""
+)
+def view_table_row_tokens(spark, sf_dir):
+    """Number of distinct tokens of each row record; the unit of a percent value counts as one."""
+    out = views.table_rows(tables(spark, sf_dir))
+    return out.select("row_id", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+@FAMILY.add(
+    f"""WITH RECURSIVE {TREE_SQL},
+up AS (SELECT doc_id, node_id, node_id AS sec FROM nodes WHERE type = 'section' UNION ALL SELECT doc_id, node_id, parent_id FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT u.doc_id, u.node_id, n.parent_id FROM up u JOIN nodes n ON n.doc_id = u.doc_id AND n.node_id = u.sec WHERE n.parent_id IS NOT NULL AND u.sec <> u.node_id),
+m AS (SELECT up.doc_id, up.sec, n.* EXCLUDE (doc_id) FROM (SELECT DISTINCT * FROM up) up JOIN nodes n ON n.doc_id = up.doc_id AND n.node_id = up.node_id)
+SELECT doc_id, sec AS node_id, min(page_idx)::BIGINT AS page_lo, max(page_idx)::BIGINT AS page_hi, count(*) FILTER (WHERE type = 'section') AS n_sections, count(*) FILTER (WHERE type = 'image') AS n_images, count(*) FILTER (WHERE type = 'text') AS n_paragraphs,
+       arg_min(node_id, ord) FILTER (WHERE type = 'image') AS top_image, arg_min(node_id, ord) FILTER (WHERE type = 'text') AS top_paragraph FROM m GROUP BY ALL"""
+)
+def view_section_rollup(spark, sf_dir):
+    """Subtree counts, spans and first members of sections."""
+    out = views.section_rollup(nodes(spark, sf_dir))
+    return out.select("doc_id", "node_id", F.col("page_lo").cast("long").alias("page_lo"), F.col("page_hi").cast("long").alias("page_hi"), "n_sections", "n_images", "n_paragraphs", "top_image", "top_paragraph")
+
+
+@FAMILY.add(f"WITH {TREE_SQL} SELECT doc_id, s.node_id || v.mark AS node_id, v.variant AS variant, CASE WHEN v.variant = 'heading' THEN title END AS heading FROM nodes s, (VALUES ('heading', '#h'), ('gist', '#g'), ('child', '#c'), ('path', '#p')) v(variant, mark) WHERE type = 'section'")
+def view_section_variants(spark, sf_dir):
+    """Four dense variants of each section."""
+    out = views.section_views(nodes(spark, sf_dir))
+    return out.select("doc_id", "node_id", "variant", F.when(F.col("variant") == "heading", F.col("dense_text")).alias("heading"))
+
+
+@FAMILY.add(
+    f"""WITH {TREE_SQL}, kids AS (SELECT doc_id, parent_id AS node_id, string_agg(node_id, ',' ORDER BY ord) AS children FROM nodes WHERE parent_id IS NOT NULL GROUP BY ALL)
+SELECT doc_id, node_id, title, children FROM nodes LEFT JOIN kids USING (doc_id, node_id) WHERE type = 'section'"""
+)
+def view_heading_children(spark, sf_dir):
+    """Children of each section in order."""
+    return views.heading_children(nodes(spark, sf_dir)).select("doc_id", "node_id", "title", F.array_join("children", ",").alias("children"))
+
+
+@FAMILY.add(
+    f"""WITH {TREE_SQL}, e AS (SELECT doc_id, parent_id AS src, node_id AS dst, 'child' AS type FROM nodes WHERE type = 'image' AND parent_id IS NOT NULL
+  UNION ALL SELECT doc_id, node_id, lead(node_id) OVER (PARTITION BY doc_id, page_idx ORDER BY ord), 'prev_next' FROM nodes)
+SELECT * FROM e WHERE dst IS NOT NULL"""
+)
+def view_edges(spark, sf_dir):
+    """The graph of trees of lines."""
+    return views.edges(nodes(spark, sf_dir)).where("type IN ('child', 'prev_next')").select("doc_id", "src", "dst", "type")
+
+
+@FAMILY.add(
+    """
+WITH img AS (SELECT 'img_' || s_suppkey AS node_id, 'Line chart of sales by ' || s_name || '; Y axis: 18.5 ms' AS caption, s_suppkey % 3 > 0 AS described FROM supplier)
+SELECT node_id || ':figure_caption:0' AS span_id, 'figure_caption' AS role, caption AS dense_text, 'ms' AS units FROM img
+UNION ALL SELECT node_id || ':figure_description:1', 'figure_description', 'A Bar Chart', '' FROM img WHERE described
+UNION ALL SELECT node_id || ':figure_legend:' || (1 + described::INT), 'figure_legend', 'Series A', '' FROM img
+UNION ALL SELECT node_id || ':axis_label:' || (2 + described::INT), 'axis_label', 'Year', '' FROM img"""
+)
+def view_figure_spans(spark, sf_dir):
+    """Spans of images made from suppliers."""
+    s = table(spark, sf_dir, "supplier")
+    image = F.concat(F.lit("img_"), "s_suppkey")
+    base = s.select(F.lit("d").alias("doc_id"), image.alias("node_id"), F.lit("sec_0").alias("parent_id"), (F.col("s_suppkey") * 2).alias("ord"), F.lit("image").alias("type"), F.lit(0).alias("page_idx"), F.lit(None).cast("string").alias("text"), F.when(F.col("s_suppkey") % 3 > 0, "A Bar Chart").alias("description"), F.array(F.lit("Series A")).alias("legend"), F.create_map(F.lit("x"), F.lit("Year")).alias("axis_labels"))
+    caption = s.select(F.lit("d").alias("doc_id"), F.concat(F.lit("t_"), "s_suppkey").alias("node_id"), image.alias("parent_id"), (F.col("s_suppkey") * 2 + 1).alias("ord"), F.lit("text").alias("type"), F.lit(0).alias("page_idx"), F.concat(F.lit("Line chart of sales by "), "s_name", F.lit("; Y axis: 18.5 ms")).alias("text"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("legend"), F.lit(None).cast("map<string,string>").alias("axis_labels"))
+    return views.figure_spans(base.unionByName(caption)).select("span_id", "role", "dense_text", F.array_join("units_set", ",").alias("units"))
+
+
+@FAMILY.add("WITH p AS (SELECT c_custkey, (c_custkey % 40)::INT AS pg, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 40 + 5)::VARCHAR END AS lp FROM customer) SELECT DISTINCT 'c' || c_custkey AS node_id, unnest(list_filter([pg, pg + 1, lp::INT], lambda x: x IS NOT NULL))::BIGINT AS page FROM p")
+def view_page_index(spark, sf_dir):
+    """Pages under which nodes are found."""
+    k = F.col("c_custkey") % 40
+    rows = table(spark, sf_dir, "customer").select(F.lit("d").alias("doc_id"), F.concat(F.lit("c"), "c_custkey").alias("node_id"), k.cast("int").alias("page_idx"), F.when(F.col("c_custkey") % 3 == 0, (k + 5).cast("string")).alias("logical_page"))
+    return views.page_index(rows).select("node_id", F.col("page").cast("long").alias("page"))
+
+
+@FAMILY.add(
+    """
+WITH l AS (SELECT doc_id, 'first' AS modality, source AS content, 0 AS layer FROM documents UNION ALL SELECT doc_id, 'second', lang, 1 FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id::VARCHAR AS node_id, modality, content FROM l QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY layer DESC) = 1"""
+)
+def view_evidence_store(spark, sf_dir):
+    """Evidence of several stores, later ones first."""
+    docs = table(spark, sf_dir, "documents")
+    row = lambda d, m, c: d.select(F.lit("x").alias("doc_id"), F.col("doc_id").cast("string").alias("node_id"), F.lit(m).alias("modality"), F.col(c).alias("content"))
+    return views.evidence(row(docs, "first", "source"), row(docs.where("doc_id % 3 = 0"), "second", "lang")).select("node_id", "modality", "content")
+
+
+_CHUNK_SQL = """
+WITH RECURSIVE s AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM documents),
+c AS (SELECT doc_id, s, 0 AS i, 0 AS start, least(600, length(s)) AS lim FROM s WHERE s <> ''
+  UNION ALL SELECT doc_id, s, i + 1, greatest(fin - 80, 0), least(greatest(fin - 80, 0) + 600, length(s)) FROM (
+    SELECT *, CASE WHEN lim < length(s) AND strpos(reverse(s[start + 361:lim]), ' ') > 0 THEN lim - strpos(reverse(s[start + 361:lim]), ' ') ELSE lim END AS fin FROM c) WHERE fin < length(s)),
+e AS (SELECT *, CASE WHEN lim < length(s) AND strpos(reverse(s[start + 361:lim]), ' ') > 0 THEN lim - strpos(reverse(s[start + 361:lim]), ' ') ELSE lim END AS fin FROM c)
+SELECT doc_id || '#c' || i AS node_id, trim(s[start + 1:fin]) AS raw_text FROM e"""
+
+
+@FAMILY.add(_CHUNK_SQL)
+def chunk_texts(spark, sf_dir):
+    """Whole documents cut into overlapping chunks."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node_id"), "text")
+    return chunks.chunk_texts(docs).select("node_id", "raw_text")
+
+
+@FAMILY.add("SELECT doc_id, (ord // 4)::INT AS block, sum(CASE WHEN trim(line) = '' THEN 0 ELSE len(regexp_split_to_array(trim(line), '\\s+')) END)::BIGINT AS word_count, count(*) AS element_count FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents) GROUP BY ALL")
+def block_statistics(spark, sf_dir):
+    """Words and elements of blocks of four lines."""
+    rows = items(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.floor(F.col("ord") / 4).cast("int").alias("block"), "text", "type", "page_idx")
+    return chunks.block_stats(rows).select("doc_id", "block", "word_count", "element_count")
+
+
+@FAMILY.add()
+def section_chunks(spark, sf_dir):
+    """Retrieval chunks of sections (a fold; tested against its definition)."""
+    n = nodes(spark, sf_dir).where("type = 'text'")
+    units = n.select("doc_id", F.coalesce("parent_id", F.lit("root")).alias("section_id"), F.lit("").alias("section_path"), "ord", "page_idx", "node_id", "text")
+    return chunks.section_chunks(units).select("doc_id", "section_id", "chunk_idx", "page_idx", F.length("text").alias("n_chars"))
+
+
+@FAMILY.add()
+def leaf_blocks(spark, sf_dir):
+    """Raw leaf blocks (a fold; tested against its definition)."""
+    n = nodes(spark, sf_dir).where("type = 'text'")
+    rows = n.select("doc_id", F.coalesce("parent_id", F.lit("root")).alias("parent_section"), "page_idx", "node_id", F.col("text").alias("raw_text"))
+    return chunks.leaf_blocks(rows).select("doc_id", "parent_section", "page_idx", "block_idx", F.length("raw_text").alias("n_chars"))
+
+
+@FAMILY.add()
+def extractive_summaries(spark, sf_dir):
+    """Sentence selection by relevance and difference (a fold; tested on small cases)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return chunks.summarise_texts(docs, "s").select("doc_id", "summary")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +25,17 @@ def local_session(app: str = "docloom", cores: int | str = "*", shuffle_partitio
         .config("spark.driver.memory", os.environ.get("DOCLOOM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once an application, so that Python workers find it wherever they start."""
+    if getattr(spark.sparkContext, "_docloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="docloom-ship-")).resolve()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "docloom.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(home.rglob("*.py")):
+            out.write(file, file.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(folder / "docloom.zip"))
+    spark.sparkContext._docloom_shipped = True
