@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import ship_package  # noqa: F401  the operators' other modules take it from here
+
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A run of anything else.
@@ -62,20 +60,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give executors this package, once an application, so that Python workers find it wherever they start."""
-    if getattr(spark.sparkContext, "_docloom_shipped", False):
-        return
-    home = Path(__file__).resolve().parent.parent
-    folder = Path(tempfile.mkdtemp(prefix="docloom-ship-")).resolve()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(folder / "docloom.zip", "w", zipfile.ZIP_DEFLATED) as out:
-        for file in sorted(home.rglob("*.py")):
-            out.write(file, file.relative_to(home.parent))
-    spark.sparkContext.addPyFile(str(folder / "docloom.zip"))
-    spark.sparkContext._docloom_shipped = True
-
-
 def n_words(text: Column) -> Column:
     """Number of white-space separated words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
