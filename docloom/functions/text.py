@@ -401,3 +401,13 @@ def page_of_text(c: Column) -> Column:
     s = F.lower(F.trim(text(c)))
     found = F.regexp_extract(s, r"(?:page|slide|p\.?)\s*(\d+)", 1)
     return F.when(s.rlike(r"^\d+$"), s.cast("int")).when(found != "", found.cast("int"))
+
+
+def sanitise_unicode(c: Column) -> Column:
+    """Like :func:`sanitise`, after NFKC normalisation, which has no built-in: one Arrow batch at a time."""
+    import unicodedata
+
+    import pandas as pd
+
+    nfkc = F.pandas_udf(lambda batch: batch.map(lambda t: None if pd.isna(t) else unicodedata.normalize("NFKC", t)), "string")
+    return sanitise(nfkc(c))
