@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, exact_dedup, fingerprints, language_id, licenses, mixing, near_dedup, sharding
+from docloom.llm import bpe, chat, exact_dedup, fingerprints, language_id, licenses, mixing, near_dedup, sharding, shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,29 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM normalised WINDOW same AS (PARTITION BY text_sha256)
 """
 
+
+def op8_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.training_order(_table(spark, sf_dir, "documents"))
+    return out.select("slot", "shard", "byte_offset", "doc_id", "piece", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
+_MIX = "('0x' || substr(md5('order/{r}/' || {half}::VARCHAR), 1, 12))::BIGINT"
+_ROUNDS = [("l", "(l + " + _MIX.format(r=0, half="r") + ") % a", "r"), ("r", "l", "(r + " + _MIX.format(r=1, half="l") + ") % b"), ("l", "(l + " + _MIX.format(r=2, half="r") + ") % a", "r"), ("r", "l", "(r + " + _MIX.format(r=3, half="l") + ") % b")]
+_ONCE = "SELECT doc_id, piece, tokens, n, a, b, x % a AS l, x // a AS r FROM {source}"
+for _, _left, _right in _ROUNDS:
+    _ONCE = f"SELECT doc_id, piece, tokens, n, a, b, {_left} AS l, {_right} AS r FROM ({_ONCE})"
+_ONCE = f"SELECT doc_id, piece, tokens, n, a, b, l + r * a AS x FROM ({_ONCE})"
+
+OP8_SQL = f"""
+WITH RECURSIVE hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) || 'FF' AS t, ('0x' || substr(md5('slot/' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h FROM documents),
+sized AS (SELECT *, ceil(length(t) / 1024)::BIGINT AS m FROM hexed),
+numbered AS (SELECT *, sum(m) OVER (ORDER BY h, doc_id, m ROWS UNBOUNDED PRECEDING)::BIGINT - m AS first, sum(m) OVER ()::BIGINT AS n FROM sized),
+cut AS (SELECT doc_id, piece, rpad(substr(t, (piece * 1024 + 1)::BIGINT, 1024), 1024, 'FE') AS tokens, n, greatest(1, floor(sqrt(n)))::BIGINT AS a, first + piece AS x FROM (SELECT *, unnest(range(m)) AS piece FROM numbered)),
+based AS (SELECT doc_id, piece, tokens, n, a, ceil(n / a)::BIGINT AS b, x FROM cut),
+walk AS (SELECT * FROM ({_ONCE.format(source="based")}) UNION ALL SELECT * FROM ({_ONCE.format(source="(SELECT * FROM walk WHERE x >= n)")}))
+SELECT x AS slot, (x // 4096)::INT AS shard, (x % 4096) * 512 AS byte_offset, doc_id, piece::INT AS piece, sha256(unhex(tokens)) AS tokens_sha256 FROM walk WHERE x < n
+"""
+
 #: A conversation whose texts are made of the template's own marks.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -120,6 +143,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_training_shards": op8_training_shards,
     "op9_chat_format": op9_chat_format,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -127,5 +151,6 @@ QUERIES = {
 ORACLES = {
     "op1_mixing": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_training_shards": OP8_SQL,
     "op9_chat_format": OP9_SQL,
 }
