@@ -29,11 +29,6 @@ def clean_answer(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(s, r"^\$+", "")), r"%+$", ""))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def must_match_exactly(s: Column) -> Column:
     """Answers for which near is not enough: links, files, pages, number ranges, times, dates, addresses."""
     rules = [r"https://", r"\.py$|ipynb$", r"^page", r"^\d+(-\d+|\s\d+)?$", r"a\.m\.|p\.m\.", r"^\d{4}[-\s]\d{2}[-\s]\d{2}$", r"^\d{4}[-\s]\d{2}$", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"]
@@ -55,10 +50,10 @@ def float_equal(reference: Column, prediction: Column) -> Column:
 def answer_score(gold: Column, pred: Column, kind: Column) -> Column:
     """Score 0 to 1 of an answer by its type: Int, Float, Str or None, and anything else as a list."""
     return (
-        F.when(kind == "Int", let(F.struct(gold.alias("g"), as_double(gold).alias("x"), as_double(pred).alias("y")), _int_score))
-        .when(kind == "Float", let(F.struct(as_double(clean_answer(gold)).alias("x"), as_double(clean_answer(pred)).alias("y")), lambda v: float_equal(v["x"], v["y"]).cast("double")))
-        .when(kind.isin("Str", "None"), let(F.struct(clean_answer(gold).alias("g"), clean_answer(pred).alias("p")), _text_score))
-        .otherwise(let(F.struct(_items(gold).alias("g"), _items(pred).alias("p")), _list_score))
+        F.when(kind == "Int", T.let(F.struct(gold.alias("g"), as_double(gold).alias("x"), as_double(pred).alias("y")), _int_score))
+        .when(kind == "Float", T.let(F.struct(as_double(clean_answer(gold)).alias("x"), as_double(clean_answer(pred)).alias("y")), lambda v: float_equal(v["x"], v["y"]).cast("double")))
+        .when(kind.isin("Str", "None"), T.let(F.struct(clean_answer(gold).alias("g"), clean_answer(pred).alias("p")), _text_score))
+        .otherwise(T.let(F.struct(_items(gold).alias("g"), _items(pred).alias("p")), _list_score))
     )
 
 

@@ -66,11 +66,11 @@ def roi_context(rois: DataFrame) -> DataFrame:
     return rois.withColumn("context", F.concat_ws(" | ", part("page", "page_idx"), part("label", "label"), part("caption", "caption")))
 
 
-def combine_answers(answers: DataFrame) -> DataFrame:
-    """One row of several model answers (ord, answer, confidence, thinking): joined, mean, first."""
+def combine_answers(answers: DataFrame, *by: str) -> DataFrame:
+    """Several model answers (ord, answer, confidence, thinking) as one, overall or for each key: joined, mean, first."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "answer"))), lambda x: x["answer"])
     thought = F.when(T.text(F.col("thinking")) != "", F.col("thinking"))
-    return answers.agg(F.array_join(ordered, "\n").alias("answer"), F.avg("confidence").alias("confidence"), F.min_by(thought, F.when(thought.isNotNull(), F.col("ord"))).alias("thinking"))
+    return answers.groupBy(*by).agg(F.array_join(ordered, "\n").alias("answer"), F.avg("confidence").alias("confidence"), F.min_by(thought, F.when(thought.isNotNull(), F.col("ord"))).alias("thinking"))
 
 
 def has_keys(c: Column, keys: list[str]) -> Column:

@@ -157,13 +157,13 @@ def _edges(spark, sf_dir):
 _EDGES_SQL = """edges AS (SELECT 'sec_r' || n_regionkey AS src, 'sec_n' || n_nationkey AS dst, 'child' AS type FROM nation
   UNION ALL SELECT 'sec_n' || c_nationkey, 'img_c' || c_custkey, 'child' FROM customer UNION ALL SELECT 'P' || c_nationkey, 'img_c' || c_custkey, 'same_page' FROM customer
   UNION ALL SELECT 'img_c' || o_custkey, 'tab_o' || o_orderkey, 'ref' FROM orders)"""
-_HITS_SQL = "hits AS (SELECT 'sec_n' || n_nationkey AS node_id, 'section' AS role, (1.0 - n_nationkey / 100.0)::DOUBLE AS score FROM nation UNION ALL SELECT 'img_c' || c_custkey, 'image', (0.99 - c_custkey / 1000.0)::DOUBLE FROM customer WHERE c_custkey < 50)"
+_HITS_SQL = "hits AS (SELECT 'sec_n' || n_nationkey AS node_id, 'section' AS role, (1.0 - n_nationkey / 100.0)::DOUBLE AS score FROM nation UNION ALL SELECT 'img_c' || c_custkey, 'image', (0.99 - c_custkey / 1000000.0)::DOUBLE FROM customer WHERE c_custkey % 100 = 0)"
 
 
 def _graph_hits(spark, sf_dir):
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     a = nation.select(F.concat(F.lit("sec_n"), F.col("n_nationkey").cast("string")).alias("node_id"), F.lit("section").alias("role"), (F.lit(1.0) - F.col("n_nationkey") / 100.0).alias("score"))
-    b = customer.where("c_custkey < 50").select(F.concat(F.lit("img_c"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit("image").alias("role"), (F.lit(0.99) - F.col("c_custkey") / 1000.0).alias("score"))
+    b = customer.where("c_custkey % 100 = 0").select(F.concat(F.lit("img_c"), F.col("c_custkey").cast("string")).alias("node_id"), F.lit("image").alias("role"), (F.lit(0.99) - F.col("c_custkey") / 1000000.0).alias("score"))
     return a.unionByName(b)
 
 
@@ -184,7 +184,7 @@ def graph_expansion(spark, sf_dir):
 
 @FAMILY.add(
     f"""
-WITH {_EDGES_SQL}, s AS (SELECT 'sec_n' || n_nationkey AS seed FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'img_c' || c_custkey FROM customer WHERE c_custkey < 5),
+WITH {_EDGES_SQL}, s AS (SELECT 'sec_n' || n_nationkey AS seed FROM nation UNION ALL SELECT 'img_c' || c_custkey FROM customer WHERE c_custkey % 100 = 0),
 c AS (SELECT src, dst FROM edges WHERE type = 'child'), pg AS (SELECT src, dst FROM edges WHERE type = 'same_page'),
 par AS (SELECT seed, src AS node_id FROM s JOIN c ON seed = dst),
 every AS (SELECT seed, dst AS node_id, 0 AS p, 'child' AS relation FROM s JOIN c ON seed = src UNION ALL SELECT seed, node_id, 1, 'parent' FROM par UNION ALL SELECT seed, dst, 2, 'sibling' FROM par JOIN c ON par.node_id = c.src
@@ -192,10 +192,8 @@ every AS (SELECT seed, dst AS node_id, 0 AS p, 'child' AS relation FROM s JOIN c
 SELECT seed, node_id, arg_min(relation, p) AS relation FROM every WHERE seed <> node_id GROUP BY ALL"""
 )
 def graph_neighbours(spark, sf_dir):
-    """Children, parents, siblings and page mates of a few seeds."""
-    hits = _graph_hits(spark, sf_dir)
-    number = F.regexp_extract("node_id", r"(\d+)$", 1).cast("int")
-    return graph.neighbours(_edges(spark, sf_dir), hits.where(number < 5)).select("seed", "node_id", "relation")
+    """Children, parents, siblings and page mates of all nations, and of customers whose id is divisible by 100."""
+    return graph.neighbours(_edges(spark, sf_dir), _graph_hits(spark, sf_dir)).select("seed", "node_id", "relation")
 
 
 @FAMILY.add(

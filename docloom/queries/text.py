@@ -140,11 +140,11 @@ def text_table_headers(spark, sf_dir):
     r"""
 SELECT doc_id, array_to_string(list_distinct_in_order, '|') AS entities FROM (
   SELECT doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) AS list_distinct_in_order FROM (
-    SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b([A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+)*)\b', 1) AS m FROM documents WHERE lang = 'en'))"""
+    SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', '_', 'g'), '\b([A-Z][A-Za-z0-9]+(?:\s+[A-Z][A-Za-z0-9]+)*)\b', 1) AS m FROM documents))"""
 )
 def text_entities(spark, sf_dir):
-    """Capitalised word runs of English documents (other letters as ``_``: engines differ on word edges there)."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(T.entities(F.regexp_replace("text", r"[^\x00-\x7F]", "_")), "|").alias("entities"))
+    """Capitalised word runs of documents (other letters as ``_``: engines differ on word edges there)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.entities(F.regexp_replace("text", r"[^\x00-\x7F]", "_")), "|").alias("entities"))
 
 
 @FAMILY.add(
@@ -173,7 +173,7 @@ def text_roman(spark, sf_dir):
 
 @FAMILY.add(
     r"""
-WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]')) AS s FROM documents WHERE doc_id >= 0),
+WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]')) AS s FROM documents),
 w AS (SELECT doc_id, s, list_distinct(regexp_extract_all(lower(s), '[a-z][a-z0-9_\-]+')) AS w FROM s),
 n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
 df AS (SELECT doc_id, t, count(*) AS df FROM (SELECT doc_id, unnest(w) AS t FROM w) GROUP BY doc_id, t)

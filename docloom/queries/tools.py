@@ -42,12 +42,12 @@ def extract_column(spark, sf_dir):
     return tools.extract_column(tables(spark, sf_dir), value_hints=["price"]).select("cell_id", "label", "value", "unit")
 
 
-_TOKENS_SQL = "tk AS (SELECT 'd' || doc_id AS node_id, regexp_extract_all(lower(source || ' ' || lang || ' ' || substr(text, 1, 200)), '[a-z0-9]+') AS w, doc_id % 10 AS page_idx FROM documents WHERE doc_id >= 0), tok AS (SELECT node_id, page_idx, list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || '_' || z[2])) AS t FROM tk)"
+_TOKENS_SQL = "tk AS (SELECT 'd' || doc_id AS node_id, regexp_extract_all(lower(source || ' ' || lang || ' ' || text), '[a-z0-9]+') AS w, doc_id % 10 AS page_idx FROM documents), tok AS (SELECT node_id, page_idx, list_concat(w, list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || '_' || z[2])) AS t FROM tk)"
 _WANTED = tools.query_terms([*tools.query_terms(["src3 en", "the ofs"])])
 
 
 def _figure_tokens(spark, sf_dir):
-    words = T.tokens(F.concat_ws(" ", "source", "lang", F.substring("text", 1, 200)), T.PLAIN_TOKEN)
+    words = T.tokens(F.concat_ws(" ", "source", "lang", "text"), T.PLAIN_TOKEN)
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("node_id"), T.with_bigrams(words).alias("tokens"), (F.col("doc_id") % 10).cast("int").alias("page_idx"))
 
 
@@ -136,11 +136,11 @@ def screen_charts(spark, sf_dir):
     return tools.screen_charts(rois, spans, only_positive=False).select("node_id", "score")
 
 
-@FAMILY.add("SELECT 'c' || c_custkey AS node_id, 'graphics' AS evidence_type, c_nationkey::INT AS page_idx FROM customer WHERE c_custkey % 5 = 0 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey < 4) OR c_custkey < 4 AND c_custkey % 5 = 0")
+@FAMILY.add("SELECT 'c' || c_custkey AS node_id, 'graphics' AS evidence_type, c_nationkey::INT AS page_idx FROM customer WHERE c_custkey % 5 = 0 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 100 = 0)")
 def find_regions(spark, sf_dir):
-    """Images on the pages of a few hits."""
+    """Images on the pages of hits: customers whose id is divisible by 100."""
     nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node_id"), F.when(F.col("c_custkey") % 5 == 0, "image").otherwise("text").alias("role"), F.col("c_nationkey").cast("int").alias("page_idx"), F.lit("").alias("label"), F.lit("").alias("caption"), "c_custkey")
-    source = nodes.where("c_custkey < 4").select("node_id")
+    source = nodes.where("c_custkey % 100 = 0").select("node_id")
     return tools.find_regions(nodes, source=source).select("node_id", "evidence_type", "page_idx")
 
 
