@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,13 +21,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made and recorded
-    in the session, so that later calls use the same one.
+    Only where the setting is absent (tests on one machine) a temporary folder stands in, one an
+    application, which goes when the process ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = getattr(spark.sparkContext, "_docloom_dir", None)
+    if not found:
+        folder = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = spark.sparkContext._docloom_dir = f"file://{folder}"
     return found.rstrip("/")
 
 

@@ -87,7 +87,7 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *payloa
 def _assign(rows: DataFrame, sizes: DataFrame, *, ratio: float, max_epochs: int, schedules: tuple[Knots, ...]) -> DataFrame:
     """Add ``source_size, target, copies, taken, times`` to ``rows``; ``sizes`` is the same table without payload."""
     n = sizes.count()
-    bits = power_of_two(n, 64, 1 << 16).bit_length() - 1
+    bits = power_of_two(n, 64, 1 << 20).bit_length() - 1
     part = F.shiftright("h", 32 - bits)
     sums = sizes.groupBy("skey", part.alias("part")).agg(F.sum("size").alias("words"))
     sums = materialise(sums, "mix-sums")

@@ -30,7 +30,7 @@ END, PAD = 0xFF, 0xFE
 STRIDE, PER_SHARD, ROUNDS = 512, 4096, 4
 #: Documents in a numbering range aimed at, and the most ranges; steps of a walk (each has about one
 #: chance in the square root of the number of sequences to need another).
-PER_RANGE, MOST_RANGES, WALK = 64, 16384, 8
+PER_RANGE, MOST_RANGES, WALK = 64, 1 << 20, 8
 
 
 def sides(n: int) -> tuple[int, int]:
