@@ -14,7 +14,7 @@ def _rows(spark, sf_dir):
     """Order lines as extracted cells: value as text, unit sometimes missing, year of shipment."""
     k = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")
     unit = F.when(F.col("l_suppkey") % 3 == 0, "%").when(F.col("l_suppkey") % 3 == 1, "ms")
-    return table(spark, sf_dir, "lineitem").select(k.alias("ord"), F.concat(F.lit("n"), F.col("l_partkey")).alias("node_id"), F.col("l_returnflag").alias("label"), F.format_string("%.2f", "l_extendedprice").alias("value"), unit.alias("unit"), F.when(F.col("l_suppkey") % 5 > 0, F.year("l_shipdate")).alias("year"))
+    return table(spark, sf_dir, "lineitem").select(k.alias("ord"), F.concat(F.lit("n"), F.col("l_partkey")).alias("node_id"), F.col("l_returnflag").alias("label"), F.format_string("%.2f", "l_extendedprice").alias("value"), unit.alias("unit"), F.when(F.col("l_suppkey") % 5 > 0, F.year("l_shipdate").cast("long")).alias("year"))
 
 
 _ROWS = "rows_ AS (SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS ord, 'n' || l_partkey AS node_id, l_returnflag AS label, printf('%.2f', l_extendedprice) AS value, CASE l_suppkey % 3 WHEN 0 THEN '%' WHEN 1 THEN 'ms' END AS unit, CASE WHEN l_suppkey % 5 > 0 THEN year(l_shipdate) END AS year FROM lineitem)"

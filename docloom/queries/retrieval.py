@@ -134,7 +134,7 @@ def hybrid_search(spark, sf_dir):
     packed = pack.mmr_pack(hits)
     from pyspark.sql import Window
 
-    return packed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("key"), F.desc("score"), "node_id"))).select("rank", "node_id", "score")
+    return packed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("key"), F.desc("score"), "node_id")).cast("long")).select("rank", "node_id", "score")
 
 
 @FAMILY.add(f"WITH hits AS (SELECT 'v' || vec_id AS node_id, label AS page_idx, round(embedding[1]::DOUBLE, 6) AS score FROM embeddings), {_PACK_SQL} SELECT node_id, page_idx, score FROM packed")
