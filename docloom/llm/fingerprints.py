@@ -94,7 +94,7 @@ def fingerprint_pairs(docs: DataFrame, *, k: int = K, words: int = WORDS, id_col
     lowest = -(1 << 63)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keys = rows.select("key")
-    bounds = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n)).head()[0] or []
+    bounds = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], min(100 * n, 200_000))).head()[0] or []
     bounds = sorted(set(bounds))
     part = _range_of(F.col("key"), bounds)
     firsts = sorted(tuple(r) for r in keys.groupBy(part.alias("part")).agg(F.min("key")).collect())  # one row a range
