@@ -14,6 +14,8 @@ without overlap, where that gives the same result: no pair with the new token ha
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import hashlib
 import zlib
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import ship_package
 
 #: Words kept by a worker, text handled at once (characters).
-KEPT_WORDS, BLOCK = 600_000, 2 << 20
+KEPT_WORDS, BLOCK = 600_000, 3 << 20
 #: Bytes from which a word is long. Rows that a query over short words may make (at most the squares of
 #: their lengths), and rounds of a query over a long word, which go on in the next query.
 LONG, ROWS_A_QUERY, ROUNDS = 64, 2_000_000, 48
@@ -42,8 +44,8 @@ WITH RECURSIVE t AS (
           CASE WHEN key = best THEN after_next WHEN key_after = best THEN (best >> 40)::INT ELSE next_tok END, best IS NULL
    FROM chosen WHERE best IS NULL OR key_before IS NULL OR key_before <> best)
 )
-SELECT word, string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS bytes
-FROM t JOIN pieces USING (tok) WHERE done GROUP BY word
+SELECT word, array_to_string(list_transform(pieces, lambda p: p.tok), ' ') AS ids, array_to_string(list_transform(pieces, lambda p: p.hex), '') AS bytes
+FROM (SELECT word, list({'tok': tok, 'hex': hex} ORDER BY pos) AS pieces FROM t JOIN pieces USING (tok) WHERE done GROUP BY word)
 """
 
 _LONG = f"""
@@ -79,22 +81,43 @@ class Encoder:
     """The recursive queries over one vocabulary, and the words they have contracted."""
 
     def __init__(self, packed: bytes, pattern: str):
-        import duckdb
-
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, zlib.decompress(packed).splitlines()) if a}
         merges = [(ranks[t[:i]] << 20 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.find = regex.compile(pattern).findall
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
-        self._table("merges", {"pair": pa.array([m[0] for m in merges], pa.int64()), "rank": pa.array([m[1] for m in merges], pa.int32())})
-        self._table("pieces", {"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
+        self.tables = {
+            "merges": {"pair": pa.array([m[0] for m in merges], pa.int64()), "rank": pa.array([m[1] for m in merges], pa.int32())},
+            "pieces": {"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])},
+        }
         low: dict[int, int] = {}
         for pair, rank in merges:
             for part in (pair >> 20, pair & 0xFFFFF):
                 low[part] = min(rank, low.get(part, rank))
-        self._table("unsafe", {"tok": pa.array([t for t, rank in low.items() if rank < t], pa.int32())})
+        self.tables["unsafe"] = {"tok": pa.array([t for t, rank in low.items() if rank < t], pa.int32())}
+        self._db = None
         self.ids: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}  # words whose ids decode to other bytes than theirs
+        self.again: set[str] = set()  # words that more than one block had
+
+    @property
+    def db(self):
+        """The database with the vocabulary's tables, opened when it is first needed."""
+        if self._db is None:
+            import duckdb
+
+            self._db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
+            for name, columns in self.tables.items():
+                self._table(name, columns)
+        return self._db
+
+    def rest(self) -> None:
+        """Between tasks, keep only words that have come again, and give memory back to the system."""
+        self._forget()
+        if self._db is not None:
+            self._db.close()
+            self._db = None
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("arrow_in", pa.table(columns))
@@ -116,6 +139,13 @@ class Encoder:
                 part, rows = [], 0
         self._short(part)
 
+    def _forget(self) -> None:
+        """Make room: only words that have come again are kept, and not even these if they are too many."""
+        kept = self.again if len(self.again) < KEPT_WORDS // 2 else ()
+        self.ids = {w: self.ids[w] for w in kept}
+        self.odd = {w: self.odd[w] for w in kept if w in self.odd}
+        self.again = set()
+
     def _bytes(self, raw: list[bytes]) -> dict:
         """The words as token rows, one a byte, with the token after each (-1 at the end)."""
         sizes = np.array([len(r) for r in raw])
@@ -160,9 +190,9 @@ class Encoder:
         wanted = set().union(*split)
         new = wanted.difference(self.ids)
         if len(self.ids) + len(new) > KEPT_WORDS:
-            self.ids.clear()
-            self.odd.clear()
-            new = wanted
+            self._forget()
+            new = wanted.difference(self.ids)
+        self.again |= wanted & self.ids.keys()
         self.learn(sorted(new))
         return split
 
@@ -230,6 +260,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, outputs: tuple[str, ...]
                 arrays = [pa.array(v, kinds.get(k, pa.string())) for k, v in columns.items()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), *arrays], names=["doc_id", *columns])
                 at += len(part)
+        encoder.rest()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -248,6 +279,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id
                 part = batch.slice(at, 64)
                 texts = encoder.decode([x or [] for x in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
+        encoder.rest()
 
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"doc_id {encoded.schema[id_col].dataType.simpleString()}, decoded binary")
