@@ -162,6 +162,8 @@ def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     component = table["component"].to_pylist()
     first = np.flatnonzero(blocks == table["i"][0].as_py())
     second = np.flatnonzero(blocks == table["j"][0].as_py())
+    if not len(first) or not len(second):  # members are placed by hash, so a block can be empty; the other one meets itself in a task of its own
+        return []
     size = np.array([len(sets[k]) for k in second])
     owner = np.repeat(np.arange(len(second)), size)
     every = np.concatenate([sets[k] for k in second])

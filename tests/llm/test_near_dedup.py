@@ -66,6 +66,16 @@ def test_large_group_around_the_threshold(spark):
     assert got(make_docs(spark, rows).repartition(4), 4) == brute(rows, 4)
 
 
+def test_empty_blocks(spark, monkeypatch):
+    """Few long texts in many blocks: most blocks have no member."""
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)
+    rng = random.Random(8)
+    base = words(rng, 400, 10**6)
+    longer = base + " " + words(rng, 160, 10**6)  # similarity of about 0.71 to the base
+    rows = [(0, base, "en", "a"), (1, longer, "en", "a"), (2, edited(rng, longer, 3), "en", "a"), (3, base + " " + words(rng, 170, 10**6), "en", "a")]
+    assert got(make_docs(spark, rows), 4) == brute(rows, 4)
+
+
 def test_odd_rows(odd, odd_rows, empty):
     assert got(odd, 4) == brute(odd_rows, 4)
     assert got(empty, 4) == []
