@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, chat, exact_dedup, fingerprints, language_id, licenses, mixing, near_dedup, sharding, shards
+from docloom.llm.common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +75,12 @@ FROM normalised WINDOW same AS (PARTITION BY text_sha256)
 
 
 def op8_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shards.training_order(_table(spark, sf_dir, "documents"))
-    return out.select("slot", "shard", "byte_offset", "doc_id", "piece", F.sha2("tokens", 256).alias("tokens_sha256"))
+    path = new_path(spark, "training-shards")
+    where = shards.store_shards(_table(spark, sf_dir, "documents"), path)
+    if not where.limit(1).count():
+        return where.withColumn("tokens_sha256", F.lit(None).cast("string"))
+    stored = shards.read_shards(spark, path, lines=False).select("slot", F.unhex(F.sha2("tokens", 256)).alias("digest"))
+    return where.join(stored, "slot", "left").select("slot", "shard", "byte_offset", "doc_id", "piece", F.lower(F.hex("digest")).alias("tokens_sha256"))
 
 
 _MIX = "('0x' || substr(md5('order/{r}/' || {half}::VARCHAR), 1, 12))::BIGINT"

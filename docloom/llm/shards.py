@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import hash32, materialise, power_of_two, ship_package
+from docloom.llm.common import delete, hash32, materialise, new_path, power_of_two, ship_package, shuffles_removed
 
 # Ids of the end mark and the padding among byte tokens.
 END, PAD = 0xFF, 0xFE
@@ -31,6 +31,8 @@ STRIDE, PER_SHARD, ROUNDS = 512, 4096, 4
 #: Documents in a numbering range aimed at, and the most ranges; steps of a walk (each has about one
 #: chance in the square root of the number of sequences to need another).
 PER_RANGE, MOST_RANGES, WALK = 64, 1 << 20, 8
+#: Groups of shards that are written one after the other, at most.
+MOST_GROUPS = 8
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -103,8 +105,13 @@ def training_order(
     end mark and padding. Rows with one id are numbered by size and content, and are sequences each. An
     empty table gives an empty result. The order depends on the key and the ids, not on files or cluster.
     """
-    spark = docs.sparkSession
-    whole = F.concat(tokens if tokens is not None else byte_tokens(F.col(text_col)), F.lit(bytearray(end)))
+    found, n = _sequences(docs, tokens if tokens is not None else byte_tokens(F.col(text_col)), stride, end, pad, key, id_col)
+    return _ranged(found, 0, -(-n // per_shard), per_shard, stride)
+
+
+def _sequences(docs: DataFrame, tokens: Column, stride: int, end: bytes, pad: bytes, key: str, id_col: str) -> tuple[DataFrame, int]:
+    """``slot, doc_id, piece, tokens`` of every sequence, in no order, and their number (1 if there is none)."""
+    whole = F.concat(tokens, F.lit(bytearray(end)))
     rows = docs.select(F.col(id_col).alias("doc_id"), hash32(F.col(id_col), "slot/").alias("h"), whole.alias("bytes"))
     pieces = F.ceil(F.octet_length("bytes") / F.lit(stride)).cast("long")
     sizes = materialise(rows.select("h", pieces.alias("n")), "slot-sizes")
@@ -117,29 +124,104 @@ def training_order(
     placed = rows.withColumn("n", pieces).withColumn("part", part).withColumn("upto", F.sum("n").over(inside)).join(F.broadcast(starts), "part")
     cut = placed.select("doc_id", "bytes", (F.col("start") + F.col("upto") - F.col("n")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("piece"))
     body = F.rpad(F.substring(F.col("bytes"), (F.col("piece") * stride + 1).cast("int"), F.lit(stride)), F.lit(stride), F.lit(bytearray(pad)))
-    n, tasks = max(1, totals["n"]), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut.select(permuted(F.col("first") + F.col("piece"), n, key).alias("slot"), "doc_id", F.col("piece").cast("int").alias("piece"), body.alias("tokens"))
-    shards = -(-n // per_shard)
-    shard = F.floor(F.col("slot") / per_shard)
-    ranged = found.withColumn("shard", shard.cast("int")).repartitionById(min(tasks, shards), F.floor(F.col("shard").cast("long") * min(tasks, shards) / shards).cast("int"))
+    n = max(1, totals["n"])
+    return cut.select(permuted(F.col("first") + F.col("piece"), n, key).alias("slot"), "doc_id", F.col("piece").cast("int").alias("piece"), body.alias("tokens")), n
+
+
+def _ranged(found: DataFrame, first: int, shards: int, per_shard: int, stride: int) -> DataFrame:
+    """Sequences of the ``shards`` shards from ``first`` on, sorted by slot; every shard lies in one partition."""
+    tasks = min(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
+    placed = found.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+    ranged = placed.repartitionById(tasks, F.floor((F.col("shard").cast("long") - first) * tasks / shards).cast("int"))
     return ranged.sortWithinPartitions("shard", "slot").select("slot", "shard", ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "doc_id", "piece", "tokens")
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """Write sequences (of :func:`training_order`) as raw files, ``path/shard=N``, slot after slot, nothing between.
+def store_shards(
+    docs: DataFrame,
+    path: str,
+    *,
+    tokens: Column | None = None,
+    stride: int = STRIDE,
+    per_shard: int = PER_SHARD,
+    end: bytes = bytes([END]),
+    pad: bytes = bytes([PAD]),
+    key: str = "order",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Write the sequences of :func:`training_order` as raw shards to ``path``, and return what stands where.
+
+    The result is ``slot, shard, byte_offset, doc_id, piece``: the sequence of a slot is the ``stride``
+    bytes from ``byte_offset`` on of the file of ``path/shard=N``. ``path`` must be new. An empty table
+    writes no shard. The sequences are first written by groups of shards; each group is then exchanged,
+    written as shards and deleted, so that the disk never holds the corpus, its exchange and its shards at once.
+    """
+    spark = docs.sparkSession
+    found, n = _sequences(docs, tokens if tokens is not None else byte_tokens(F.col(text_col)), stride, end, pad, key, id_col)
+    shards = -(-n // per_shard)
+    groups = max(1, min(MOST_GROUPS, shards // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    each = -(-shards // groups)
+    parked = new_path(spark, "slot-sequences")
+    group = F.floor(F.col("slot") / (per_shard * each)).cast("int")
+    with shuffles_removed(spark):
+        found.withColumn("group", group).write.partitionBy("group").option("compression", "zstd").parquet(parked)
+        parts = spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(parked)
+        where = materialise(parts.select("slot", F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "doc_id", "piece"), "slot-index")
+        for first in range(0, shards if where.limit(1).count() else 0, each):
+            one = f"{parked}/group={first // each}"
+            write_shards(_ranged(spark.read.schema(found.schema).parquet(one), first, min(each, shards - first), per_shard, stride), path, lines=False)
+            delete(spark, one)
+    delete(spark, parked)
+    return where
+
+
+def write_shards(ordered: DataFrame, path: str, *, lines: bool = True) -> None:
+    """Write sequences (of :func:`training_order`) as files, ``path/shard=N``, slot after slot.
 
     Spark's text writer puts out the bytes and its committer publishes whole files, so a lost executor
-    leaves no half shard. Each shard lies in one partition, hence in one file. A line break closes each
-    sequence, so that the stride of the file is one byte more than the sequence's.
+    leaves no half shard. Each shard lies in one partition, hence in one file. With ``lines`` a line break
+    closes each sequence, so that the stride of the file is one byte more than the sequence's and slot s
+    stands at ``s % per_shard * (stride + 1)``, not at its ``byte_offset``. Without, nothing stands between
+    sequences, each is found at its ``byte_offset``, and one line break closes the file; such shards are
+    added to those that ``path`` has.
     """
-    rows = ordered.select(F.col("shard"), F.col("tokens").cast("string").alias("value"))
-    rows.write.mode("overwrite").option("maxRecordsPerFile", 0).option("compression", "none").partitionBy("shard").text(path)
+    if lines:
+        rows = ordered.select(F.col("shard"), F.col("tokens").cast("string").alias("value"))
+        rows.write.mode("overwrite").option("maxRecordsPerFile", 0).option("compression", "none").partitionBy("shard").text(path)
+        return
+    ship_package(ordered.sparkSession)
+
+    def joined(batches):  # the rows of a partition come by shard and slot
+        shard, held = None, []
+        for batch in batches:
+            for s, t in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if s != shard and held:
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([b"".join(held)], pa.binary())], names=["shard", "value"])
+                    held = []
+                shard = s
+                held.append(t)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([b"".join(held)], pa.binary())], names=["shard", "value"])
 
+    rows = ordered.select("shard", "tokens").mapInArrow(joined, "shard int, value binary").select("shard", F.col("value").cast("string").alias("value"))
+    rows.write.mode("append").option("maxRecordsPerFile", 0).option("compression", "none").partitionBy("shard").text(path)
 
-def read_shards(spark: SparkSession, path: str, *, stride: int = STRIDE, per_shard: int = PER_SHARD, start: int = 0) -> DataFrame:
+
+def read_shards(spark: SparkSession, path: str, *, stride: int = STRIDE, per_shard: int = PER_SHARD, start: int = 0, lines: bool = True) -> DataFrame:
     """``slot, tokens`` of written shards from slot ``start`` on; shards before it are not opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", False).option("pathGlobFilter", "*.txt").load(path)
-    step = stride + 1
-    rows = files.where(F.col("shard") >= start // per_shard).select(F.col("shard").cast("long").alias("shard"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / step).cast("long") - 1)).alias("i"))
-    slot = F.col("shard") * per_shard + F.col("i")
-    return rows.select(slot.alias("slot"), F.substring(F.col("content"), (F.col("i") * step + 1).cast("int"), F.lit(stride)).alias("tokens")).where(F.col("slot") >= start)
+    step, tail = (stride + 1, 0) if lines else (stride, 1)
+    ship_package(spark)
+
+    def cut(batches):  # whole files are cut here: in an expression every substring would copy its file
+        for batch in batches:
+            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                raw = np.frombuffer(content.as_buffer(), dtype=np.uint8)
+                n = (len(raw) - tail) // step
+                kept = np.ascontiguousarray(raw[: n * step].reshape(n, step)[:, :stride])
+                offsets = np.arange(n + 1, dtype=np.int32) * np.int32(stride)
+                tokens = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard * per_shard + np.arange(n, dtype=np.int64)), tokens], names=["slot", "tokens"])
+
+    rows = files.where(F.col("shard") >= start // per_shard).select(F.col("shard").cast("long").alias("shard"), "content")
+    return rows.mapInArrow(cut, "slot long, tokens binary").where(F.col("slot") >= start)

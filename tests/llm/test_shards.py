@@ -49,6 +49,40 @@ def test_round_trip_and_layout(spark, tmp_path):
     assert raw[7 * 65 : 7 * 65 + 64] == by_slot[207]
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_offsets_find_their_sequences(spark, tmp_path, monkeypatch, groups, empty):
+    """The bytes at byte_offset of a stored shard are the sequence's tokens."""
+    monkeypatch.setattr(shards, "MOST_GROUPS", groups)
+    rng = random.Random(15)
+    docs = make_docs(spark, [(i, "é😀\n" * (i % 3) + words(rng, rng.choice([0, 1, 5, 60, 400])), "en", "a") for i in range(300)]).repartition(5)
+    path = f"{tmp_path}/raw"
+    where = shards.store_shards(docs, path, stride=64, per_shard=100)
+    tokens = {(r.doc_id, r.piece): (r.slot, r.shard, r.byte_offset, bytes(r.tokens)) for r in shards.training_order(docs, stride=64, per_shard=100).collect()}
+    files = list((tmp_path / "raw").glob("shard=*/*.txt"))
+    raw = {int(f.parent.name[6:]): f.read_bytes() for f in files}
+    assert len(files) == len(raw) == -(-len(tokens) // 100)
+    assert {(r.doc_id, r.piece): (r.slot, r.shard, r.byte_offset, raw[r.shard][r.byte_offset : r.byte_offset + 64]) for r in where.collect()} == tokens
+    assert sum(map(len, raw.values())) == 64 * len(tokens) + len(raw)
+    read = {r.slot: bytes(r.tokens) for r in shards.read_shards(spark, path, stride=64, per_shard=100, start=150, lines=False).collect()}
+    assert read == {slot: t for slot, _, _, t in tokens.values() if slot >= 150}
+    assert shards.store_shards(empty, f"{tmp_path}/none").count() == 0
+
+
+def test_query_reads_its_shards(spark, monkeypatch):
+    """The registered query writes shards, and its digests are those of the bytes at its offsets."""
+    from hashlib import sha256
+    from pathlib import Path
+
+    from docloom.llm import queries
+
+    paths = []
+    new = queries.new_path
+    monkeypatch.setattr(queries, "new_path", lambda *a: paths.append(new(*a)) or paths[-1])
+    rows = queries.op8_training_shards(spark, "/root/testdata/sf0.001").collect()
+    raw = {int(f.parent.name[6:]): f.read_bytes() for f in Path(paths[0].removeprefix("file:")).glob("shard=*/*.txt")}
+    assert rows and all(sha256(raw[r.shard][r.byte_offset : r.byte_offset + 512]).hexdigest() == r.tokens_sha256 for r in rows)
+
+
 def test_token_ids(spark):
     rng = random.Random(14)
     docs = make_docs(spark, [(i, words(rng, 30), "en", "a") for i in range(40)])
