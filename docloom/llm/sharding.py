@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import hash32, materialise, power_of_two
+from docloom.llm.common import hash32, materialise, power_of_two, shuffles_removed
 
 #: Rows in a chunk aimed at, and the most chunks. The chunk counts, not rows, meet in one task.
 ROWS_PER_CHUNK, MOST_CHUNKS = 64, 8192
@@ -107,36 +107,49 @@ def communication_matrix(counts: DataFrame, shards: int, levels: int, seed: str)
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, *, seed: str = "shards", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, size, text_crc32, shard, slot``.
+    """One row per document: ``doc_id, size, text_crc32, shard, slot``, of the rows that :func:`sharded` has received.
+
+    Size is the UTF-8 bytes of the text plus 1 (1 for null, whose crc32 counts as that of the empty text).
+    """
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    received = sharded(docs, shards, seed=seed, id_col=id_col, text_col=text_col)
+    return received.select(F.col(f"row.`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot")
+
+
+def sharded(docs: DataFrame, shards: int = 8, *, seed: str = "shards", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns in their shards: ``row, shard, slot``; ``row`` has the columns of ``docs``.
 
     Shards 0 to ``shards - 1`` have equal numbers of rows, at most one apart; slots count from 0 in each
-    shard without gaps; every arrangement is as likely as any other. Size is the UTF-8 bytes of the
-    text plus 1 (1 for null, whose crc32 counts as that of the empty text). Equal rows are dealt one by
-    one: the method keeps no group together, so that a group with a third of all rows is no load. Rows
-    with one id are ordered by text; a null id is an id like others. An empty table gives an empty result.
+    shard without gaps; every arrangement is as likely as any other. Equal rows are dealt one by one: the
+    method keeps no group together, so that a group with a third of all rows is no load. Rows with one id
+    are ordered by text; a null id is an id like others. An empty table gives an empty result. Whole rows
+    are permuted in their chunk, exchanged, written in the shared folder and permuted in their shard.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    at = hash32(F.col(id_col), f"{seed}/at/").alias("at")
+    heads = materialise(docs.select(at), "shard-heads")
+    chunks = power_of_two(heads.count(), ROWS_PER_CHUNK, MOST_CHUNKS)
+    levels = chunks.bit_length() - 1
+    chunk = F.shiftright("at", 32 - levels)
+    matrix = materialise(communication_matrix(heads.groupBy(chunk.alias("chunk")).agg(F.count("*").alias("n")), shards, levels, seed), "shard-matrix")
     rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        hash32(F.col(id_col), f"{seed}/at/").alias("at"),
+        at,
         hash32(F.col(id_col), f"{seed}/local/").alias("local"),
         hash32(F.col(id_col), f"{seed}/again/").alias("again"),
     )
-    rows = materialise(rows, "shard-rows")
-    chunks = power_of_two(rows.count(), ROWS_PER_CHUNK, MOST_CHUNKS)
-    levels = chunks.bit_length() - 1
-    chunked = rows.withColumn("chunk", F.shiftright("at", 32 - levels))
-    matrix = materialise(communication_matrix(chunked.groupBy("chunk").agg(F.count("*").alias("n")), shards, levels, seed), "shard-matrix")
     permuted = F.row_number().over(Window.partitionBy("chunk").orderBy("local", "doc_id", "text_crc32", "size")) - 1
-    sent = chunked.withColumn("place", permuted).join(matrix, "chunk")
+    sent = rows.withColumn("chunk", chunk).withColumn("place", permuted).join(matrix, "chunk")
     shard = F.size(F.filter("starts", lambda s: s <= F.col("place")))
     # an empty part has the start of the next one, so the count passes over it
-    sent = sent.select("doc_id", "size", "text_crc32", "again", (shard - 1).alias("shard"))
+    sent = sent.select("row", "doc_id", "size", "text_crc32", "again", (shard - 1).alias("shard"))
     ranges = max(1, chunks // shards)
-    sent = materialise(sent.withColumn("range", F.shiftright("again", 32 - (ranges.bit_length() - 1))), "shard-sent")
+    with shuffles_removed(docs.sparkSession):
+        sent = materialise(sent.withColumn("range", F.shiftright("again", 32 - (ranges.bit_length() - 1))), "shard-sent")
     counts = sent.groupBy("shard", "range").agg(F.count("*").alias("n"))
     firsts = counts.select("shard", "range", (F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("first"))
     again = F.row_number().over(Window.partitionBy("shard", "range").orderBy("again", "doc_id", "text_crc32", "size")) - 1
-    return sent.withColumn("again_at", again).join(firsts, ["shard", "range"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("again_at")).cast("long").alias("slot"))
+    return sent.withColumn("again_at", again).join(firsts, ["shard", "range"]).select("row", "shard", (F.col("first") + F.col("again_at")).cast("long").alias("slot"))

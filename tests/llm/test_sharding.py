@@ -80,6 +80,17 @@ def test_every_slot_is_as_likely(spark):
     assert sum(seen) == 72 and all(6 <= n <= 32 for n in seen)
 
 
+def test_whole_rows_move(docs, odd):
+    """Every column of every row arrives, rows of one id included, at the slot that the digests have."""
+    for given in (docs, odd):
+        out = sharding.sharded(given, 5)
+        assert out.schema["row"].dataType.names == given.columns
+        rows = out.collect()
+        assert sorted((tuple(r.row) for r in rows), key=repr) == sorted(map(tuple, given.collect()), key=repr)
+        digests = {(r.shard, r.slot): (r.doc_id, r["size"], r.text_crc32) for r in sharding.shuffle_into_shards(given, 5).collect()}
+        assert {(r.shard, r.slot): (r.row.doc_id, len((r.row.text or "").encode()) + 1, zlib.crc32((r.row.text or "").encode())) for r in rows} == digests
+
+
 def test_odd_rows(odd, empty):
     rows = sharding.shuffle_into_shards(odd, 5).collect()
     assert len(rows) == 12 and {r["size"] for r in rows if r.doc_id in (3, 4)} == {1}
