@@ -96,6 +96,32 @@ def inner_product_search(spark, sf_dir):
     return retrieval.inner_product(_vectors(spark, sf_dir), _VECTOR).select("node_id", F.round("score", 6).alias("score"))
 
 
+def _vector_queries(spark, sf_dir):
+    """Every vector whose id is divisible by 100."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_ALL_SQL = "v AS (SELECT 'v' || vec_id AS node_id, vec_id, label % 3 AS role, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT q.vec_id AS query_id, v.node_id, v.role, round(list_dot_product(q.e, v.e) / ((sqrt(list_dot_product(q.e, q.e)) + {tiny}) * (sqrt(list_dot_product(v.e, v.e)) + {tiny})), 9) AS score FROM v q, v WHERE q.vec_id % 100 = 0), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS place FROM pairs WHERE {where})"
+
+
+@FAMILY.add(f"WITH {_ALL_SQL.format(tiny='1e-8', where='true')} SELECT query_id, node_id, role, round(score, 6) AS score FROM placed WHERE place <= 100 AND role IN (0, 2)")
+def dense_search_all(spark, sf_dir):
+    """Top 100 vectors by cosine of every query row, roles filtered after the cut."""
+    return retrieval.nearest(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k=100, roles=[0, 2]).select("query_id", "node_id", "role", F.round("score", 6).alias("score"))
+
+
+@FAMILY.add(f"WITH {_ALL_SQL.format(tiny='1e-8', where='role = 1')} SELECT query_id, node_id, round(score, 6) AS score FROM placed WHERE place <= 20")
+def dense_search_roles_first_all(spark, sf_dir):
+    """Top 20 vectors of one role by cosine of every query row."""
+    return retrieval.nearest(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k=20, roles=[1], roles_first=True).select("query_id", "node_id", F.round("score", 6).alias("score"))
+
+
+@FAMILY.add(f"WITH {_ALL_SQL.format(tiny='0.0', where='true')} SELECT query_id, node_id, round(score, 6) AS score FROM placed WHERE place <= 8")
+def inner_product_search_all(spark, sf_dir):
+    """Top 8 by inner product of normalised vectors of every query row."""
+    return retrieval.nearest(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k=8, measure="inner").select("query_id", "node_id", F.round("score", 6).alias("score"))
+
+
 def _count_vector_hits(docs, k):
     """A second ranking of documents: cosine of their counts of the query's terms with all ones."""
     terms = list(dict.fromkeys(_TERMS))
