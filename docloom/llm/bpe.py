@@ -1,14 +1,19 @@
 """Byte-level BPE as recursive queries.
 
-Each partition runs an in-process DuckDB. The distinct words of a batch (matches of the tokenizer's
-pattern) become rows of (word, position, token), one a byte. A recursive query joins neighbouring rows
-with the merge table and contracts each word's leftmost pair of minimum rank, round by round, until no
-pair can be merged; an ordered aggregation joins the tokens of a word into its ids, and, through the
-table of token bytes, back into text. A text's ids are its words' ids in order, so each distinct word
-is contracted once a worker: results are kept in a bounded memory.
-
-Words longer than LONG bytes contract all places of the minimum-rank pair in one round, left to right
-without overlap, where that gives the same result: no pair with the new token has a lower rank.
+Each partition runs an in-process DuckDB. The distinct words of a block of texts (matches of the tokenizer's
+pattern) become rows of (part, position, token), one a byte. A recursive query joins neighbouring rows with
+the merge table and contracts, in each part of a word, the leftmost pair of minimum rank, until no pair can
+be merged. An ordered aggregation joins the token bytes of a text's ids back into text.
+
+Two facts make words of any length cheap, and change no id:
+
+* A token is a vocabulary entry that stands in the word, so where two neighbouring bytes stand together in
+  no entry, no token ever spans them. Words are cut there into parts that are contracted apart. What is left
+  of a part after some rounds is cut again, where two neighbouring tokens, joined, stand in no entry.
+* After the leftmost pair of minimum rank is contracted, the next pair of that rank is the minimum again,
+  as long as the new token starts or ends no pair of lower rank. One round therefore contracts all places
+  of a part's minimum rank, from the left and without overlap; where the new token has a pair of lower rank
+  (``alone``), it contracts the leftmost place only.
 """
 
 from __future__ import annotations
@@ -27,48 +32,33 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import ship_package
 
-#: Words kept by a worker, text handled at once (characters).
-KEPT_WORDS, BLOCK = 600_000, 3 << 20
-#: Bytes from which a word is long. Rows that a query over short words may make (at most the squares of
-#: their lengths), and rounds of a query over a long word, which go on in the next query.
-LONG, ROWS_A_QUERY, ROUNDS = 64, 2_000_000, 48
+#: Characters of text handled at once. Words (and their bytes, with those of their ids) kept during a task.
+BLOCK, KEPT_WORDS, KEPT_BYTES = 2 << 20, 250_000, 16 << 20
+#: Bytes contracted by one query (at least one part), rounds of a query, and rows that its rounds may make.
+ROWS, ROUNDS, MADE = 200_000, 32, 12_000_000
 
-_SHORT = """
+#: One query: `tokens` (part, pos, tok, next_tok), next_tok = -1 at a part's end. `merges` has the rank of a pair,
+#: doubled, plus 1 where it is `alone`. `state` counts rounds; -1 is the fixpoint. Places of a minimum that follow
+#: each other share a token; `run` is a place's number among them, and odd ones are contracted.
+_CONTRACT = """
 WITH RECURSIVE t AS (
-  SELECT word, pos, tok, next_tok, false AS done FROM tokens
+  SELECT part, pos, tok, next_tok, 0 AS state FROM tokens
   UNION ALL
-  (WITH ranked AS (SELECT word, pos, tok, next_tok, (m.rank::BIGINT << 40) | pos AS key FROM t LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok) WHERE NOT done),
-        chosen AS (SELECT *, min(key) OVER (PARTITION BY word) AS best, lag(key) OVER in_word AS key_before, lead(key) OVER in_word AS key_after, lead(next_tok) OVER in_word AS after_next
-                   FROM ranked WINDOW in_word AS (PARTITION BY word ORDER BY pos))
-   SELECT word, pos, CASE WHEN key = best THEN (best >> 40)::INT ELSE tok END,
-          CASE WHEN key = best THEN after_next WHEN key_after = best THEN (best >> 40)::INT ELSE next_tok END, best IS NULL
-   FROM chosen WHERE best IS NULL OR key_before IS NULL OR key_before <> best)
+  (WITH ranked AS MATERIALIZED (SELECT part, pos, tok, next_tok, state, (m.rank << 40) | pos AS key FROM t LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok) WHERE state BETWEEN 0 AND {rounds} - 1),
+        lowest AS (SELECT part, min(key) AS low FROM ranked GROUP BY part),
+        placed AS (SELECT r.*, (low >> 41)::INT AS best, coalesce(key = low OR (key >> 40 = low >> 40 AND (low >> 40) & 1 = 0), false) AS hit FROM ranked r JOIN lowest l ON r.part = l.part),
+        near AS (SELECT *, row_number() OVER w AS n, lead(next_tok) OVER w AS after_next, lag(hit, 1, false) OVER w AS hit_before, lead(hit, 1, false) OVER w AS hit_after, lead(hit, 2, false) OVER w AS hit_second
+                 FROM placed WINDOW w AS (ORDER BY pos)),
+        runs AS (SELECT *, n - coalesce(max(CASE WHEN hit THEN 0 ELSE n END) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM near)
+   SELECT part, pos, CASE WHEN hit AND run % 2 = 1 THEN best ELSE tok END,
+          CASE WHEN hit THEN (CASE WHEN hit_second AND after_next <> -1 THEN best ELSE after_next END) WHEN hit_after AND next_tok <> -1 THEN best ELSE next_tok END,
+          CASE WHEN best IS NULL THEN -1 ELSE state + 1 END
+   FROM runs WHERE NOT (hit_before AND run % 2 = 0))
 )
-SELECT word, array_to_string(list_transform(pieces, lambda p: p.tok), ' ') AS ids, array_to_string(list_transform(pieces, lambda p: p.hex), '') AS bytes
-FROM (SELECT word, list({'tok': tok, 'hex': hex} ORDER BY pos) AS pieces FROM t JOIN pieces USING (tok) WHERE done GROUP BY word)
+SELECT part, pos, tok, next_tok, state FROM t WHERE state = -1 OR state = {rounds} ORDER BY pos
 """
 
-_LONG = f"""
-WITH RECURSIVE t AS (
-  SELECT word, pos, tok, 0 AS round, false AS done FROM tokens
-  UNION ALL
-  (WITH pairs AS (SELECT word, pos, tok, round, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next_tok FROM t WHERE NOT done AND round < {ROUNDS}),
-        ranked AS (SELECT pairs.*, m.rank FROM pairs LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok)),
-        lowest AS (SELECT *, min(rank) OVER (PARTITION BY word) AS best, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM ranked),
-        hits AS (SELECT *, coalesce(rank = best, false) AS hit FROM lowest),
-        runs AS (SELECT *, n - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run, row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS nth FROM hits),
-        picked AS (SELECT *, hit AND CASE WHEN best IN (SELECT tok FROM unsafe) THEN nth = 1
-                                          ELSE row_number() OVER (PARTITION BY word, hit, run ORDER BY pos) % 2 = 1 END AS here FROM runs),
-        chosen AS (SELECT *, coalesce(lag(here) OVER (PARTITION BY word ORDER BY pos), false) AS before FROM picked)
-   SELECT word, pos, CASE WHEN here THEN rank ELSE tok END, round + 1, best IS NULL FROM chosen WHERE NOT before)
-)
-SELECT word, pos, tok, done FROM t WHERE done OR round = {ROUNDS}
-"""
-
-_JOINED = """
-SELECT word, string_agg(tok, ' ' ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS bytes
-FROM finished JOIN pieces USING (tok) GROUP BY word
-"""
+_DECODE = "SELECT text, string_agg(piece, '' ORDER BY pos) FROM encoded JOIN pieces USING (tok) GROUP BY text"
 
 
 def read_ranks(path: str) -> bytes:
@@ -77,47 +67,51 @@ def read_ranks(path: str) -> bytes:
         return zlib.compress(f.read(), 9)
 
 
+def trim() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Encoder:
-    """The recursive queries over one vocabulary, and the words they have contracted."""
+    """The recursive queries over one vocabulary, and the words that a task has contracted."""
 
     def __init__(self, packed: bytes, pattern: str):
+        import duckdb
+
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, zlib.decompress(packed).splitlines()) if a}
-        merges = [(ranks[t[:i]] << 20 | ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        pairs, made = [], []
+        for t, rank in ranks.items():
+            for i in range(1, len(t)):
+                left, right = ranks.get(t[:i]), ranks.get(t[i:])
+                if left is not None and right is not None:
+                    pairs.append(left << 20 | right)
+                    made.append(rank)
+        pair, rank = np.array(pairs, dtype=np.int64), np.array(made, dtype=np.int64)
+        low = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)  # least rank of a pair with the token
+        np.minimum.at(low, pair >> 20, rank)
+        np.minimum.at(low, pair & 0xFFFFF, rank)
         self.find = regex.compile(pattern).findall
+        self.entries, self.inside = list(ranks), None
+        self.sizes = np.zeros(len(low), dtype=np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.tables = {
-            "merges": {"pair": pa.array([m[0] for m in merges], pa.int64()), "rank": pa.array([m[1] for m in merges], pa.int32())},
-            "pieces": {"tok": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])},
-        }
-        low: dict[int, int] = {}
-        for pair, rank in merges:
-            for part in (pair >> 20, pair & 0xFFFFF):
-                low[part] = min(rank, low.get(part, rank))
-        self.tables["unsafe"] = {"tok": pa.array([t for t, rank in low.items() if rank < t], pa.int32())}
-        self._db = None
+        self.together = np.zeros(1 << 16, dtype=bool)
+        whole = np.frombuffer(b"".join(ranks), dtype=np.uint8).astype(np.int32)
+        inside = np.ones(len(whole), dtype=bool)
+        inside[np.cumsum([len(t) for t in ranks]) - 1] = False
+        self.together[(whole[:-1] << 8 | whole[1:])[inside[:-1]]] = True
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+        self._table("merges", {"pair": pa.array(pair), "rank": pa.array(rank * 2 + (low[rank] < rank))})
+        self._table("pieces", {"tok": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks])})
         self.ids: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}  # words whose ids decode to other bytes than theirs
         self.again: set[str] = set()  # words that more than one block had
+        self.kept = 0  # bytes of the words in ids
 
-    @property
-    def db(self):
-        """The database with the vocabulary's tables, opened when it is first needed."""
-        if self._db is None:
-            import duckdb
-
-            self._db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
-            for name, columns in self.tables.items():
-                self._table(name, columns)
-        return self._db
-
-    def rest(self) -> None:
-        """Between tasks, keep only words that have come again, and give memory back to the system."""
-        self._forget()
-        if self._db is not None:
-            self._db.close()
-            self._db = None
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    def close(self) -> None:
+        self.db.close()
+        self.ids, self.again = {}, set()
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("arrow_in", pa.table(columns))
@@ -126,141 +120,137 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Contract words that are not known yet."""
-        part, rows = [], 0
-        for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
-            if len(raw) > LONG:
-                self._long(word, raw)
-                continue
-            part.append((word, raw))
-            rows += len(raw) ** 2
-            if rows > ROWS_A_QUERY:
-                self._short(part)
-                part, rows = [], 0
-        self._short(part)
-
-    def _forget(self) -> None:
-        """Make room: only words that have come again are kept, and not even these if they are too many."""
-        kept = self.again if len(self.again) < KEPT_WORDS // 2 else ()
-        self.ids = {w: self.ids[w] for w in kept}
-        self.odd = {w: self.odd[w] for w in kept if w in self.odd}
-        self.again = set()
-
-    def _bytes(self, raw: list[bytes]) -> dict:
-        """The words as token rows, one a byte, with the token after each (-1 at the end)."""
-        sizes = np.array([len(r) for r in raw])
-        ends = np.cumsum(sizes)
-        tok = self.bytes[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        after = np.append(tok[1:], np.int32(-1))
-        after[ends - 1] = -1
-        pos = (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32)
-        return {"word": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": pos, "tok": tok, "next_tok": after}
-
-    def _short(self, part: list[tuple[str, bytes]]) -> None:
-        if part:
-            self._table("tokens", self._bytes([raw for _, raw in part]))
-            self._keep([word for word, _ in part], self.db.execute(_SHORT).fetchall())
-
-    def _long(self, word: str, raw: bytes) -> None:
-        self._table("tokens", self._bytes([raw]))
-        self.db.execute("CREATE OR REPLACE TEMP TABLE finished (word INT, pos INT, tok INT)")
-        while True:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE round_out AS {_LONG}")
-            self.db.execute("INSERT INTO finished SELECT word, pos, tok FROM round_out WHERE done")
-            if not self.db.execute("SELECT count(*) FROM round_out WHERE NOT done").fetchall()[0][0]:
-                break
-            self.db.execute("CREATE OR REPLACE TEMP TABLE tokens AS SELECT word, pos, tok FROM round_out WHERE NOT done")
-        self._keep([word], self.db.execute(_JOINED).fetchall())
-
-    def _keep(self, words: list[str], rows: list[tuple]) -> None:
-        for k, ids, hexed in rows:
-            self.ids[words[k]] = ids
-            if (decoded := bytes.fromhex(hexed)) != words[k].encode("utf-8", "surrogatepass"):
-                self.odd[words[k]] = decoded
-
-    def text(self, words: list[str]) -> bytes:
-        """The bytes that the words' ids decode to; a word is kept once if they are its own."""
-        if self.odd and not self.odd.keys().isdisjoint(words):
-            return b"".join(self.odd[w] if w in self.odd else w.encode("utf-8", "surrogatepass") for w in words)
-        return "".join(words).encode("utf-8", "surrogatepass")
+        if not words:
+            return
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        pos, tok = self._contracted(data, starts[:-1])
+        names = list(map(str, tok.tolist()))
+        at = np.searchsorted(pos, starts).tolist()
+        for word, a, b in zip(words, at[:-1], at[1:], strict=True):
+            self.ids[word] = " ".join(names[a:b])
+        self.kept += len(data) + sum(map(len, names)) + len(names)
+
+    def _contracted(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and ids of the tokens of words that lie in ``data`` from ``starts`` on."""
+        edge = np.ones(len(data) + 1, dtype=bool)
+        edge[1:-1] = ~self.together[data[:-1].astype(np.int32) << 8 | data[1:]]
+        edge[starts] = True
+        begin = np.flatnonzero(edge)
+        tok = self.bytes[data]
+        after = np.where(edge[1:], np.int32(-1), np.append(tok[1:], np.int32(-1)))
+        part = (np.cumsum(edge[:-1]) - 1).astype(np.int32)
+        columns = {"part": part, "pos": np.arange(len(data)), "tok": tok, "next_tok": after}
+        at, left, done = 0, {k: v[:0] for k, v in columns.items()}, []
+        while at < len(data) or len(left["pos"]):
+            room = ROWS - len(left["pos"])
+            stop = at
+            if at < len(data) and room > 0:  # at least one part, and what follows within the bound
+                k = int(np.searchsorted(begin, at + room, side="right")) - 1
+                stop = int(max(begin[k], begin[int(np.searchsorted(begin, at, side="right"))] if not len(left["pos"]) else at))
+            rows = {k: np.concatenate([left[k], v[at:stop]]) for k, v in columns.items()}
+            at = stop
+            self._table("tokens", {k: pa.array(v) for k, v in rows.items()})
+            rounds = int(np.clip(MADE // len(rows["pos"]), 2, ROUNDS))
+            out = self.db.execute(_CONTRACT.format(rounds=rounds)).fetchnumpy()
+            fixed = out["state"] == -1
+            done.append((out["pos"][fixed], out["tok"][fixed]))
+            left = {k: np.asarray(out[k][~fixed]) for k in columns}
+            if len(left["pos"]):
+                self._cut_again(left, data)
+        pos, tok = (np.concatenate([np.asarray(d[i]) for d in done]) for i in (0, 1))
+        order = np.argsort(pos, kind="stable")
+        return pos[order], tok[order]
+
+    def _cut_again(self, left: dict, data: np.ndarray) -> None:
+        """Cut parts that are not finished where their tokens, joined, stand in no entry (equal hashes only hide a cut)."""
+        if self.inside is None:
+            self.inside = np.unique(np.fromiter((hash(t[i:j]) for t in self.entries for i in range(len(t)) for j in range(i + 2, len(t) + 1)), dtype=np.int64))
+        raw, begin, size = data.tobytes(), left["pos"].tolist(), self.sizes[left["tok"]]
+        ends = (left["pos"] + size).tolist()
+        joined = np.flatnonzero(left["next_tok"] != -1)
+        spans = np.fromiter((hash(raw[begin[k] : ends[k + 1]]) for k in joined.tolist()), dtype=np.int64, count=len(joined))
+        at = np.minimum(np.searchsorted(self.inside, spans), len(self.inside) - 1)
+        cut = joined[self.inside[at] != spans]
+        left["next_tok"][cut] = -1
+        ends_here = np.concatenate([[0], (left["next_tok"] == -1)[:-1]])
+        left["part"] = (-1 - np.cumsum(ends_here)).astype(np.int32)  # apart from the numbers of whole parts
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """The words of each text, all of them learned."""
         split = [self.find(t) for t in texts]
         wanted = set().union(*split)
         new = wanted.difference(self.ids)
-        if len(self.ids) + len(new) > KEPT_WORDS:
-            self._forget()
+        if len(self.ids) + len(new) > KEPT_WORDS or self.kept > KEPT_BYTES:
+            kept = self.again if len(self.again) < KEPT_WORDS // 2 else set()
+            self.ids = {w: self.ids[w] for w in kept}
+            self.kept = sum(len(w) + len(i) for w, i in self.ids.items())
+            self.again = set()
+            if self.kept > KEPT_BYTES // 2:
+                self.ids, self.kept = {}, 0
             new = wanted.difference(self.ids)
         self.again |= wanted & self.ids.keys()
         self.learn(sorted(new))
         return split
 
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids, by ordered aggregation."""
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each array of ids, by ordered aggregation."""
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         if not sizes.sum():
             return [b""] * len(ids)
-        word = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        self._table("encoded", {"word": word, "pos": np.arange(len(word), dtype=np.int32), "tok": np.concatenate([np.asarray(x, dtype=np.int32) for x in ids if len(x)])})
-        found = dict(self.db.execute("SELECT word, string_agg(hex, '' ORDER BY pos) FROM encoded JOIN pieces USING (tok) GROUP BY word").fetchall())
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(ids))]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(packed: bytes, pattern: str) -> Encoder:
-    """One encoder a worker and vocabulary; its memory of words serves task after task."""
-    key = hashlib.sha256(packed + pattern.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(packed, pattern)
-    return _ENCODERS[key]
+        text = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        self._table("encoded", {"text": pa.array(text), "pos": pa.array(np.arange(len(text), dtype=np.int32)), "tok": pa.array(np.concatenate(ids).astype(np.int32))})
+        found = dict(self.db.execute(_DECODE).fetchall())
+        return [found.get(i, "").encode("latin-1") for i in range(len(ids))]
 
 
 #: What a pass over the texts can return.
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
+_ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, outputs: tuple[str, ...] = ("n_tokens", "ids"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and the chosen OUTPUTS for each document, from its whole text.
 
-    ``ids`` are the token ids (special tokens do not occur), ``decoded`` the bytes they stand for;
+    ``ids`` are the token ids (special tokens do not occur), ``decoded`` the bytes that these ids decode to;
     ``ids_sha256`` is the digest of the decimal ids joined by single spaces. A null text counts as
     empty, and an empty text has no ids. Repeated rows are encoded each; an empty table gives an empty
-    result. Nothing is shuffled, and a lost task starts again from its input.
+    result. Nothing is shuffled, and a lost task starts again from its input. A task's words, database and
+    vocabulary go when it ends.
     """
     packed = read_ranks(path)
     ship_package(docs.sparkSession)
+    decoding = any(name.startswith("decoded") for name in outputs)
+
+    def coded(encoder: Encoder, part: list[str]) -> list[pa.Array]:
+        joined = [" ".join(map(encoder.ids.__getitem__, words)) for words in encoder.encode(part)]
+        ids = [np.fromstring(s, dtype=np.int32, sep=" ") for s in joined]
+        texts = encoder.decode(ids) if decoding else []
+        made = {
+            "n_tokens": lambda: map(len, ids),
+            "ids": lambda: ids,
+            "decoded": lambda: texts,
+            "ids_sha256": lambda: (hashlib.sha256(s.encode()).hexdigest() for s in joined),
+            "decoded_sha256": lambda: (hashlib.sha256(t).hexdigest() for t in texts),
+        }
+        return [pa.array(list(made[name]()), _ARROW[name]) for name in outputs]
 
     def run(batches):
-        encoder = _encoder(packed, pattern)
-        for batch in batches:
-            texts = batch.column("text")
-            at = 0
-            while at < len(texts):
-                part, size = [], 0
-                while at + len(part) < len(texts) and (not part or size < BLOCK):
-                    part.append(texts[at + len(part)].as_py())
-                    size += len(part[-1])
-                columns = {name: [] for name in outputs}
-                for words in encoder.encode(part):
-                    ids = " ".join(map(encoder.ids.__getitem__, words))
-                    for name, out in columns.items():
-                        if name == "n_tokens":
-                            out.append(ids.count(" ") + 1 if words else 0)
-                        elif name == "ids":
-                            out.append(np.fromstring(ids, dtype=np.int32, sep=" "))
-                        elif name == "ids_sha256":
-                            out.append(hashlib.sha256(ids.encode()).hexdigest())
-                        else:
-                            text = encoder.text(words)
-                            out.append(text if name == "decoded" else hashlib.sha256(text).hexdigest())
-                kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
-                arrays = [pa.array(v, kinds.get(k, pa.string())) for k, v in columns.items()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), *arrays], names=["doc_id", *columns])
-                at += len(part)
-        encoder.rest()
+        encoder = Encoder(packed, pattern)
+        try:
+            for batch in batches:
+                texts, at = batch.column("text"), 0
+                while at < len(texts):
+                    part, size = [], 0
+                    while at + len(part) < len(texts) and (not part or size < BLOCK):
+                        part.append(texts[at + len(part)].as_py())
+                        size += len(part[-1])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), *coded(encoder, part)], names=["doc_id", *outputs])
+                    at += len(part)
+        finally:
+            encoder.close()
+            trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -268,18 +258,24 @@ def encode(docs: DataFrame, path: str, pattern: str, *, outputs: tuple[str, ...]
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``doc_id, decoded``: the bytes of each row's token ids; null ids count as none."""
+    """``doc_id, decoded``: the bytes of each row's token ids, by ordered aggregation; null ids count as none.
+
+    Repeated rows are decoded each; an empty table gives an empty result.
+    """
     packed = read_ranks(path)
     ship_package(encoded.sparkSession)
 
     def run(batches):
-        encoder = _encoder(packed, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = encoder.decode([x or [] for x in part.column("ids").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
-        encoder.rest()
+        encoder = Encoder(packed, pattern)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    texts = encoder.decode([np.asarray(x or [], dtype=np.int32) for x in part.column("ids").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], names=["doc_id", "decoded"])
+        finally:
+            encoder.close()
+            trim()
 
     rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"doc_id {encoded.schema[id_col].dataType.simpleString()}, decoded binary")

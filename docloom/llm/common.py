@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import ship_package  # noqa: F401  the operators' other modules take it from here
+from docloom import session
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,16 +20,30 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of whole texts in an Arrow batch. Executors and Python workers hold a few batches each.
+BATCH_ROWS = 1000
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, and cut Arrow batches to BATCH_ROWS where the session has Spark's own number."""
+    session.ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder stands in, one an
-    application, which goes when the process ends.
+    Only on one machine (``local[...]``, as in tests) and without the setting a temporary folder stands in,
+    one an application, which goes when the process ends. A cluster must name its folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(spark.sparkContext, "_docloom_dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="docloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = spark.sparkContext._docloom_dir = f"file://{folder}"

@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -24,14 +26,81 @@ def encoder():
     return bpe.Encoder(bpe.read_ranks(PATH), P.PATTERN)
 
 
+def ids_of(encoder, words):
+    return [int(i) for w in words for i in encoder.ids[w].split()]
+
+
 def test_ids_and_round_trip(encoder, oracle):
     rng = random.Random(7)
     texts = [*TEXTS, *("".join(rng.choice("abcdeiou éß.,'\n7") for _ in range(400)) for _ in range(60)), "".join(rng.choice("abcdeiou") for _ in range(1500))]
     for text, words in zip(texts, encoder.encode(texts), strict=True):
-        ids = [int(i) for w in words for i in encoder.ids[w].split()]
+        ids = ids_of(encoder, words)
         assert ids == oracle.encode_ordinary(text)
-        assert encoder.text(words) == text.encode()
-        assert encoder.decode([ids]) == [text.encode()]
+        assert encoder.decode([np.array(ids, dtype=np.int32)]) == [text.encode()]
+
+
+def long_words():
+    """Single words of many bytes: one pair everywhere, two in turn, few letters, all letters, CJK, base64."""
+    rng = random.Random(8)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    return {
+        "one letter": "a" * 20_000,
+        "two letters": "ab" * 10_000,
+        "four letters": pick("acgt", 20_000),
+        "letters": pick("abcdefghijklmnopqrstuvwxyz", 20_000),
+        "cjk": "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(100_000)),
+        "base64": base64.b64encode(rng.randbytes(75_000)).decode(),
+    }
+
+
+@pytest.mark.parametrize("kind", long_words())
+def test_long_words(encoder, oracle, kind):
+    text = long_words()[kind]
+    began = time.process_time()
+    (words,) = encoder.encode([text])
+    assert time.process_time() - began < 10  # a round a merge would take minutes
+    assert ids_of(encoder, words) == oracle.encode_ordinary(text)
+
+
+def test_a_million_letters_end(encoder):
+    text = "".join(random.Random(9).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    (words,) = encoder.encode([text])
+    assert encoder.decode([np.array(ids_of(encoder, words), dtype=np.int32)]) == [text.encode()]
+
+
+def brute(ranks, word):
+    """One leftmost pair of minimum rank after another."""
+    parts = [bytes([b]) for b in word.encode()]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_any_order_of_ranks(tmp_path):
+    """Vocabularies whose tokens have pairs of lower rank than their own, with bounds that cut words into many queries."""
+    rng = random.Random(10)
+    for turn in range(12):
+        made = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(40)}
+        entries = [bytes([b]) for b in range(256)] + rng.sample(sorted(made), len(made))
+        (tmp_path / str(turn)).write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(entries)))
+        odd = bpe.Encoder(bpe.read_ranks(str(tmp_path / str(turn))), r"\p{L}+")
+        words = ["".join(rng.choice("abc" if rng.random() < 0.9 else "xyz") for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+        odd.learn(sorted(set(words)))
+        ranks = {t: i for i, t in enumerate(entries)}
+        assert all(odd.ids[w] == " ".join(map(str, brute(ranks, w))) for w in words)
+
+
+@pytest.mark.parametrize(("rows", "rounds"), [(7, 2), (100, 3), (10**6, 1)])
+def test_bounds_change_nothing(oracle, monkeypatch, rows, rounds):
+    monkeypatch.setattr(bpe, "ROWS", rows)
+    monkeypatch.setattr(bpe, "ROUNDS", max(2, rounds))
+    small = bpe.Encoder(bpe.read_ranks(PATH), P.PATTERN)
+    text = "internationalisation of mississippi " + "ha" * 40 + " " + "strengths" * 6
+    (words,) = small.encode([text])
+    assert ids_of(small, words) == oracle.encode_ordinary(text)
 
 
 def test_memory_of_words_is_bounded(oracle, monkeypatch):
@@ -40,8 +109,17 @@ def test_memory_of_words_is_bounded(oracle, monkeypatch):
     for i in range(8):
         text = " ".join(f"word{i}x{j}" for j in range(20))
         (words,) = small.encode([text])
-        assert [int(k) for w in words for k in small.ids[w].split()] == oracle.encode_ordinary(text)
+        assert ids_of(small, words) == oracle.encode_ordinary(text)
     assert len(small.ids) <= 60
+    small.close()
+    assert not small.ids
+
+
+def test_empty_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [0, 1])], "doc_id long, ids array<int>")
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(rows, PATH, P.PATTERN).collect()}
+    assert got[1] == got[2] == b"" and len(got[3]) == 2
+    assert bpe.decode(rows.limit(0), PATH, P.PATTERN).count() == 0
 
 
 def test_frames(spark, odd, odd_rows, empty, oracle):
