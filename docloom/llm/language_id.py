@@ -2,16 +2,18 @@
 
 The kernel of two texts is the mean, over n from 1 to 4, of the cosine of their sets of byte n-grams
 (lower-cased letters; everything else is a blank): a blended spectrum of presences. N-grams fall into
-hashed bins. A bounded sample of labelled documents is fitted on the driver: landmarks among them give
-the Nystroem features, and kernel ridge regression, one language against the rest, the weights. With
-presences, a kernel value is a product of feature vectors, so landmarks and weights fold into one
-matrix; whole texts are then scored by products of batches with it.
+hashed bins. Presences say little once most n-grams occur, so a text is taken in pieces of one size, and its
+score is the mean over all its pieces. A bounded sample of pieces of labelled documents is fitted on the driver:
+landmarks among them give the Nystroem features, and kernel ridge regression, one language against the rest,
+the weights. With presences, a kernel value is a product of feature vectors, so landmarks and weights fold into
+one matrix; all pieces of whole texts are then scored by products of batches with it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import hash32, ship_package
 from docloom.llm.textbuffer import strings
 
-#: Bins of the n-grams of length 1, 2, 3 and 4.
-BINS = (256, 2048, 4096, 4096)
+#: Bins of the n-grams of length 1, 2, 3 and 4, several times what a piece can fill. Bytes of a piece.
+BINS = (256, 2048, 8192, 16384)
+PIECE = 4096
 #: The bound of the training sample, and of the landmarks, for each language.
 SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 300, 64
 RIDGE, SHARPNESS = 1e-2, 4.0
@@ -77,9 +80,19 @@ class KernelModel:
         w = np.linalg.solve(phi.T @ (phi * weight[:, None]) + RIDGE * np.eye(len(z)), phi.T @ (y * weight[:, None]))
         return cls(languages, (z.T @ (root @ w)).astype(np.float32))
 
+    def values(self, texts: list[np.ndarray], block: int = 64) -> np.ndarray:
+        """Decision values of each whole text (its bytes, at least one) for each language: the mean over its pieces by length."""
+        pieces = [(row, raw[at : at + PIECE]) for row, raw in enumerate(texts) for at in range(0, len(raw), PIECE)]
+        out = np.zeros((len(texts), len(self.languages)))
+        for at in range(0, len(pieces), block):
+            part = pieces[at : at + block]
+            rows, share = [row for row, _ in part], np.array([len(raw) / len(texts[row]) for row, raw in part])
+            np.add.at(out, rows, (presences([raw for _, raw in part]) @ self.weights) * share[:, None])
+        return out
+
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language of each text, and its probability."""
-        f = SHARPNESS * (presences(texts) @ self.weights)
+        f = SHARPNESS * self.values(texts)
         p = np.exp(f - f.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -89,11 +102,12 @@ class KernelModel:
 def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KernelModel:
     """Fit on about ``per_language`` documents of each label, never more than twice that.
 
-    The sample is what has the smallest hashes of the id; how small follows from the label's count.
-    Rows without a label or text do not take part.
+    The sample is what has the smallest hashes of the id; how small follows from the label's count. Of each
+    of its documents one piece of at most PIECE characters is taken, at a place that the hash chooses, so that
+    the sample is bounded in bytes too. Rows without a label or text do not take part.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), hash32(F.col(id_col), "lang/").alias("h"), F.col(text_col).alias("text"))
+    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), hash32(F.col(id_col), "lang/").alias("h"), _piece(F.col(text_col), hash32(F.col(id_col), "piece/")).alias("text"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     limits = [F.when(F.col("lang") == k, F.lit(int(min(1.0, per_language / n) * (1 << 32)))) for k, n in counts.items()]
     if not limits:
@@ -102,6 +116,11 @@ def fit(labelled: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, id_col:
     return KernelModel.fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
+def _piece(text: Column, h: Column) -> Column:
+    """The text itself, or PIECE characters of a longer one from a hashed place on."""
+    return F.substring(text, (F.pmod(h, F.greatest(F.lit(1), F.length(text) - PIECE + 1)) + 1).cast("int"), F.lit(PIECE))
+
+
 def predict(docs: DataFrame, model: KernelModel, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """``doc_id, lang_pred, score`` (and the columns ``keep``) for each row, from its whole text alone.
 
@@ -122,13 +141,19 @@ def predict(docs: DataFrame, model: KernelModel, *, id_col: str = "doc_id", text
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def keep_determined(docs: DataFrame, model: KernelModel, *, text_col: str = "text") -> DataFrame:
-    """The documents whose language the model can tell, with all their columns; ``und`` ones go."""
+def keep_determined(docs: DataFrame, model: KernelModel, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents whose language the model can tell, with all their columns; ``und`` ones go.
+
+    Where ``lang_col`` is a string column of ``docs``, its nulls become the predicted language.
+    """
     label, at = _labeller(model), docs.columns.index(text_col)
+    named = docs.columns.index(lang_col) if lang_col in docs.columns and docs.schema[lang_col].dataType.simpleString() == "string" else None
 
     def run(batches):
         for batch in batches:
             labels, _ = label(batch.column(at))
+            if named is not None:
+                batch = batch.set_column(named, batch.schema.field(named), pc.coalesce(batch.column(named), pa.array(labels, batch.schema.field(named).type)))
             yield batch.filter(pa.array([x != UNDETERMINED for x in labels], pa.bool_()))
 
     ship_package(docs.sparkSession)
