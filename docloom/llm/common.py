@@ -52,7 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of the shared folder that nothing has been written to; :func:`release` deletes it."""
-    return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext._docloom_paths = [*getattr(spark.sparkContext, "_docloom_paths", ()), path]
+    return path
 
 
 @contextmanager
@@ -83,13 +85,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialise` that nothing will read again."""
-    delete(df.sparkSession, df._docloom_path)
+    """Delete the files of a table made by :func:`materialise` that nothing will read again; other tables have none."""
+    if path := getattr(df, "_docloom_path", None):
+        _forget(df.sparkSession, [path])
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table that this application has written."""
-    delete(spark, f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}")
+def written(spark: SparkSession) -> int:
+    """How many intermediate tables are there: a mark for :func:`release`."""
+    return len(getattr(spark.sparkContext, "_docloom_paths", ()))
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the intermediate tables that this application has written since a mark, except one that is still read."""
+    spare = getattr(but, "_docloom_path", None)
+    _forget(spark, [p for p in getattr(spark.sparkContext, "_docloom_paths", ())[since:] if p != spare])
+
+
+def _forget(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        delete(spark, path)
+    spark.sparkContext._docloom_paths = [p for p in getattr(spark.sparkContext, "_docloom_paths", ()) if p not in paths]
 
 
 def delete(spark: SparkSession, path: str) -> None:

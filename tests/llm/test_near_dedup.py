@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from docloom.llm import near_dedup
 from tests.llm.conftest import make_docs, words
@@ -76,13 +77,53 @@ def test_empty_blocks(spark, monkeypatch):
     assert got(make_docs(spark, rows), 4) == brute(rows, 4)
 
 
+def test_small_blocks(spark, monkeypatch):
+    """Buckets of several components, cut into many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 5)
+    rng = random.Random(13)
+    base = words(rng, 100, 10**6)
+    rows = [(i, edited(rng, edited(random.Random(i // 10), base, 12), 1), "en", "a") for i in range(80)]
+    assert got(make_docs(spark, rows).repartition(3), 4) == brute(rows, 4)
+
+
+def test_rows_of_one_large_bucket(spark):
+    """20,000 unlinked classes of one bucket: sketches only, and no more rows than members times blocks."""
+    ids = spark.range(20_000).select("id", F.lit(7).cast("long").alias("band"), F.lit(0).alias("nth"), F.col("id").alias("component"))
+    classes = spark.range(20_000).select("id", F.lit(100).cast("long").alias("n_shingles"), F.lit(bytearray(2 * near_dedup.REGISTERS)).alias("sketch"))
+    sent = near_dedup._blocked(ids, classes)
+    assert "shingles" not in sent.columns
+    assert sent.count() <= 20_000 * 21
+    largest = sent.groupBy("band", "i", "j").count().agg(F.max("count")).head()[0]
+    assert largest < 3 * near_dedup.BLOCK_MEMBERS
+
+
+def test_bands_propose_what_is_linked():
+    """Recall of the bands at the threshold, measured on registers of random sets."""
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(600):
+        common = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 10, dtype=np.uint64)]) * np.uint64(2)) for _ in range(2))
+        x, y = (near_dedup.registers(s)[: near_dedup.BANDS * near_dedup.BAND].reshape(near_dedup.BANDS, -1) for s in (a, b))
+        met += bool((x == y).all(axis=1).any())
+    assert met / 600 >= 0.99
+
+
+def test_repeated_rows_leave_one(spark):
+    text = "some text of more than five words " * 3
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (1, text, "fr", "b"), (2, text, "en", "a"), (None, None, "en", "a"), (None, None, "en", "a"), (None, "x y z", "en", "a")]
+    kept = near_dedup.keep_representatives(make_docs(spark, rows, clash=True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, text), (None, None), (None, "x y z")], key=repr)
+    assert near_dedup.keep_representatives(make_docs(spark, rows).limit(0)).count() == 0
+
+
 def test_odd_rows(odd, odd_rows, empty):
     assert got(odd, 4) == brute(odd_rows, 4)
     assert got(empty, 4) == []
     kept = near_dedup.keep_representatives(odd)
     assert kept.columns == odd.columns
-    want = {d for d, _, c, k in brute(odd_rows, 5) if k}
-    assert {r.doc_id for r in kept.collect()} == want
+    want = sorted(({(d, t) for (d, t, *_) in odd_rows for e, _, c, k in brute(odd_rows, 5) if k and e == d}), key=repr)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == want
 
 
 def test_registers_estimate_similarity():
