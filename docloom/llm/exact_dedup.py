@@ -23,6 +23,8 @@ from docloom.llm.common import SPACE, materialise, ship_package
 
 SLOTS = 4
 KICKS = 200
+#: Rows for which an index partition is meant; more rows make more partitions.
+ROWS_PER_INDEX = 200_000
 
 
 class CuckooIndex:
@@ -147,8 +149,9 @@ def build_index(rows: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """``digest, keep_id, group_size`` of the live digests in ``rows`` (doc_id, digest).
 
     keep_id is the smallest doc_id; null ids count after all others. ``removed`` (digest) lists digests
-    to delete after the insertions.
+    to delete after the insertions. ``rows`` is counted first, so it should be a written table.
     """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_INDEX))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def combine(batches):
@@ -191,7 +194,7 @@ def build_index(rows: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     if removed is not None:
         ops = ops.unionByName(removed.select("digest", F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("gone")))
     ship_package(rows.sparkSession)
-    dealt = ops.mapInArrow(combine, f"digest binary, doc_id {kind}, n long, gone int").repartition("digest")
+    dealt = ops.mapInArrow(combine, f"digest binary, doc_id {kind}, n long, gone int").repartition(parts, "digest")
     return dealt.mapInArrow(index, f"digest binary, keep_id {kind}, group_size long")
 
 
@@ -219,14 +222,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, with all their columns: one row for each normalised text.
 
-    A document goes when an equal text has a smaller id. The decision is joined by digest and id, so
-    that two rows with one id and different texts are judged apart.
+    A document goes when an equal text has a smaller id (null ids last). Rows of one id and one text count as
+    copies too: of those that would all stay, the one with the smallest hash of all its columns does (any one
+    of several equal rows). An empty table gives an empty result.
+
+    Decisions are made on digests and ids. The documents themselves then meet only the ids that go, and the few
+    keys that several rows share.
     """
-    key = "__docloom_digest"
-    judged = docs.withColumn(key, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
+    digest, key_id = "__docloom_digest", "__docloom_id"
+    judged = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
     rows = materialise(digests(docs, id_col, text_col), "digests")
-    groups = build_index(rows).where("group_size > 1").select(F.col("digest").alias(key), F.col("keep_id").alias("__docloom_keep"))
-    stays = F.col("__docloom_keep").eqNullSafe(F.col(id_col)) | F.col("__docloom_group").isNull()
-    return judged.join(groups.withColumn("__docloom_group", F.lit(1)), key, "left").where(stays).select(*docs.columns)
+    groups = materialise(build_index(rows).where("group_size > 1"), "digest-groups")
+    copies = rows.join(groups, "digest").groupBy("digest", "doc_id").agg(F.first("keep_id").alias("keep_id"), F.count("*").alias("n"))
+    goes = ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    copies = materialise(copies.where(goes | (F.col("n") > 1)).select(F.col("digest").alias(digest), F.col("doc_id").alias(key_id), goes.alias("goes")), "digest-copies")
+
+    def same(keys: DataFrame):
+        return (judged[digest] == keys[digest]) & judged[id_col].eqNullSafe(keys[key_id])
+
+    twins = copies.where("not goes")
+    alone = judged.join(copies, same(copies), "left_anti").select(*docs.columns)
+    shared = judged.join(twins, same(twins), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = shared.groupBy(digest, F.col(id_col).alias(key_id)).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))).alias("__docloom_row"))
+    return alone.unionByName(one.select("__docloom_row.*"))

@@ -61,11 +61,20 @@ def test_against_brute_force(spark, odd, odd_rows, empty):
     assert got(make_docs(spark, rows).repartition(7)) == brute(rows)
 
 
-def test_keep_first_takes_effect(odd, odd_rows):
+def test_keep_first_takes_effect(odd, odd_rows, empty):
     kept = exact_dedup.keep_first(odd)
     assert kept.columns == odd.columns
-    want = sorted((d for d, _, _, k, _ in brute(odd_rows) if k), key=repr)
+    want = sorted({d for d, _, _, k, _ in brute(odd_rows) if k}, key=repr)  # repeated rows leave one
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == want
+    assert exact_dedup.keep_first(empty).count() == 0
+
+
+def test_copies_without_ids_leave_one(spark):
+    rows = [(None, "same  text", "en", "a"), (None, "same text", "en", "b"), (None, "same text", "en", "b"), (None, "other", "en", "a"), (3, "third", "en", "a"), (None, "third", "en", "a"), (3, "fourth", "en", "a"), (None, None, "en", "a"), (None, "", "fr", "a")]
+    docs = make_docs(spark, rows, clash=True)
+    one, two = (sorted(((r.doc_id, r.text) for r in exact_dedup.keep_first(d).collect()), key=repr) for d in (docs, docs.repartition(4)))
+    assert {(d, (t or "").replace("  ", " ")) for d, t in one} == {(3, "fourth"), (3, "third"), (None, "other"), (None, "same text"), (None, "")}
+    assert one == two and len(one) == 5  # which of the equal texts stays does not depend on partitions
 
 
 def test_deletion_of_live_digests(spark):
