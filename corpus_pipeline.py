@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from docloom.llm.common import drop, materialise
+from docloom.llm.common import drop, materialise, release, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay; those without any letter go."""
+    """Documents whose language can be told stay, those without any letter go; a missing ``lang`` becomes the predicted one."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.keep_determined(docs, model)
 
@@ -48,11 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next reads it; only the last copy stays."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """All stages over ``documents``, each written to the shared folder before the next reads it.
+
+    Tables that a stage has written go with its end, and its input too; the last stage's input stays.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
-        if before is not None:
-            drop(before)
-        before = docs
+        before, mark = docs, written(spark)
+        docs = materialise(stage(spark, before, sf_dir), "stage-" + name.replace(" ", "-"))
+        release(spark, mark, but=docs)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
