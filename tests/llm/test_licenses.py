@@ -1,7 +1,11 @@
+import math
 import random
 import re
 
+import pytest
+
 from docloom.llm import licenses
+from docloom.llm.queries import op3_license_scan
 from tests.llm.conftest import make_docs, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -41,6 +45,60 @@ def test_notices_and_scores(spark):
     assert {c.label: c.cover for c in got[0].covers}["apache-2.0"] > 0.99
 
 
+def brute_notices(texts, least_cover=licenses.LEAST_COVER):
+    """Labels, covers and score of every text, by trying every template at every place."""
+    docs = [tokens(t) for t in texts]
+    templates = licenses.templates_of(licenses.BASE, licenses.NOTICES)
+    vocabulary = {w for t in templates for w in t["text"]}
+    df = {w: sum(w in set(d) for d in docs) for w in vocabulary}
+    idf = {w: 1 + math.log((len(docs) + 1) / (df[w] + 1)) for w in vocabulary}
+    out = []
+    for d in docs:
+        covers = {}
+        for t in templates:
+            for at in range(len(d)):
+                if d[at : at + len(t["key"])] != t["key"]:
+                    continue
+                start = at - t["shift"]
+                inside = sum(idf[w] for j, w in enumerate(t["text"]) if 0 <= start + j < len(d) and d[start + j] == w)
+                share = 1.0 if t["base"] else inside / sum(idf[w] for w in t["text"])
+                if t["base"] or share >= least_cover:
+                    covers[t["label"]] = max(covers.get(t["label"], 0), min(1.0, share))
+        out.append((",".join(sorted(covers)), round(max(covers.values(), default=0.0), 9), {k: round(v, 9) for k, v in covers.items()}))
+    return out
+
+
+def damaged(rng, text):
+    """A notice with words changed, cut off at either end, or repeated."""
+    w = text.split()
+    for _ in range(rng.choice([0, 0, 1, 3, 12])):
+        w[rng.randrange(len(w))] = rng.choice(["changed", "license", "the"])
+    a = rng.choice([0, 0, 0, 2, 9])
+    return " ".join(w[a : len(w) - rng.choice([0, 0, 3, 15])])
+
+
+def test_all_templates_against_brute_force(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(250):
+        parts = [damaged(rng, rng.choice(licenses.NOTICES)[1]) if rng.random() < 0.6 else rng.choice([*SNIPPETS, words(rng, 6)]) for _ in range(rng.randrange(4))]
+        rows.append((i, " ".join(parts), "en", "a"))
+    got = {r.doc_id: (r.labels, round(r.score, 9), {c.label: round(c.cover, 9) for c in r.covers}) for r in licenses.scan(make_docs(spark, rows).repartition(3)).collect()}
+    assert [got[d] for d, *_ in rows] == brute_notices([t for _, t, *_ in rows])
+    assert len({k for _, _, covers in got.values() for k in covers}) > 15
+
+
+def test_labels_of_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in op3_license_scan(spark, "/root/testdata/sf0.001").collect()}
+    assert [got[r.doc_id] for r in rows] == [x[:2] for x in brute_notices([r.text for r in rows])]
+
+
+def test_a_template_needs_its_key():
+    with pytest.raises(ValueError, match="key phrase"):
+        licenses.templates_of({}, (("x", "some text", "other"),))
+
+
 def test_odd_rows(odd, odd_rows, empty):
     got = sorted((r.n_words, r.n_base) for r in licenses.scan(odd).collect())
     assert got == sorted((len(tokens(t)), 0) for _, t, *_ in odd_rows)
