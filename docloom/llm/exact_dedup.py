@@ -228,8 +228,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     copies too: of those that would all stay, the one with the smallest hash of all its columns does (any one
     of several equal rows). An empty table gives an empty result.
 
-    Decisions are made on digests and ids. The documents themselves then meet only the ids that go, and the few
-    keys that several rows share.
+    Decisions are made on digests and ids. The documents themselves then meet only the ids that go, in one merge
+    join at every size, and the keys that several rows share, if there are any.
     """
     digest, key_id = "__docloom_digest", "__docloom_id"
     judged = docs.withColumn(digest, F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
@@ -242,9 +242,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def same(keys: DataFrame):
         return (judged[digest] == keys[digest]) & judged[id_col].eqNullSafe(keys[key_id])
 
+    alone = judged.join(copies.hint("merge"), same(copies), "left_anti").select(*docs.columns)
     twins = copies.where("not goes")
-    alone = judged.join(copies, same(copies), "left_anti").select(*docs.columns)
-    shared = judged.join(twins, same(twins), "left_semi")
+    if not twins.limit(1).count():
+        return alone
+    shared = judged.join(twins.hint("merge"), same(twins), "left_semi")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     one = shared.groupBy(digest, F.col(id_col).alias(key_id)).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))).alias("__docloom_row"))
     return alone.unionByName(one.select("__docloom_row.*"))

@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    return shingle_sets(rows.join(ids, "id", "left_semi"), size)
+    return shingle_sets(rows.join(ids.hint("merge"), "id", "left_semi"), size)
 
 
 def keep_representatives(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,8 +374,11 @@ def keep_representatives(docs: DataFrame, *, shingle: int = 5, threshold: float
     kept = near_duplicates(docs, shingle=shingle, threshold=threshold, id_col=id_col, text_col=text_col).where("kept")
     stays = materialise(kept.groupBy(F.col("doc_id").alias("__docloom_stays")).agg(F.count("*").alias("__docloom_n")), "near-stays")
     same = F.col(id_col).eqNullSafe(F.col("__docloom_stays"))
-    alone = docs.join(stays.where("__docloom_n = 1"), same, "left_semi")
-    twins = docs.join(stays.where("__docloom_n > 1"), same, "left_semi")
+    alone = docs.join(stays.where("__docloom_n = 1").hint("merge"), same, "left_semi")
+    repeated = stays.where("__docloom_n > 1")
+    if not repeated.limit(1).count():
+        return alone
+    twins = docs.join(repeated.hint("merge"), same, "left_semi")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     one = twins.groupBy(F.col(id_col).alias("__docloom_id"), F.sha2(F.col(text_col), 256).alias("__docloom_text")).agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))).alias("__docloom_row"))
     return alone.unionByName(one.select("__docloom_row.*"))
