@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import ship_package
 
 #: Characters of text handled at once. Words (and their bytes, with those of their ids) kept during a task.
-BLOCK, KEPT_WORDS, KEPT_BYTES = 2 << 20, 250_000, 16 << 20
+BLOCK, KEPT_WORDS, KEPT_BYTES = 1 << 19, 250_000, 16 << 20
 #: Bytes contracted by one query (at least one part), rounds of a query, and rows that its rounds may make.
 ROWS, ROUNDS, MADE = 200_000, 32, 12_000_000
 
