@@ -110,15 +110,23 @@ def confusion(rows: DataFrame, gold: str, pred: str) -> DataFrame:
     return rows.groupBy(F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
 
 
-def format_conforms(answer: Column, kind: str) -> Column:
-    """Whether an answer has the asked format: int, float, list or string."""
-    s = F.trim(T.text(answer))
-    return {
-        "int": F.regexp_replace(s, ",", "").rlike(r"^[+-]?\d+$"),
-        "float": F.regexp_replace(F.regexp_replace(s, ",", ""), "%$", "").rlike(r"^[+-]?\d*\.?\d+$"),
-        "list": s.rlike(r"^\[.*\]$") | s.contains(",") | s.contains(";"),
-        "string": s != "",
-    }.get(kind, s != "").cast("double")
+def format_conforms(answer: Column, spec: str | None) -> Column:
+    """1.0 if an answer has one of the asked formats (``int|float|list|string``), else 0.0.
+
+    A blank answer never has; without a format any other has. Numbers may have thousands separators, a float
+    percent signs. A list has a line break, semicolon or comma. A format of another name is never met.
+    """
+    s = F.regexp_replace(T.text(answer), r"^\s+|\s+$", "")
+    number = F.trim(F.replace(s, F.lit(","), F.lit("")))
+    rules = {
+        "int": number.rlike(r"^[+-]?\d+(_\d+)*$"),
+        "float": F.trim(F.replace(number, F.lit("%"), F.lit(""))).rlike(r"(?i)^[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)$"),
+        "list": s.rlike(r"[\n;,]"),
+        "string": F.lit(True),
+    }
+    options = [o.strip() for o in (spec or "").split("|") if o.strip()]
+    met = reduce(lambda a, b: a | b, [rules.get(o, F.lit(False)) for o in options]) if options else F.lit(True)
+    return ((s != "") & met).cast("double")
 
 
 def source_priority(hits: DataFrame) -> DataFrame:

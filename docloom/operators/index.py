@@ -15,8 +15,11 @@ from docloom.plans.executor import Catalog
 SPARSE_FIELDS = ["title", "caption", "table_schema", "labels", "aliases", "body"]
 
 
-def build_views(nodes: DataFrame, *, compat: bool = False) -> dict[str, DataFrame]:
-    """Every view of trees (rows of ``build_tree`` with optional media columns), lazily."""
+def build_views(nodes: DataFrame, *, compat: bool = False, encode: Callable[[list[str]], list[list[float]]] | None = None) -> dict[str, DataFrame]:
+    """Every view of trees (rows of ``build_tree`` with optional media columns), lazily.
+
+    ``encode`` makes the vectors of the dense view from batches of texts; without it they are hashed bags of words.
+    """
     leaves = nodes.where("type IN ('text', 'paragraph', 'list', 'equation')")
     leaf = chunks.chunk_texts(leaves.select("doc_id", "node_id", "page_idx", F.col("parent_id").alias("parent_section"), "text")).drop("text")
     full = views.with_columns(nodes, data="string")
@@ -25,6 +28,10 @@ def build_views(nodes: DataFrame, *, compat: bool = False) -> dict[str, DataFram
     sparse = views.sparse_docs(nodes, compat=compat)
     spans = views.figure_spans(nodes)
     summary = views.summary_nodes(nodes)
+    lists, list_stats = retrieval.posting_lists(sparse.withColumn("node_id", F.to_json(F.struct("doc_id", "node_id"))), SPARSE_FIELDS)
+    back = F.from_json("node_id", "doc_id string, node_id string")
+    lists = lists.withColumn("k", back).select("k.doc_id", "field", "term", "k.node_id", "role", "tf", "n")
+    figure_tokens = views.span_tokens(spans).join(nodes.select("doc_id", "node_id", "page_idx"), ["doc_id", "node_id"])
     return {
         "summary": summary,
         "dense_coarse": views.section_views(nodes),
@@ -34,7 +41,11 @@ def build_views(nodes: DataFrame, *, compat: bool = False) -> dict[str, DataFram
         "tables": tables,
         "table_rows": views.table_rows(tables),
         "figure_spans": spans,
-        "figure_tokens": views.span_tokens(spans).join(nodes.select("doc_id", "node_id", "page_idx"), ["doc_id", "node_id"]),
+        "figure_tokens": figure_tokens,
+        "figure_terms": figure_tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")),
+        "dense": dense_view(summary, encode),
+        "lists": lists,
+        "list_stats": list_stats,
         "edges": views.edges(nodes, leaf),
         "heading_index": views.heading_index(nodes),
         "heading_children": views.heading_children(nodes),
@@ -43,16 +54,20 @@ def build_views(nodes: DataFrame, *, compat: bool = False) -> dict[str, DataFram
     }
 
 
-def write_index(nodes: DataFrame, path: str, *, compat: bool = False) -> None:
-    """Write all views below ``path``, postings by field; a rerun replaces them."""
+def write_index(nodes: DataFrame, path: str, *, compat: bool = False, encode: Callable[[list[str]], list[list[float]]] | None = None) -> None:
+    """Write all views below ``path``, postings and posting lists by field; a rerun replaces them."""
     from docloom.sources.io import write_view
 
-    for name, view in build_views(nodes, compat=compat).items():
-        write_view(view, f"{path}/{name}", by="field" if name == "postings" else None)
+    for name, view in build_views(nodes, compat=compat, encode=encode).items():
+        write_view(view, f"{path}/{name}", by="field" if name in ("postings", "lists") else None)
 
 
 def load_catalog(spark: SparkSession, path: str, *, doc_id: str | None = None, encode: Callable[[str], list[float]] | None = None) -> Catalog:
-    """The catalog of a written index, of one document if asked."""
+    """The catalog of a written index, of one document if asked.
+
+    ``encode`` must be the encoder of the index for one text; without it, queries are hashed as the default view is.
+    The statistics of posting lists and figures are those of the whole index; one document's searches scan it.
+    """
 
     def view(name: str) -> DataFrame:
         df = spark.read.parquet(f"{path}/{name}")
@@ -63,6 +78,10 @@ def load_catalog(spark: SparkSession, path: str, *, doc_id: str | None = None, e
     modality = F.when(F.col("role").isin("table", "image"), F.col("role")).otherwise("text")
     return Catalog(
         sparse=view("sparse_coarse"),
+        dense=view("dense"),
+        lists=view("lists") if doc_id is None else None,
+        list_stats=spark.read.parquet(f"{path}/list_stats"),
+        figure_least=spark.read.parquet(f"{path}/figure_terms").agg(F.min("df").alias("least_df")) if doc_id is None else None,
         tables=view("tables"),
         figure_tokens=view("figure_tokens"),
         figure_spans=view("figure_spans"),
@@ -74,10 +93,25 @@ def load_catalog(spark: SparkSession, path: str, *, doc_id: str | None = None, e
         texts=texts,
         evidence=summary.select("node_id", modality.alias("modality"), F.col("dense_text").alias("content")),
         labels=view("id_maps").where("kind = 'label'").select(F.col("key").alias("label"), "node_id"),
-        encode=encode,
+        encode=encode or (lambda query: encode_query(spark, query)),
     )
 
 
+def dense_view(summary: DataFrame, encode: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """Summary rows with ``embedding``: their dense text by an encoder, by default the hashed bag of words."""
+    kept = [c for c in ("doc_id", "node_id", "role", "page_idx") if c in summary.columns]
+    if encode is not None:
+        return embed(summary.select(*kept, "dense_text"), encode).select(*kept, "embedding")
+    return summary.select(*kept, F.transform(retrieval.hash_encode(F.col("dense_text")), lambda x: x.cast("float")).alias("embedding"))
+
+
+def encode_query(spark: SparkSession, query: str, encode: Callable[[list[str]], list[list[float]]] | None = None) -> list[float]:
+    """The vector of a query, by the same encoder as :func:`dense_view`."""
+    if encode is not None:
+        return [float(x) for x in encode([query])[0]]
+    return list(spark.range(1).select(retrieval.hash_encode(F.lit(query))).head()[0])
+
+
 def embed(rows: DataFrame, encode: Callable[[list[str]], list[list[float]]], *, text_col: str = "dense_text") -> DataFrame:
     """Add ``embedding``, normalised, by an encoder that takes batches of texts."""
 
@@ -91,6 +125,13 @@ def embed(rows: DataFrame, encode: Callable[[list[str]], list[list[float]]], *,
 
 
 def bm25_pages(chunks_: DataFrame, query: str, *, k: int = 5) -> DataFrame:
-    """Top k pages (page_idx) by BM25 over their whole text."""
-    pages = chunks_.groupBy("page_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), " ").alias("body"))
-    return retrieval.bm25f(pages.withColumn("node_id", F.col("page_idx").cast("string")), query, weights={"body": 1.0}, k=k)
+    """Top k pages by BM25 over their whole text: ``node_id, doc_id, page_idx, score, why``.
+
+    A page is one of its document; ``node_id`` is ``doc:page``. Without a ``doc_id`` column the chunks are one
+    document's, and ``node_id`` is the page.
+    """
+    keys = [c for c in ("doc_id", "page_idx") if c in chunks_.columns]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), " ")
+    pages = chunks_.groupBy(*keys).agg(text.alias("body")).withColumn("node_id", F.concat_ws(":", *(F.col(c).cast("string") for c in keys)))
+    hits = retrieval.bm25f(pages, query, weights={"body": 1.0}, k=k)
+    return hits.join(pages.select("node_id", *keys), "node_id").select("node_id", *keys, "score", "why")

@@ -113,11 +113,12 @@ def table_search(tables: DataFrame, *, columns=(), rows=(), keywords=(), query:
     return found.withColumn("best", best).where("best > 0").select("node_id", F.lit("table").alias("evidence_type"), F.lit("table").alias("modality"), F.least(F.lit(1.0), F.col("best") / 5.0).alias("score"), "caption", "columns", "matched")
 
 
-def chart_search(tokens: DataFrame, *, keywords=(), units=(), years=(), chart_types=(), pages=(), parent: str | None = None, k: int = 6, meta: DataFrame | None = None) -> DataFrame:
+def chart_search(tokens: DataFrame, *, keywords=(), units=(), years=(), chart_types=(), pages=(), parent: str | None = None, k: int = 6, meta: DataFrame | None = None, least_df: DataFrame | None = None) -> DataFrame:
     """Figures by BM25 over their span tokens (node_id, tokens, page_idx).
 
     Pages, if any figure is on them, narrow the corpus before its statistics are taken. Terms are
-    tokenised, stemmed, and tokenised once more, as the indexed side expects.
+    tokenised, stemmed, and tokenised once more, as the indexed side expects. ``parent`` narrows the hits to a
+    section's figures (``meta``: node_id, parent_section); ``least_df`` is the whole corpus's, from its index.
     """
     wanted = query_terms([*query_terms(keywords), *query_terms(units), *[str(y) for y in years], *query_terms(chart_types)])
     candidates = tokens
@@ -125,10 +126,8 @@ def chart_search(tokens: DataFrame, *, keywords=(), units=(), years=(), chart_ty
         on_page = F.col("page_idx").isin(*[int(p) for p in pages])
         any_there = tokens.agg(F.coalesce(F.bool_or(on_page), F.lit(False)).alias("__any"))
         candidates = tokens.crossJoin(F.broadcast(any_there)).where(on_page | ~F.col("__any")).drop("__any")  # one row
-    if parent is None:
-        return retrieval.bm25_tokens(candidates, wanted, k=k)
-    every = retrieval.bm25_tokens(candidates, wanted, k=1 << 30)
-    return retrieval.top_k(every.join(meta.where(F.col("parent_section") == parent), "node_id", "left_semi"), k)
+    among = None if parent is None else meta.where(F.col("parent_section") == parent)
+    return retrieval.bm25_tokens(candidates, wanted, k=k, among=among, least_df=None if pages else least_df)
 
 
 def figure_metadata(images: DataFrame, spans: DataFrame) -> DataFrame:

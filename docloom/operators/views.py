@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import html
 from docloom.functions import text as T
 from docloom.operators import tree
 
@@ -259,6 +260,9 @@ def edges(nodes: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     out = [edge(full.where("type IN ('image', 'table') AND parent_id IS NOT NULL"), F.col("parent_id"), F.col("node_id"), "child")]
     columns = full.where("type = 'table'").select("doc_id", "node_id", F.explode(T.table_headers(F.col("data"))).alias("c"))
     out.append(edge(columns, F.col("node_id"), F.concat("node_id", F.lit(":col:"), "c"), "has_col", T.header_unit(F.col("c"))))
+    parsed = full.where("type = 'table' AND data IS NOT NULL").select("doc_id", "node_id", html.parse_table("data").alias("t"))
+    row_ids = F.explode(F.transform(F.sequence(F.lit(0), F.size("t.rows") - 1), lambda i: F.concat(F.col("node_id"), F.lit(":row:"), i.cast("string"))))
+    out.append(edge(parsed.where("size(t.rows) > 0").select("doc_id", "node_id", row_ids.alias("row_id")), F.col("node_id"), F.col("row_id"), "has_row"))
     spans = figure_spans(nodes)
     out.append(edge(spans, F.col("node_id"), F.col("span_id"), "has_span", F.col("role")))
     out.append(edge(tree.prev_next(nodes), F.col("src"), F.col("dst"), "prev_next"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from docloom.functions.scoring import quality
+from docloom.functions.scoring import format_conforms, quality
 from docloom.operators import tools
 from docloom.plans.executor import Catalog, Executor, run_plan
 from docloom.plans.slots import Slots
@@ -49,7 +49,8 @@ def ask(question: str, catalog: Catalog, *, slots: Slots | None = None, rounds:
         memory.visited.update(r["node_id"] for r in seen if r.get("node_id"))
         answer = slots.reason(seen)
         verdict = slots.judge(answer, len(seen))
-        total = _quality(seen, verdict["score"], answer["confidence"])
+        form = rows.sparkSession.range(1).select(format_conforms(F.lit(str(answer["answer"])), getattr(decision, "expected", None))).head()[0]
+        total = _quality(seen, form, verdict["score"], answer["confidence"])
         outcome = {**answer, "quality": total, "passed": verdict["passed"], "evidence": [r.get("node_id") for r in seen if r.get("node_id")]}
         memory.answers.append(outcome)
         if best is None or (outcome["passed"], total) > (best["passed"], best["quality"]):
@@ -61,7 +62,9 @@ def ask(question: str, catalog: Catalog, *, slots: Slots | None = None, rounds:
     return best or {"answer": GIVE_UP, "confidence": 0.0, "quality": 0.0, "passed": False, "evidence": []}
 
 
-def _quality(seen: list[dict], judged: float, confidence: float) -> float:
+def _quality(seen: list[dict], form: float, judged: float, confidence: float) -> float:
+    """Quality of an answer; its sources count as in :func:`docloom.functions.scoring.source_priority`."""
     covered = min(1.0, len(seen) / 6)
-    source = 1.0 if any(r.get("modality") == "table" or "result" in r for r in seen) else 0.3 if seen else 0.0
-    return quality(covered, 1.0 if seen else 0.0, judged, source, confidence)
+    kinds = {"table" if "result" in r else r.get("modality") for r in seen}
+    source = 1.0 if "table" in kinds else 0.6 if kinds & {"image", "figure", "chart"} else 0.3 if seen else 0.0
+    return quality(covered, form, judged, source, confidence)

@@ -10,11 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import compute, graph, pack, retrieval, tools
-from docloom.plans.ir import Node, Plan, Stage, should_run
+from docloom.operators import compute, graph, lookup, pack, retrieval, tools
+from docloom.plans.ir import Node, Plan, Stage, chosen_steps, should_run
 
 Tool = Callable[["Context", dict[str, Any]], DataFrame]
 
@@ -37,6 +37,16 @@ class Catalog:
     evidence: DataFrame | None = None
     labels: DataFrame | None = None
     encode: Callable[[str], list[float]] | None = None
+    #: Posting lists and their statistics (``retrieval.posting_lists``); lexical search reads them if they are there.
+    lists: DataFrame | None = None
+    list_stats: DataFrame | None = None
+    #: ``least_df`` of the figures' tokens.
+    figure_least: DataFrame | None = None
+    #: Image bytes by node (node_id, content), and a model that looks at one: (question, content) to answer, confidence, thinking.
+    images: DataFrame | None = None
+    look: Callable[[str, bytes], dict] | None = None
+    #: Reorders hits (node_id, role, score) of a search step for its query.
+    rank: Callable[[str, DataFrame], DataFrame] | None = None
 
 
 @dataclass
@@ -45,7 +55,15 @@ class Context:
     results: dict[str, DataFrame] = field(default_factory=dict)
 
     def source(self, args: dict[str, Any]) -> DataFrame:
-        return self.results[args["source"]]
+        """Rows of an earlier step, or of the node ids that ``source`` or ``node_ids`` list."""
+        named = args.get("source")
+        if isinstance(named, str) and named in self.results:
+            return self.results[named]
+        ids = args.get("node_ids") or ([named] if isinstance(named, str) else named)
+        if not ids:
+            raise KeyError(f"no step has saved {named!r}")
+        spark = next(t for t in vars(self.catalog).values() if isinstance(t, DataFrame)).sparkSession
+        return spark.createDataFrame([(str(i), 1.0) for i in dict.fromkeys(ids)], "node_id string, score double")
 
 
 class Registry:
@@ -104,10 +122,14 @@ def _pack(ctx: Context, a: dict[str, Any]) -> DataFrame:
 
 
 def _dense(ctx: Context, a: dict[str, Any]) -> DataFrame:
+    if ctx.catalog.dense is None:
+        raise ValueError("the catalog has no vectors")
     return retrieval.dense(ctx.catalog.dense, a.get("vector") or ctx.catalog.encode(a["query"]), k=a.get("k", 20), roles=a.get("roles"))
 
 
 def _sparse(ctx: Context, a: dict[str, Any]) -> DataFrame:
+    if ctx.catalog.lists is not None:
+        return retrieval.bm25f_lists(ctx.catalog.lists, ctx.catalog.list_stats, a["query"], roles=a.get("roles"), k=a.get("k", 20))
     return retrieval.bm25f(ctx.catalog.sparse, a["query"], roles=a.get("roles"), k=a.get("k", 20))
 
 
@@ -116,16 +138,51 @@ def _hybrid(ctx: Context, a: dict[str, Any]) -> DataFrame:
     return retrieval.top_k(retrieval.rrf(_dense(ctx, wide), _sparse(ctx, wide)), a.get("k", 20))
 
 
+def _ranked(search: Tool) -> Tool:
+    """A search whose hits the catalog's ranker puts in order, if there is one."""
+
+    def run(ctx: Context, a: dict[str, Any]) -> DataFrame:
+        hits = search(ctx, a)
+        return hits if ctx.catalog.rank is None else retrieval.top_k(ctx.catalog.rank(a["query"], hits), a.get("k", 20))
+
+    return run
+
+
+def _look(ctx: Context, a: dict[str, Any]) -> DataFrame:
+    """One row ``answer, confidence, thinking, n_images`` of a model that looks at the images of the hits, in their order."""
+    question, look = " ".join(str(a.get("question") or "").split()), ctx.catalog.look
+    if not question:
+        raise ValueError("a question is required")
+    if look is None or ctx.catalog.images is None:
+        raise ValueError("the catalog has no images, or no model for them")
+    hits = ctx.source(a)
+    score = F.max("score") if "score" in hits.columns else F.lit(0.0)
+    wanted = retrieval.ranked(hits.groupBy("node_id").agg(score.alias("score")), "node_id").select("node_id", F.col("rank").alias("ord"))
+    rows = ctx.catalog.images.select("node_id", "content").join(wanted, "node_id").select("ord", "content")
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            said = [look(question, bytes(c)) if c is not None else {} for c in batch["content"]]
+            yield pd.DataFrame({"ord": batch["ord"], "answer": [str(s.get("answer") or "") for s in said], "confidence": [float(s.get("confidence") or 0.0) for s in said], "thinking": [s.get("thinking") for s in said]})
+
+    told = rows.mapInPandas(run, "ord int, answer string, confidence double, thinking string")
+    count = told.agg(F.count("*").alias("n_images"))
+    return lookup.combine_answers(told.where("answer <> ''")).crossJoin(F.broadcast(count))  # one row each
+
+
 def default_registry() -> Registry:
-    """All tools that need no model."""
+    """All tools; ``vlm.answer`` needs the catalog's model."""
     r = Registry()
     r.register_all(
         {
-            "bm25_node.search": _sparse,
-            "dense_node.search": _dense,
-            "hybrid.search": _hybrid,
+            "bm25_node.search": _ranked(_sparse),
+            "dense_node.search": _ranked(_dense),
+            "hybrid.search": _ranked(_hybrid),
+            "vlm.answer": _look,
             "table_index.search": lambda c, a: tools.table_search(c.catalog.tables, columns=a.get("columns", ()), rows=a.get("rows", ()), keywords=a.get("keywords", ()), query=a.get("query"), unit=a.get("unit"), years=a.get("years", ())),
-            "chart_index.search": lambda c, a: tools.chart_search(c.catalog.figure_tokens, keywords=a.get("keywords", ()), units=a.get("units", ()), years=a.get("years", ()), chart_types=a.get("chart_types", ()), pages=a.get("pages", ()), k=a.get("top_k", 6)),
+            "chart_index.search": lambda c, a: tools.chart_search(c.catalog.figure_tokens, keywords=a.get("keywords", ()), units=a.get("units", ()), years=a.get("years", ()), chart_types=a.get("chart_types", ()), pages=a.get("pages", ()), k=a.get("top_k", 6), least_df=c.catalog.figure_least),
             "toc_anchor.locate": lambda c, a: tools.locate_headings(c.catalog.headings, a.get("keywords", ())),
             "page_locator.locate": lambda c, a: tools.locate_pages(c.catalog.page_index, c.catalog.nodes, a.get("pages")),
             "figure_finder.find_regions": lambda c, a: tools.find_regions(c.catalog.nodes, source=c.results.get(a.get("source")), pages=a.get("pages"), kinds=a.get("kinds", ("image",)), label=a.get("label")),
@@ -178,7 +235,7 @@ class Executor:
         return Outcome(node.save_as or node.op, "error", None, error, self.retries + 1, time.monotonic() - began)
 
     def run_stage(self, ctx: Context, stage: Stage) -> list[Outcome]:
-        return [self.run(ctx, node) for node in stage.nodes]
+        return [self.run(ctx, node) for node in chosen_steps(stage)]
 
 
 def run_plan(plan: Plan, catalog: Catalog, executor: Executor | None = None, *, enough: float = 0.75) -> tuple[DataFrame | None, dict[str, list[Outcome]]]:
@@ -198,7 +255,7 @@ def run_plan(plan: Plan, catalog: Catalog, executor: Executor | None = None, *,
         rows = next((o.rows for o in reversed(outcomes[stage.name]) if o.status == "ok"), None)
         if rows is None:
             continue
-        if "node_id" not in rows.columns:  # a computed value covers the question
+        if "node_id" not in rows.columns:  # a computed or told value covers the question
             covered = 1.0
         elif i + 1 < len(plan.stages) or best is not None:
             covered = pack.coverage(rows, stage.k_nodes).head()[0] or 0.0
@@ -228,3 +285,15 @@ def execute_policy(policy: dict, catalog: Catalog) -> DataFrame:
             return retrieval.top_k(tools.locate_headings(catalog.headings, policy["keywords"]), k).select("node_id", "score")
         case _:
             return _hybrid(ctx, policy).select("node_id", "score")
+
+
+def stub_catalog(spark: SparkSession, pairs: list[tuple[str, str]], *, role: str = "paragraph") -> Catalog:
+    """A catalog of (node_id, text) pairs alone, for tests and small uses."""
+    rows = spark.createDataFrame([(str(n), str(t)) for n, t in pairs], "node_id string, text string")
+    named = rows.withColumn("role", F.lit(role))
+    return Catalog(
+        sparse=named.withColumnRenamed("text", "body"),
+        nodes=named.select("node_id", "role", F.lit(None).cast("int").alias("page_idx"), F.lit(None).cast("string").alias("label"), F.col("text").alias("caption")),
+        texts=rows,
+        evidence=rows.select("node_id", F.lit("text").alias("modality"), F.col("text").alias("content")),
+    )

@@ -12,11 +12,10 @@ OPERATIONS = (
     "figure_finder.find_regions", "chart_screener.screen", "structure.expand", "structure.children", "extract.column", "extract.chart_read_axis",
     "extract.regex", "compute.filter", "compute.eval", "pack.mmr_knapsack", "vlm.answer",
 )
-#: Older names of operations.
+# Older names of operations, and the order of stages by evidence hint.
 ALIASES = {"dense_search": "dense_node.search", "sparse_search": "bm25_node.search", "hybrid_search": "hybrid.search", "bm25_search": "bm25_node.search"}
-MOST_STAGES, MOST_NODES = 2, 6
-#: Stage order by evidence hint.
 ORDER = {"table": ("table", "graphics", "text"), "graphics": ("graphics", "table", "text"), "layout": ("layout", "text"), "text": ("text", "table", "graphics")}
+MOST_STAGES, MOST_NODES = 2, 6
 
 
 class PlanError(ValueError):
@@ -35,13 +34,14 @@ class Node:
 
 @dataclass(frozen=True)
 class Stage:
-    """Steps towards one kind of evidence; ``run_if`` is ``name comparator number`` or empty."""
+    """Steps towards one kind of evidence; ``run_if`` is ``name comparator number`` or empty; ``step_ids`` chooses steps."""
 
     name: str
     evidence: str
     nodes: tuple[Node, ...]
     run_if: str = ""
     k_nodes: int = 50
+    step_ids: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -116,5 +116,42 @@ def from_json(raw: dict) -> Plan:
     stages = []
     for i, s in enumerate(raw.get("stages") or []):
         nodes = tuple(Node(str(n.get("op") or ""), dict(n.get("args") or {}), n.get("save_as") or n.get("id"), tuple(n.get("uses") or ())) for n in s.get("graph") or s.get("nodes") or [])
-        stages.append(Stage(str(s.get("name") or f"stage_{i}"), str(s.get("evidence_type") or "text"), nodes, str(s.get("run_if") or ""), int((s.get("params") or {}).get("k_nodes") or 50)))
+        stages.append(Stage(str(s.get("name") or f"stage_{i}"), str(s.get("evidence_type") or "text"), nodes, str(s.get("run_if") or ""), int((s.get("params") or {}).get("k_nodes") or 50), tuple(str(x) for x in s.get("step_ids") or () if x)))
     return Plan(tuple(stages), dict(raw.get("constraints") or {}))
+
+
+def select_plan(plans: list[Plan], mode: str = "first") -> Plan:
+    """One of several candidate plans; only ``first`` is a way to choose."""
+    if not plans:
+        raise PlanError("there is no plan to choose from")
+    if mode != "first":
+        raise PlanError(f"unknown way to choose a plan: {mode}")
+    return plans[0]
+
+
+def chosen_steps(stage: Stage) -> tuple[Node, ...]:
+    """The steps that a stage's ``step_ids`` name; all, if it names none or none of its steps."""
+    named = tuple(n for n in stage.nodes if n.save_as in stage.step_ids)
+    return named or stage.nodes
+
+
+def action_of(node: Node) -> str:
+    """What a step does: ``retrieve`` finds nodes, ``move`` goes on from nodes, ``read`` takes values, ``compute``, ``pack`` or ``answer``."""
+    family, _, verb = ALIASES.get(node.op, node.op).partition(".")
+    if family in ("structure", "chart_screener"):
+        return "move"
+    return {"extract": "read", "compute": "compute", "pack": "pack", "vlm": "answer"}.get(family, "retrieve" if verb in ("search", "locate", "find_regions") else "read")
+
+
+def repair(plan: Plan, outcomes: dict[str, list], query: str) -> Plan | None:
+    """What to run after a plan without result: the stages that failed or found nothing, as one wide text search.
+
+    None if a text search is what has failed, for then nothing wider is left.
+    """
+    tried = {ALIASES.get(n.op, n.op) for s in plan.stages for n in s.nodes}
+    if "hybrid.search" in tried or not query.strip():
+        return None
+    op = "hybrid.search" if "bm25_node.search" in tried else "bm25_node.search"
+    if all(o.status == "ok" for found in outcomes.values() for o in found) and "bm25_node.search" in tried:
+        op = "hybrid.search"
+    return lower(Plan((Stage("repair", "text", (Node(op, {"query": query, "k": 50}, "repaired"),)),), dict(plan.constraints)))
