@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -93,7 +94,11 @@ def name_columns(names: list[str]) -> list[str]:
 
 
 def table_of(html: str | None) -> dict:
-    """Columns and padded rows of an HTML table, or of lines written with ``|``."""
+    """Columns and padded rows of an HTML table, of lines written with ``|``, or of a JSON list of objects or lists."""
+    listed = _listed(html)
+    if listed is not None:
+        columns = name_columns(listed[0])
+        return {"columns": columns, "rows": [(r + [""] * len(columns))[: len(columns)] for r in listed[1:]]}
     if html and "<t" not in html.lower():
         rows, header = [[c.strip() for c in line.split("|")] for line in html.splitlines() if line.strip()], 0
     else:
@@ -105,6 +110,23 @@ def table_of(html: str | None) -> dict:
     return {"columns": columns, "rows": [(r + [""] * len(columns))[: len(columns)] for r in body]}
 
 
+def _listed(source: str | None) -> list[list[str]] | None:
+    """Header and rows of a JSON list of objects (all their keys, in order of first use) or of lists; None for anything else."""
+    if not source or not source.lstrip().startswith("["):
+        return None
+    try:
+        found = json.loads(source)
+    except ValueError:
+        return None
+    text = lambda v: "" if v is None else str(v)
+    if found and all(isinstance(r, dict) for r in found):
+        keys = list(dict.fromkeys(k for r in found for k in r))
+        return [keys, *([text(r.get(k)) for k in keys] for r in found)]
+    if found and all(isinstance(r, list) for r in found):
+        return [[text(v) for v in r] for r in found]
+    return None
+
+
 def markdown_of(html: str | None) -> str:
     """An HTML table as Markdown: padded to the widest row, ``|`` escaped; text without tags if there is no table."""
     rows, header = read_rows(html)

@@ -149,6 +149,7 @@ def align_in_order(entries: DataFrame, candidates: DataFrame, *, window: int = 2
     import pandas as pd
 
     kinds = dict(entries.dtypes)
+    entries, candidates = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (entries, candidates))  # both may come from one table
 
     def tokens(s: str) -> set[str]:
         return set("".join(ch if ch.isascii() and (ch.isalnum() or ch.isspace()) else " " for ch in (s or "").lower()).split())
@@ -216,3 +217,15 @@ def page_text(pages: DataFrame, *, most: int = 4000) -> DataFrame:
 def unite(*frames: DataFrame) -> DataFrame:
     """All rows of several hit lists, none dropped."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def blocks_by_id(blocks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Blocks (node_id, ...) of the wanted ids (node_id, ord), with their place; a wanted id without block is left out."""
+    return blocks.join(ids.select("node_id", "ord").dropDuplicates(["node_id"]), "node_id")
+
+
+def allowed_top(hits: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
+    """Top k hits (doc_id, page_idx, score) of each document among its allowed pages (doc_id, page_idx)."""
+    kept = hits.join(allowed.select("doc_id", "page_idx").distinct(), ["doc_id", "page_idx"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "page_idx"))
+    return kept.withColumn("place", place).where(F.col("place") <= k).drop("place")

@@ -188,10 +188,19 @@ def skip_media(box: str, width: Column, height: Column, *, least: float = 0.005,
 
 
 def strip_repeated_title(captions: DataFrame) -> DataFrame:
-    """Add ``stripped``: a caption without the previous row's text where it starts with it, on the same page."""
-    before = F.lag("text").over(Window.partitionBy("doc_id", "page_idx").orderBy("ord"))
-    starts = (F.length(before) > 0) & F.col("text").startswith(before) & (F.length("text") > F.length(before))
-    return captions.withColumn("stripped", F.when(starts, F.trim(F.substring(F.col("text"), F.length(before) + 1, F.length("text")))).otherwise(F.col("text")))
+    """Add ``stripped``: a caption without the previous row's text where it starts with it, on the same page.
+
+    White space does not count in the comparison: ``Fig. 1 (a)`` starts with ``Fig.1``.
+    """
+    before = F.regexp_replace(F.lag("text").over(Window.partitionBy("doc_id", "page_idx").orderBy("ord")), r"\s+", "")
+    dense = F.regexp_replace(F.col("text"), r"\s+", "")
+    starts = (F.length(before) > 0) & F.startswith(dense, before) & (F.length(dense) > F.length(before))
+    # the place in the caption behind as many characters that are no white space
+    count = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at"))
+    step = lambda a, c: F.when(a["seen"] >= F.length("__before"), a).otherwise(F.struct((a["seen"] + F.when(c.rlike(r"^\s$"), 0).otherwise(1)).alias("seen"), (a["at"] + 1).alias("at")))
+    cut = F.aggregate(F.filter(F.split("text", ""), lambda c: c != ""), count, step)["at"]
+    rows = captions.withColumn("__before", F.when(starts, before))
+    return rows.withColumn("stripped", F.when(F.col("__before").isNotNull(), F.trim(F.substring(F.col("text"), cut + 1, F.length("text")))).otherwise(F.col("text"))).drop("__before")
 
 
 def apply_captions(items: DataFrame, roles: DataFrame, *, least: float = 0.5) -> DataFrame:

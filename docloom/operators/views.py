@@ -324,4 +324,4 @@ def prune_sparse(docs: DataFrame, fields: list[str]) -> DataFrame:
 
 def collapse_fields(fields: list[str]) -> Column:
     """``name: value; name: value`` of the fields that have one."""
-    return F.concat_ws("; ", *(F.when(T.text(F.col(f)) != "", F.concat(F.lit(f"{f}: "), F.col(f))) for f in fields))
+    return F.concat_ws("; ", *(F.when(F.trim(T.text(F.col(f))) != "", F.concat(F.lit(f"{f}: "), F.col(f))) for f in fields))

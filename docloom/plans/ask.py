@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docloom.functions.scoring import format_conforms, quality
 from docloom.operators import tools
 from docloom.plans.executor import Catalog, Executor, run_plan
+from docloom.plans.ir import repair
 from docloom.plans.slots import Slots
 
 GIVE_UP = "Insufficient information to answer the question."
@@ -36,7 +37,10 @@ def ask(question: str, catalog: Catalog, *, slots: Slots | None = None, rounds:
         plan = slots.plan(decision)
         memory.decisions.append(decision)
         memory.plans.append(plan)
-        rows, _outcomes = run_plan(plan, catalog, Executor())
+        rows, outcomes = run_plan(plan, catalog, Executor())
+        if rows is None and (wider := repair(plan, outcomes, question)) is not None:
+            memory.plans.append(wider)
+            rows, _ = run_plan(wider, catalog, Executor())
         if rows is None:
             break
         seen: list[dict] = []

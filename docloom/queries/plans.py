@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from docloom.plans import ir, router
 from docloom.plans.executor import Catalog, run_plan
 from docloom.queries.base import Family
+from docloom.queries.tools import _figure_tokens
 from docloom.queries.views import TABLES_SQL, tables
 
 FAMILY = Family()
@@ -34,7 +33,7 @@ def plan_sum_prices(spark, sf_dir):
             )
         )
     )
-    rows, _ = run_plan(ir.Plan(plan.stages[:1]), Catalog(tables=tables(spark, sf_dir).withColumn("rows", F.transform("rows", lambda r: F.slice(r, 1, 3))).withColumn("columns", F.slice("columns", 1, 3))))
+    rows, _ = run_plan(plan, Catalog(tables=tables(spark, sf_dir)))
     return rows.select("n_values", "result")
 
 
@@ -42,5 +41,5 @@ def plan_sum_prices(spark, sf_dir):
 def plan_routed_question(spark, sf_dir):
     """A question routed, planned and run without any model (tested by its parts)."""
     plan = router.plan(router.route("What is the total price in the tables?"))
-    rows, _ = run_plan(plan, Catalog(tables=tables(spark, sf_dir), figure_tokens=spark.sql("SELECT 'x' AS node_id, array('price') AS tokens, 0 AS page_idx")))
+    rows, _ = run_plan(plan, Catalog(tables=tables(spark, sf_dir), figure_tokens=_figure_tokens(spark, sf_dir)))
     return rows

@@ -85,7 +85,7 @@ SELECT * FROM e WHERE dst IS NOT NULL"""
 )
 def view_edges(spark, sf_dir):
     """The graph of trees of lines."""
-    return views.edges(nodes(spark, sf_dir)).where("type IN ('child', 'prev_next')").select("doc_id", "src", "dst", "type")
+    return views.edges(nodes(spark, sf_dir)).select("doc_id", "src", "dst", "type")
 
 
 @FAMILY.add(

@@ -126,3 +126,22 @@ def enrich_with_layout(content: DataFrame, layout: DataFrame) -> DataFrame:
     near = layout.select(F.regexp_replace(base(F.col("img_path")), r"\.[^.]+$", "").alias("other"), F.col("bbox").alias("near_box"))
     loose = rows.where("exact_box IS NULL AND file IS NOT NULL").select("file", stem.alias("stem")).distinct().join(near, F.col("other").contains(F.col("stem"))).groupBy("file").agg(F.min_by("near_box", "other").alias("near_box"))
     return rows.join(loose, "file", "left").withColumn("bbox", F.coalesce("exact_box", "near_box")).drop("file", "exact_box", "near_box")
+
+
+#: Columns of question samples: what is asked, the gold answer, and what a run adds.
+SAMPLES = "doc_id string, question string, answer string, answer_format string, doc_type string, evidence_pages array<int>, evidence_sources array<string>, retrieved_pages array<int>, retrieved_scores array<double>, pred string"
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Question samples (JSON lines), with ``sample_id`` from their document and question."""
+    rows = read_jsonl(spark, path, SAMPLES)
+    return rows.withColumn("sample_id", F.substring(F.sha2(F.concat_ws("\n", "doc_id", "question"), 256), 1, 16))
+
+
+def write_samples(samples: DataFrame, hits: DataFrame, path: str, *, k: int = 10) -> None:
+    """Samples with the pages found for them (sample_id, page_idx, score), best first, at most ``k``, as JSON lines."""
+    found = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(F.col("score"), (-F.col("page_idx")).alias("p"))))), 1, k)
+    listed = hits.groupBy("sample_id").agg(found.alias("h"))
+    rows = samples.drop("retrieved_pages", "retrieved_scores").join(listed, "sample_id", "left")
+    pages, scores = F.transform("h", lambda x: -x["p"]), F.transform("h", lambda x: x["score"])
+    rows.withColumns({"retrieved_pages": pages, "retrieved_scores": scores}).drop("h").write.mode("overwrite").json(path)
