@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import hash32, materialise, power_of_two, shuffles_removed
 
-#: Rows in a chunk aimed at, and the most chunks. The chunk counts, not rows, meet in one task.
-ROWS_PER_CHUNK, MOST_CHUNKS = 64, 8192
+#: Rows in a chunk aimed at, and the most chunks: their counts, 8 MB at most, meet in one row, the root of the halving.
+#: Beyond 67 million rows chunks grow, to some 50,000 rows at a hundred terabytes of documents.
+ROWS_PER_CHUNK, MOST_CHUNKS = 64, 1 << 20
+#: Levels of the halving after which its nodes are spread over tasks, and over how many.
+SPREAD = {3: 16, 9: 512}
 
 
 def uniform(*keys: Column) -> Column:
@@ -82,8 +85,9 @@ def communication_matrix(counts: DataFrame, shards: int, levels: int, seed: str)
     ``starts`` has ``shards + 1`` numbers, from 0 to the size of the chunk. Chunks are 0 to
     2 ** levels - 1; missing ones are empty.
     """
-    filled = F.transform(F.sequence(F.lit(0), F.lit((1 << levels) - 1)), lambda c: F.coalesce(F.try_element_at(F.col("by_chunk"), c.cast("int")), F.lit(0).cast("long")))
-    root = counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col("chunk").cast("int"), F.col("n")))).alias("by_chunk")).select(filled.alias("sizes"))
+    every = counts.sparkSession.range(1 << levels).select(F.col("id").alias("chunk"), F.lit(0).cast("long").alias("n"))
+    filled = counts.select(F.col("chunk").cast("long").alias("chunk"), "n").unionByName(every).groupBy("chunk").agg(F.sum("n").alias("n"))
+    root = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "n"))), lambda x: x["n"]).alias("sizes"))
     total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     whole = F.floor(total / shards).cast("long")
     room = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: whole + F.when(s < total % shards, 1).otherwise(0))
@@ -100,8 +104,8 @@ def communication_matrix(counts: DataFrame, shards: int, levels: int, seed: str)
             F.struct((F.col("chunk") * 2 + 1).alias("chunk"), F.slice("sizes", half + 1, half).alias("sizes"), F.zip_with("room", "left", lambda a, b: a - b).alias("room")),
         )
         nodes = nodes.select(F.explode(halves).alias("x")).select("x.*")
-        if level == 3 and levels > 6:
-            nodes = nodes.repartition("chunk")
+        if level in SPREAD and levels > level + 3:
+            nodes = nodes.repartition(SPREAD[level], "chunk")
     starts = F.aggregate("room", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
     return nodes.select("chunk", starts.alias("starts"))
 

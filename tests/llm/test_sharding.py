@@ -1,11 +1,14 @@
+import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import sharding
+from docloom.llm import common, sharding
+from docloom.llm.queries import op4_sharding
 from tests.llm.conftest import make_docs, words
 
 
@@ -95,3 +98,43 @@ def test_odd_rows(odd, empty):
     rows = sharding.shuffle_into_shards(odd, 5).collect()
     assert len(rows) == 12 and {r["size"] for r in rows if r.doc_id in (3, 4)} == {1}
     assert sharding.shuffle_into_shards(empty, 8).count() == 0
+
+
+def h32(key, salt):
+    return int(hashlib.md5((salt + ("null" if key is None else str(key))).encode()).hexdigest()[:8], 16)
+
+
+def test_query_against_a_sequential_shuffle(spark):
+    """The whole query from the same matrix, row by row: local order, cut, exchange, order again."""
+    rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    chunks = common.power_of_two(len(rows), sharding.ROWS_PER_CHUNK, sharding.MOST_CHUNKS)
+    levels = chunks.bit_length() - 1
+    counts = Counter(h32(r["doc_id"], "shards/at/") >> (32 - levels) for r in rows)
+    table = spark.createDataFrame([(c, n) for c, n in counts.items()], "chunk long, n long")
+    starts = {r.chunk: r.starts for r in sharding.communication_matrix(table, 8, levels, "shards").collect()}
+    parts = {s: [] for s in range(8)}
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        r["size"], r["crc"], r["chunk"] = len(raw) + 1, zlib.crc32(raw), h32(r["doc_id"], "shards/at/") >> (32 - levels)
+    for chunk in counts:
+        mine = sorted((r for r in rows if r["chunk"] == chunk), key=lambda r: (h32(r["doc_id"], "shards/local/"), r["doc_id"], r["crc"], r["size"]))
+        for s in range(8):
+            parts[s] += mine[starts[chunk][s] : starts[chunk][s + 1]]
+    want = set()
+    for s, mine in parts.items():
+        again = sorted(mine, key=lambda r: (h32(r["doc_id"], "shards/again/"), r["doc_id"], r["crc"], r["size"]))
+        want |= {(r["doc_id"], r["size"], r["crc"], s, slot) for slot, r in enumerate(again)}
+    got = {(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in op4_sharding(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+    sizes = Counter(s for _, _, _, s, _ in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_many_chunks(spark, monkeypatch):
+    """A deep halving, spread over tasks on its way, keeps row and column sums."""
+    counts = spark.range(1 << 11).where("id % 3 > 0").select(F.col("id").alias("chunk"), (F.col("id") % 5).alias("n"))
+    matrix = sharding.communication_matrix(counts, 8, 11, "deep").collect()
+    want = {r.chunk: r.n for r in counts.collect()}
+    assert len(matrix) == 1 << 11 and all(r.starts[-1] == want.get(r.chunk, 0) for r in matrix)
+    columns = [sum(r.starts[s + 1] - r.starts[s] for r in matrix) for s in range(8)]
+    assert sum(columns) == sum(want.values()) and max(columns) - min(columns) <= 1
