@@ -26,10 +26,13 @@ from docloom.llm.common import delete, hash32, materialise, new_path, power_of_t
 
 # Ids of the end mark and the padding among byte tokens.
 END, PAD = 0xFF, 0xFE
-#: Bytes of a sequence, sequences in a shard, rounds of the permutation.
-STRIDE, PER_SHARD, ROUNDS = 512, 4096, 4
-#: Documents in a numbering range aimed at, and the most ranges; steps of a walk (each has about one
-#: chance in the square root of the number of sequences to need another).
+#: Bytes of a sequence, rounds of the permutation.
+STRIDE, ROUNDS = 512, 4
+#: Sequences in a shard at least; doubled for large corpora until there are no more than MOST_SHARDS, or a shard has SHARD_BYTES.
+PER_SHARD, MOST_SHARDS, SHARD_BYTES = 4096, 8192, 128 << 20
+#: Documents in a numbering range aimed at, and the most ranges (their sums are broadcast; beyond 67 million documents
+#: ranges grow). Steps of a walk that every row may take; each has about one chance in the square root of the number of
+#: sequences to need another, and rows that need more walk on to the end.
 PER_RANGE, MOST_RANGES, WALK = 64, 1 << 20, 8
 #: Groups of shards that are written one after the other, at most.
 MOST_GROUPS = 8
@@ -41,6 +44,14 @@ def sides(n: int) -> tuple[int, int]:
     return a, -(-n // a)
 
 
+def shard_size(n: int, stride: int = STRIDE) -> int:
+    """Sequences in a shard of a corpus of ``n``."""
+    size = PER_SHARD
+    while n > size * MOST_SHARDS and 2 * size * stride <= SHARD_BYTES:
+        size *= 2
+    return size
+
+
 def permuted(index: Column, n: int, key: str) -> Column:
     """The slot of each index below n: a keyed permutation of 0 to n - 1."""
     a, b = sides(n)
@@ -57,8 +68,11 @@ def permuted(index: Column, n: int, key: str) -> Column:
             state = _let(state, step)
         return _let(state, lambda s: s["l"] + s["r"] * a)
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(index), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return _let(walked, lambda x: F.when(x < n, x).otherwise(F.raise_error("a walk of the permutation is too long").cast("long")))
+    def walk(start: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, steps))), start, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+    # a walk leaves the places beyond the corpus at last after as many steps as there are such places
+    return _let(walk(once(index), WALK), lambda x: F.when(x < n, x).otherwise(walk(x, a * b - n)))
 
 
 def _let(value: Column, body) -> Column:
@@ -90,7 +104,7 @@ def training_order(
     *,
     tokens: Column | None = None,
     stride: int = STRIDE,
-    per_shard: int = PER_SHARD,
+    per_shard: int | None = None,
     end: bytes = bytes([END]),
     pad: bytes = bytes([PAD]),
     key: str = "order",
@@ -106,6 +120,7 @@ def training_order(
     empty table gives an empty result. The order depends on the key and the ids, not on files or cluster.
     """
     found, n = _sequences(docs, tokens if tokens is not None else byte_tokens(F.col(text_col)), stride, end, pad, key, id_col)
+    per_shard = per_shard or shard_size(n, stride)
     return _ranged(found, 0, -(-n // per_shard), per_shard, stride)
 
 
@@ -130,7 +145,8 @@ def _sequences(docs: DataFrame, tokens: Column, stride: int, end: bytes, pad: by
 
 def _ranged(found: DataFrame, first: int, shards: int, per_shard: int, stride: int) -> DataFrame:
     """Sequences of the ``shards`` shards from ``first`` on, sorted by slot; every shard lies in one partition."""
-    tasks = min(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
+    wanted = -(-shards * per_shard * stride // SHARD_BYTES)
+    tasks = min(max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted), shards)
     placed = found.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     ranged = placed.repartitionById(tasks, F.floor((F.col("shard").cast("long") - first) * tasks / shards).cast("int"))
     return ranged.sortWithinPartitions("shard", "slot").select("slot", "shard", ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "doc_id", "piece", "tokens")
@@ -142,7 +158,7 @@ def store_shards(
     *,
     tokens: Column | None = None,
     stride: int = STRIDE,
-    per_shard: int = PER_SHARD,
+    per_shard: int | None = None,
     end: bytes = bytes([END]),
     pad: bytes = bytes([PAD]),
     key: str = "order",
@@ -158,6 +174,7 @@ def store_shards(
     """
     spark = docs.sparkSession
     found, n = _sequences(docs, tokens if tokens is not None else byte_tokens(F.col(text_col)), stride, end, pad, key, id_col)
+    per_shard = per_shard or shard_size(n, stride)
     shards = -(-n // per_shard)
     groups = max(1, min(MOST_GROUPS, shards // int(spark.conf.get("spark.sql.shuffle.partitions"))))
     each = -(-shards // groups)

@@ -106,3 +106,26 @@ def test_odd_rows(odd, odd_rows, empty):
     for d, t in texts_of([r for r in got if r.doc_id != 2], 128).items():
         assert [t] == have[d]
     assert shards.training_order(empty).count() == 0
+
+
+def test_long_walks_end(spark, monkeypatch):
+    """Without steps that every row takes, all rows still reach a slot of their own."""
+    monkeypatch.setattr(shards, "WALK", 1)
+    for n in (2, 7, 5 * 6 - 1, 10 * 10 + 1):
+        slots = [r.s for r in spark.range(n).select(shards.permuted(F.col("id"), n, "k").alias("s")).collect()]
+        assert sorted(slots) == list(range(n))
+
+
+def test_shard_sizes_follow_the_corpus():
+    assert shards.shard_size(1) == shards.shard_size(10**6) == shards.PER_SHARD
+    assert shards.shard_size(2 * 10**11) * shards.STRIDE == shards.SHARD_BYTES
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, ids array<int>")
+    assert shards.packed_ids(none).count() == 0
+    nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert {bytes(r.tokens) for r in shards.packed_ids(nulls).collect()} == {b""}
+    shards.write_shards(shards.training_order(empty), f"{tmp_path}/none")
+    schema = "slot long, shard int, byte_offset long, doc_id long, piece int, tokens binary"
+    assert shards.training_order(empty).count() == 0 and len(schema.split(",")) == len(shards.training_order(empty).columns)
