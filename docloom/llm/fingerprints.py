@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from functools import reduce
 
 import numpy as np
@@ -82,7 +83,7 @@ def fingerprint_pairs(docs: DataFrame, *, k: int = K, words: int = WORDS, id_col
     near_edited, near_next, distinct, contained``: likenesses are estimated resemblances, ``distinct``
     the estimated number of shingles, ``contained`` how much of the document its edited text holds. A
     null text counts as empty; the sketch of a text without words is empty, as its string, and like
-    only another empty one. A lone document follows itself. An empty table gives an empty result.
+    only another empty one. Ids are whole numbers. A lone document follows itself. An empty table gives an empty result.
 
     The documents are cut into id ranges of about equal size. Each range also gets the first document
     of the next one, so neighbours always meet, and a task streams through its range in order: it
@@ -97,14 +98,14 @@ def fingerprint_pairs(docs: DataFrame, *, k: int = K, words: int = WORDS, id_col
     bounds = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], min(100 * n, 200_000))).head()[0] or []
     bounds = sorted(set(bounds))
     part = _range_of(F.col("key"), bounds)
-    firsts = sorted(tuple(r) for r in keys.groupBy(part.alias("part")).agg(F.min("key")).collect())  # one row a range
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    own = F.struct(part.alias("part"), F.lit(0).alias("tail"))
-    sent = F.array(own)
-    if before:
-        to = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("key"))
-        sent = F.when(F.col("key").isin(list(before)), F.array(own, F.struct(to.alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(own))
-    dealt = rows.select("doc_id", "key", "text", F.explode(sent).alias("to")).select("doc_id", "key", "text", "to.part", "to.tail")
+    firsts = dict(sorted(tuple(r) for r in keys.groupBy(part.alias("part")).agg(F.min("key")).collect()))  # one row a range
+    parts = list(firsts)
+    before = {p: parts[i - 1] for i, p in enumerate(parts)}
+    spread = lambda known: _numbers([known.get(p) for p in range(max(parts, default=-1) + 1)])
+    placed = rows.withColumn("part", part)
+    own, tail = F.struct("part", F.lit(0).alias("tail")), F.struct(F.get(spread(before), F.col("part")).cast("int").alias("part"), F.lit(1).alias("tail"))
+    sent = F.when(F.get(spread(firsts), F.col("part")) == F.col("key"), F.array(own, tail)).otherwise(F.array(own))
+    dealt = placed.select("doc_id", "key", "text", F.explode(sent).alias("to")).select("doc_id", "key", "text", "to.part", "to.tail")
     dealt = dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "tail", "key", "text").select("doc_id", "text", "tail")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, distinct double, contained double"
@@ -128,14 +129,19 @@ def fingerprint_pairs(docs: DataFrame, *, k: int = K, words: int = WORDS, id_col
     return dealt.mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
+def _numbers(values: list) -> Column:
+    """A list of whole numbers or nulls as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), F.lit("array<bigint>"))
+
+
 def _range_of(key: Column, bounds: list[int]) -> Column:
     """Number of bounds below a key, found in two steps of about sqrt(bounds) comparisons."""
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    tops = F.array(*(F.lit(g[-1]).cast("long") for g in groups))
-    lists = F.array(*(F.array(*(F.lit(b).cast("long") for b in g)) for g in groups))
+    tops = _numbers([g[-1] for g in groups])
+    lists = F.from_json(F.lit(json.dumps(groups)), F.lit("array<array<bigint>>"))
     group = F.size(F.filter(tops, lambda t: t < key))
     inside = F.coalesce(F.size(F.filter(F.get(lists, group), lambda b: b < key)), F.lit(0))
     return (group * step + F.when(group < len(groups), inside).otherwise(0)).cast("int")
