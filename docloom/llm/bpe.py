@@ -5,7 +5,7 @@ pattern) become rows of (part, position, token), one a byte. A recursive query j
 the merge table and contracts, in each part of a word, the leftmost pair of minimum rank, until no pair can
 be merged. An ordered aggregation joins the token bytes of a text's ids back into text.
 
-Two facts make words of any length cheap, and change no id:
+Three facts make words of any length cheap, and change no id:
 
 * A token is a vocabulary entry that stands in the word, so where two neighbouring bytes stand together in
   no entry, no token ever spans them. Words are cut there into parts that are contracted apart. What is left
@@ -14,6 +14,9 @@ Two facts make words of any length cheap, and change no id:
   as long as the new token starts or ends no pair of lower rank. One round therefore contracts all places
   of a part's minimum rank, from the left and without overlap; where the new token has a pair of lower rank
   (``alone``), it contracts the leftmost place only.
+* A pair whose rank is lower than that of every entry that spans the place before it or the place after it will
+  not be touched from outside before it is contracted, whatever happens around it. Such pairs are minima of a part
+  of their own, and are contracted in the same round.
 """
 
 from __future__ import annotations
@@ -33,29 +36,40 @@ from pyspark.sql import functions as F
 from docloom.llm.common import ship_package
 
 #: Characters of text handled at once. Words (and their bytes, with those of their ids) kept during a task.
-BLOCK, KEPT_WORDS, KEPT_BYTES = 1 << 19, 250_000, 16 << 20
+BLOCK, KEPT_WORDS, KEPT_BYTES = 1 << 20, 450_000, 24 << 20
 #: Bytes contracted by one query (at least one part), rounds of a query, and rows that its rounds may make.
 ROWS, ROUNDS, MADE = 200_000, 32, 12_000_000
+#: More than any rank, doubled.
+NONE = 1 << 30
 
-#: One query: `tokens` (part, pos, tok, next_tok), next_tok = -1 at a part's end. `merges` has the rank of a pair,
-#: doubled, plus 1 where it is `alone`. `state` counts rounds; -1 is the fixpoint. Places of a minimum that follow
-#: each other share a token; `run` is a place's number among them, and odd ones are contracted.
+#: One query: `tokens` (part, pos, tok, next_tok, bar), next_tok = -1 at a part's end. `merges` has the rank of a pair,
+#: doubled, plus 1 where it is `alone`; `bar` is the least rank of an entry that spans the place before a token, doubled.
+#: `state` counts rounds; -1 is the fixpoint. Places of a minimum that follow each other share a token: of such a
+#: chain the odd ones are contracted.
 _CONTRACT = """
 WITH RECURSIVE t AS (
-  SELECT part, pos, tok, next_tok, 0 AS state FROM tokens
+  SELECT part, pos, tok, next_tok, bar, 0 AS state FROM tokens
   UNION ALL
-  (WITH ranked AS MATERIALIZED (SELECT part, pos, tok, next_tok, state, (m.rank << 40) | pos AS key FROM t LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok) WHERE state BETWEEN 0 AND {rounds} - 1),
-        lowest AS (SELECT part, min(key) AS low FROM ranked GROUP BY part),
-        placed AS (SELECT r.*, (low >> 41)::INT AS best, coalesce(key = low OR (key >> 40 = low >> 40 AND (low >> 40) & 1 = 0), false) AS hit FROM ranked r JOIN lowest l ON r.part = l.part),
-        near AS (SELECT *, row_number() OVER w AS n, lead(next_tok) OVER w AS after_next, lag(hit, 1, false) OVER w AS hit_before, lead(hit, 1, false) OVER w AS hit_after, lead(hit, 2, false) OVER w AS hit_second
-                 FROM placed WINDOW w AS (ORDER BY pos)),
-        runs AS (SELECT *, n - coalesce(max(CASE WHEN hit THEN 0 ELSE n END) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM near)
-   SELECT part, pos, CASE WHEN hit AND run % 2 = 1 THEN best ELSE tok END,
-          CASE WHEN hit THEN (CASE WHEN hit_second AND after_next <> -1 THEN best ELSE after_next END) WHEN hit_after AND next_tok <> -1 THEN best ELSE next_tok END,
-          CASE WHEN best IS NULL THEN -1 ELSE state + 1 END
-   FROM runs WHERE NOT (hit_before AND run % 2 = 0))
+  (WITH ranked AS (SELECT t.*, m.rank FROM t LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok) WHERE state BETWEEN 0 AND {rounds} - 1),
+        lowest AS (SELECT part, min(rank) AS low, min((rank::BIGINT << 40) | pos) & ((1::BIGINT << 40) - 1) AS first FROM ranked GROUP BY part),
+        near AS (SELECT *, row_number() OVER w AS n, lead(next_tok) OVER w AS after_next, lag(rank) OVER w AS r_, lag(bar) OVER w AS b_, lag(pos) OVER w AS p_, lead(rank) OVER w AS r1, lead(rank, 2) OVER w AS r2, lead(pos) OVER w AS p1, lead(pos, 2) OVER w AS p2,
+                        coalesce(lead(bar) OVER w, {none}) AS b1, coalesce(lead(bar, 2) OVER w, {none}) AS b2, coalesce(lead(bar, 3) OVER w, {none}) AS b3, coalesce(lead(bar, 4) OVER w, {none}) AS b4
+                 FROM ranked WINDOW w AS (ORDER BY pos)),
+        placed AS (SELECT n.*, low, low & 1 = 0 AS every,
+                          coalesce((rank = low AND (every OR pos = first)) OR (rank < bar AND rank < b2), false) AS hit,
+                          coalesce((r_ = low AND (every OR p_ = first)) OR (r_ < b_ AND r_ < b1), false) AS hit_before,
+                          coalesce((r1 = low AND (every OR p1 = first)) OR (r1 < b1 AND r1 < b3), false) AS hit_after,
+                          coalesce((r2 = low AND (every OR p2 = first)) OR (r2 < b2 AND r2 < b4), false) AS hit_second
+                   FROM near n JOIN lowest l ON n.part = l.part),
+        chained AS (SELECT n, n - row_number() OVER (ORDER BY n) AS chain FROM placed WHERE hit AND (hit_before OR hit_after)),
+        odd AS (SELECT n, row_number() OVER (PARTITION BY chain ORDER BY n) % 2 AS odd FROM chained),
+        runs AS (SELECT p.*, hit AND coalesce(o.odd = 1, true) AS here, hit_before AND coalesce(b.odd = 1, true) AS gone FROM placed p LEFT JOIN odd o ON o.n = p.n LEFT JOIN odd b ON b.n = p.n - 1)
+   SELECT part, pos, CASE WHEN here THEN rank >> 1 ELSE tok END,
+          CASE WHEN hit THEN (CASE WHEN hit_second AND after_next <> -1 THEN r2 >> 1 ELSE after_next END) WHEN hit_after AND next_tok <> -1 THEN r1 >> 1 ELSE next_tok END,
+          bar, CASE WHEN low IS NULL THEN -1 ELSE state + 1 END
+   FROM runs WHERE NOT gone)
 )
-SELECT part, pos, tok, next_tok, state FROM t WHERE state = -1 OR state = {rounds} ORDER BY pos
+SELECT part, pos, tok, next_tok, bar, state FROM t WHERE state = -1 OR state = {rounds}
 """
 
 _DECODE = "SELECT text, string_agg(piece, '' ORDER BY pos) FROM encoded JOIN pieces USING (tok) GROUP BY text"
@@ -97,21 +111,23 @@ class Encoder:
         self.sizes = np.zeros(len(low), dtype=np.int64)
         self.sizes[list(ranks.values())] = [len(t) for t in ranks]
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.together = np.zeros(1 << 16, dtype=bool)
+        # of two bytes: the least rank of an entry in which they stand together, doubled; NONE where there is none
+        self.spanned = np.full(1 << 16, NONE, dtype=np.int32)
         whole = np.frombuffer(b"".join(ranks), dtype=np.uint8).astype(np.int32)
+        lengths = np.array([len(t) for t in ranks])
         inside = np.ones(len(whole), dtype=bool)
-        inside[np.cumsum([len(t) for t in ranks]) - 1] = False
-        self.together[(whole[:-1] << 8 | whole[1:])[inside[:-1]]] = True
+        inside[np.cumsum(lengths) - 1] = False
+        made_of = np.repeat(2 * np.array(list(ranks.values()), dtype=np.int32), lengths)[:-1][inside[:-1]]
+        np.minimum.at(self.spanned, (whole[:-1] << 8 | whole[1:])[inside[:-1]], made_of)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
-        self._table("merges", {"pair": pa.array(pair), "rank": pa.array(rank * 2 + (low[rank] < rank))})
+        self._table("merges", {"pair": pa.array(pair), "rank": pa.array((rank * 2 + (low[rank] < rank)).astype(np.int32))})
         self._table("pieces", {"tok": pa.array(list(ranks.values()), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks])})
         self.ids: dict[str, str] = {}
-        self.again: set[str] = set()  # words that more than one block had
         self.kept = 0  # bytes of the words in ids
 
     def close(self) -> None:
         self.db.close()
-        self.ids, self.again = {}, set()
+        self.ids = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("arrow_in", pa.table(columns))
@@ -135,13 +151,15 @@ class Encoder:
     def _contracted(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and ids of the tokens of words that lie in ``data`` from ``starts`` on."""
         edge = np.ones(len(data) + 1, dtype=bool)
-        edge[1:-1] = ~self.together[data[:-1].astype(np.int32) << 8 | data[1:]]
+        spanned = self.spanned[data[:-1].astype(np.int32) << 8 | data[1:]]
+        edge[1:-1] = spanned == NONE
         edge[starts] = True
+        bar = np.where(edge[:-1], NONE, np.concatenate([[NONE], spanned])).astype(np.int32)
         begin = np.flatnonzero(edge)
         tok = self.bytes[data]
         after = np.where(edge[1:], np.int32(-1), np.append(tok[1:], np.int32(-1)))
         part = (np.cumsum(edge[:-1]) - 1).astype(np.int32)
-        columns = {"part": part, "pos": np.arange(len(data)), "tok": tok, "next_tok": after}
+        columns = {"part": part, "pos": np.arange(len(data)), "tok": tok, "next_tok": after, "bar": bar}
         at, left, done = 0, {k: v[:0] for k, v in columns.items()}, []
         while at < len(data) or len(left["pos"]):
             room = ROWS - len(left["pos"])
@@ -153,10 +171,12 @@ class Encoder:
             at = stop
             self._table("tokens", {k: pa.array(v) for k, v in rows.items()})
             rounds = int(np.clip(MADE // len(rows["pos"]), 2, ROUNDS))
-            out = self.db.execute(_CONTRACT.format(rounds=rounds)).fetchnumpy()
+            out = self.db.execute(_CONTRACT.format(rounds=rounds, none=NONE)).fetchnumpy()
             fixed = out["state"] == -1
             done.append((out["pos"][fixed], out["tok"][fixed]))
-            left = {k: np.asarray(out[k][~fixed]) for k in columns}
+            order = np.flatnonzero(~fixed)
+            order = order[np.argsort(out["pos"][order], kind="stable")]
+            left = {k: np.asarray(out[k][order]) for k in columns}
             if len(left["pos"]):
                 self._cut_again(left, data)
         pos, tok = (np.concatenate([np.asarray(d[i]) for d in done]) for i in (0, 1))
@@ -174,6 +194,7 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.inside, spans), len(self.inside) - 1)
         cut = joined[self.inside[at] != spans]
         left["next_tok"][cut] = -1
+        left["bar"][cut + 1] = NONE
         ends_here = np.concatenate([[0], (left["next_tok"] == -1)[:-1]])
         left["part"] = (-1 - np.cumsum(ends_here)).astype(np.int32)  # apart from the numbers of whole parts
 
@@ -182,15 +203,9 @@ class Encoder:
         split = [self.find(t) for t in texts]
         wanted = set().union(*split)
         new = wanted.difference(self.ids)
-        if len(self.ids) + len(new) > KEPT_WORDS or self.kept > KEPT_BYTES:
-            kept = self.again if len(self.again) < KEPT_WORDS // 2 else set()
-            self.ids = {w: self.ids[w] for w in kept}
+        if len(self.ids) + len(new) > KEPT_WORDS or self.kept > KEPT_BYTES:  # make room: keep this block's words alone
+            self.ids = {w: self.ids[w] for w in wanted if w in self.ids}
             self.kept = sum(len(w) + len(i) for w, i in self.ids.items())
-            self.again = set()
-            if self.kept > KEPT_BYTES // 2:
-                self.ids, self.kept = {}, 0
-            new = wanted.difference(self.ids)
-        self.again |= wanted & self.ids.keys()
         self.learn(sorted(new))
         return split
 
