@@ -206,7 +206,7 @@ class Encoder:
         if len(self.ids) + len(new) > KEPT_WORDS or self.kept > KEPT_BYTES:  # make room: keep this block's words alone
             self.ids = {w: self.ids[w] for w in wanted if w in self.ids}
             self.kept = sum(len(w) + len(i) for w, i in self.ids.items())
-        self.learn(sorted(new))
+        self.learn(list(new))
         return split
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
