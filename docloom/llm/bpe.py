@@ -22,8 +22,6 @@ Three facts make words of any length cheap, and change no id:
 from __future__ import annotations
 
 import base64
-import contextlib
-import ctypes
 import hashlib
 import zlib
 
@@ -33,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ship_package
+from docloom.llm.common import ship_package, trim
 
 #: Characters of text handled at once. Words (and their bytes, with those of their ids) kept during a task.
 BLOCK, KEPT_WORDS, KEPT_BYTES = 1 << 20, 450_000, 24 << 20
@@ -81,13 +79,6 @@ def read_ranks(path: str) -> bytes:
         return zlib.compress(f.read(), 9)
 
 
-def trim() -> None:
-    """Give memory that is free back to the system."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 class Encoder:
     """The recursive queries over one vocabulary, and the words that a task has contracted."""
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,3 +139,10 @@ def power_of_two(n: int, per: int, most: int) -> int:
     while out < most and out * per < n:
         out *= 2
     return out
+
+
+def trim() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, exact_dedup, fingerprints, language_id, licenses, mixing, near_dedup, sharding, shards
+from docloom.llm import bpe, chat, clusters, exact_dedup, fingerprints, language_id, licenses, mixing, near_dedup, sharding, shards, spelling, word_bpe
 from docloom.llm.common import new_path
 
 
@@ -140,6 +140,77 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(_table(spark, sf_dir, "documents"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return word_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.lloyd(_table(spark, sf_dir, "embeddings"), size=64, k=16, rounds=3)
+
+
+_NEAR = """g{r} AS (
+  SELECT vec_id, c, d FROM (
+    SELECT vec_id, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS place
+    FROM (SELECT p.vec_id, m.c, sum((p.v - m.v) * (p.v - m.v))::BIGINT AS d FROM parts p JOIN m{r} m ON p.i = m.i GROUP BY p.vec_id, m.c))
+  WHERE place = 1)"""
+_MOVED = """m{s} AS (
+  SELECT m.c, m.i, CASE WHEN t.n IS NULL THEN m.v ELSE ((t.s - ((t.s % t.n) + t.n) % t.n) // t.n)::BIGINT END AS v
+  FROM m{r} m LEFT JOIN (SELECT g.c, p.i, sum(p.v)::BIGINT AS s, count(*)::BIGINT AS n FROM g{r} g JOIN parts p ON g.vec_id = p.vec_id GROUP BY g.c, p.i) t ON m.c = t.c AND m.i = t.i)"""
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)::BIGINT) AS point FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+parts AS (SELECT vec_id, unnest(range(64)) AS i, unnest(point) AS v FROM kept),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept),
+m0 AS (SELECT f.c, p.i, p.v FROM firsts f JOIN parts p ON f.vec_id = p.vec_id WHERE f.c < 16),
+{", ".join(_NEAR.format(r=r) + ", " + _MOVED.format(r=r, s=r + 1) for r in range(3))},
+{_NEAR.format(r=3)},
+digests AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM m3 GROUP BY c)
+SELECT vec_id, g.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY g.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM g3 g JOIN digests USING (c)
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(_table(spark, sf_dir, "documents"), least=7)
+    hashed = F.crc32(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("run")), "UTF-8"))
+    place = (hashed % F.char_length("run")).cast("int")
+    cut = F.concat(F.substring(F.col("run"), F.lit(1), place), F.substring(F.col("run"), place + 2, F.char_length("run")))
+    words = spelling.counted(runs.select(F.when(hashed % 31 == 0, cut).otherwise(F.col("run")).alias("word")), least=7, seldom=2)
+    return spelling.group_variants(words, ratio=10)
+
+
+#: DuckDB has no CRC-32: a byte's entry of its table is eight shifts, and a text folds its bytes over the table.
+OP13_SQL = r"""
+WITH RECURSIVE tables AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS entries),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')) AS run FROM documents),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM found GROUP BY ALL),
+hexed AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM hexed, tables),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+patterns AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+shorter AS (SELECT DISTINCT p.word AS a, p.n AS a_n, w.word AS b, w.n AS b_n FROM patterns p JOIN words w ON p.rest = w.word),
+near AS (
+  SELECT p.word AS a, q.word AS b, q.n AS b_n FROM patterns p JOIN patterns q ON p.i = q.i AND p.rest = q.rest AND length(p.word) = length(q.word) AND p.word <> q.word
+  UNION ALL SELECT a, b, b_n FROM shorter UNION ALL SELECT b, a, a_n FROM shorter),
+best AS (
+  SELECT a, n_near, b, b_n FROM (SELECT a, b, b_n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY b_n DESC, b) AS place FROM near) WHERE place = 1),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b_n >= 10 * n THEN b END AS form, CASE WHEN b_n >= 10 * n THEN b_n END AS form_n FROM words LEFT JOIN best ON word = a),
+walk AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON w.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk w ON f.word = w.word JOIN forms e ON w.root = e.word WHERE e.form IS NULL
+"""
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -151,6 +222,9 @@ QUERIES = {
     "op8_training_shards": op8_training_shards,
     "op9_chat_format": op9_chat_format,
     "op10_fingerprints": op10_fingerprints,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_clusters": op12_clusters,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES = {
@@ -158,4 +232,6 @@ ORACLES = {
     "op7_exact_dedup": OP7_SQL,
     "op8_training_shards": OP8_SQL,
     "op9_chat_format": OP9_SQL,
+    "op12_clusters": OP12_SQL,
+    "op13_spelling": OP13_SQL,
 }
