@@ -17,6 +17,10 @@ Three facts make words of any length cheap, and change no id:
 * A pair whose rank is lower than that of every entry that spans the place before it or the place after it will
   not be touched from outside before it is contracted, whatever happens around it. Such pairs are minima of a part
   of their own, and are contracted in the same round.
+
+A part of more bytes than a query may have (a line of a million dashes) goes through the same rounds by windows of its
+places, one query a window: the lowest rank is the least of all windows, and whether the last place of a window was
+contracted is handed to the next one. What is left is cut as other parts are, until it fits a query or is finished.
 """
 
 from __future__ import annotations
@@ -70,6 +74,22 @@ WITH RECURSIVE t AS (
 SELECT part, pos, tok, next_tok, bar, state FROM t WHERE state = -1 OR state = {rounds}
 """
 
+#: A window of a long part: `tokens` (pos, tok, next_tok, bar), pos numbered through the part, with two places after
+#: the window. First the lowest rank and its first place; then the places to contract, every other one of a chain;
+#: `taken` is 1 if the place before the window is contracted, whose chain a chain from the window's first place continues.
+_LOWEST = """
+SELECT min(rank), min((rank::BIGINT << 40) | pos) & ((1::BIGINT << 40) - 1)
+FROM tokens JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok) WHERE pos < {stop}
+"""
+_PLACES = """
+WITH near AS (SELECT pos, rank, bar, coalesce(lead(bar, 2) OVER (ORDER BY pos), {none}) AS b2
+              FROM tokens LEFT JOIN merges m ON m.pair = ((tok::BIGINT << 20) | next_tok)),
+     hits AS (SELECT pos, rank FROM near WHERE pos < {stop} AND ((rank = {low} AND ({every} OR pos = {first})) OR (rank < bar AND rank < b2))),
+     chained AS (SELECT *, pos - row_number() OVER (ORDER BY pos) AS chain FROM hits),
+     numbered AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY pos) AS n, min(pos) OVER (PARTITION BY chain) AS opens FROM chained)
+SELECT pos, rank >> 1 AS tok FROM numbered WHERE (n + CASE WHEN opens = {start} THEN {taken} ELSE 0 END) % 2 = 1
+"""
+
 _DECODE = "SELECT text, string_agg(piece, '' ORDER BY pos) FROM encoded JOIN pieces USING (tok) GROUP BY text"
 
 
@@ -151,11 +171,14 @@ class Encoder:
         after = np.where(edge[1:], np.int32(-1), np.append(tok[1:], np.int32(-1)))
         part = (np.cumsum(edge[:-1]) - 1).astype(np.int32)
         columns = {"part": part, "pos": np.arange(len(data)), "tok": tok, "next_tok": after, "bar": bar}
-        at, left, done = 0, {k: v[:0] for k, v in columns.items()}, []
-        while at < len(data) or len(left["pos"]):
+        done = []
+        if np.diff(begin).max(initial=0) > ROWS:
+            columns, begin = self._shortened(columns, begin, data, done)
+        at, rows_in, left = 0, len(columns["pos"]), {k: v[:0] for k, v in columns.items()}
+        while at < rows_in or len(left["pos"]):
             room = ROWS - len(left["pos"])
             stop = at
-            if at < len(data) and room > 0:  # at least one part, and what follows within the bound
+            if at < rows_in and room > 0:  # at least one part, and what follows within the bound
                 k = int(np.searchsorted(begin, at + room, side="right")) - 1
                 stop = int(max(begin[k], begin[int(np.searchsorted(begin, at, side="right"))] if not len(left["pos"]) else at))
             rows = {k: np.concatenate([left[k], v[at:stop]]) for k, v in columns.items()}
@@ -174,6 +197,57 @@ class Encoder:
         order = np.argsort(pos, kind="stable")
         return pos[order], tok[order]
 
+    def _shortened(self, columns: dict, begin: np.ndarray, data: np.ndarray, done: list) -> tuple[dict, np.ndarray]:
+        """The rows with every part of at most ROWS, and where parts begin; tokens of finished parts go to ``done``."""
+        sizes = np.diff(begin)
+        short = np.repeat(sizes <= ROWS, sizes)
+        kept = [{k: v[short] for k, v in columns.items()}]
+        long = [{k: v[a:b] for k, v in columns.items()} for a, b in zip(begin[:-1], begin[1:], strict=True) if b - a > ROWS]
+        while long:
+            rows = self._round(long.pop())
+            if rows["part"] is None:
+                done.append((rows["pos"], rows["tok"]))
+                continue
+            self._cut_again(rows, data)
+            ends = np.flatnonzero(rows["next_tok"] == -1) + 1
+            small, sizes = np.ones(len(rows["pos"]), dtype=bool), np.diff(np.append(0, ends))
+            for a, n in zip((ends - sizes).tolist(), sizes.tolist(), strict=True):
+                if n > ROWS:
+                    long.append({k: v[a : a + n].copy() for k, v in rows.items()})
+                    small[a : a + n] = False
+            kept.append({k: v[small] for k, v in rows.items()})
+        out = {k: np.concatenate([x[k] for x in kept]) for k in columns}
+        order = np.argsort(out["pos"], kind="stable")
+        out = {k: v[order] for k, v in out.items()}
+        opens = np.concatenate([[True], out["next_tok"][:-1] == -1]) if len(order) else np.zeros(0, dtype=bool)
+        out["part"] = (np.cumsum(opens) - 1).astype(np.int32)
+        return out, np.append(np.flatnonzero(opens), len(order))
+
+    def _round(self, rows: dict) -> dict:
+        """One round of a part too long for a query, window after window; ``part`` is None if it is finished."""
+        tok, bar, n = rows["tok"], rows["bar"], len(rows["tok"])
+        place, next_tok = np.arange(n), np.append(tok[1:], np.int32(-1))
+        windows = [(a, min(a + ROWS, n)) for a in range(0, n, ROWS)]
+
+        def ask(a: int, b: int, sql: str, **values):
+            part = slice(a, min(b + 2, n))
+            self._table("tokens", {"pos": pa.array(place[part]), "tok": pa.array(tok[part]), "next_tok": pa.array(next_tok[part]), "bar": pa.array(bar[part])})
+            return self.db.execute(sql.format(start=a, stop=b, none=NONE, **values))
+
+        found = [x for a, b in windows if (x := ask(a, b, _LOWEST).fetchall()[0])[0] is not None]
+        if not found:
+            return {**rows, "part": None}
+        low = min(x for x, _ in found)
+        first = min(p for x, p in found if x == low)
+        taken, made = np.zeros(n, dtype=bool), tok.copy()
+        for a, b in windows:
+            out = ask(a, b, _PLACES, low=low, first=first, every=str(low & 1 == 0), taken=int(a > 0 and taken[a - 1])).fetchnumpy()
+            taken[out["pos"]] = True
+            made[out["pos"]] = out["tok"]
+        keep = np.append(True, ~taken[:-1])
+        tok = made[keep]
+        return {"part": np.zeros(len(tok), dtype=np.int32), "pos": rows["pos"][keep], "tok": tok, "next_tok": np.append(tok[1:], np.int32(-1)), "bar": bar[keep]}
+
     def _cut_again(self, left: dict, data: np.ndarray) -> None:
         """Cut parts that are not finished where their tokens, joined, stand in no entry (equal hashes only hide a cut)."""
         if self.inside is None:

@@ -68,6 +68,50 @@ def test_a_million_letters_end(encoder):
     assert encoder.decode([np.array(ids_of(encoder, words), dtype=np.int32)]) == [text.encode()]
 
 
+@pytest.mark.parametrize("text", ["a" * 5_000_000, "-" * 5_000_000, "=-" * 700_000 + "x", "ab" * 400_000 + "a" * 700_001])
+def test_runs_of_any_length(encoder, oracle, text):
+    """Parts far larger than a query may have, in DuckDB's usual memory; the library needs the same runs in pieces."""
+    (words,) = encoder.encode([text])
+    ids = ids_of(encoder, words)
+    assert encoder.decode([np.array(ids, dtype=np.int32)]) == [text.encode()]
+    unit = oracle.encode_ordinary(text[:4096])  # such runs repeat one token; both ends are compared with the library
+    assert ids[: len(unit) // 2] == unit[: len(unit) // 2]
+    if len(set(text)) == 1:
+        assert len(ids) == -(-len(text) // len(encoder.decode([np.array(ids[:1], dtype=np.int32)])[0]))
+
+
+def test_windows_change_nothing(oracle, monkeypatch):
+    """Words cut into windows of a few places give the library's ids."""
+    rng = random.Random(11)
+    texts = ["a" * 301, "ab" * 150, "".join(rng.choices("ab", k=300)), "".join(rng.choices("acgt", k=400)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400)), "=-" * 120, "é" * 90]
+    for rows, size in ((1, 12), (2, 25), (5, 40), (40, 300), (299, 400)):
+        monkeypatch.setattr(bpe, "ROWS", rows)
+        small = bpe.Encoder(bpe.read_ranks(PATH), P.PATTERN)
+        cut = [t[:size] for t in texts]
+        for text, words in zip(cut, small.encode(cut), strict=True):
+            assert ids_of(small, words) == oracle.encode_ordinary(text)
+
+
+def test_windows_and_any_order_of_ranks(tmp_path, monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS", 4)
+    rng = random.Random(12)
+    for turn in range(3):
+        made = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(2, 6))) for _ in range(40)}
+        entries = [bytes([b]) for b in range(256)] + rng.sample(sorted(made), len(made))
+        (tmp_path / str(turn)).write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(entries)))
+        odd = bpe.Encoder(bpe.read_ranks(str(tmp_path / str(turn))), r"\p{L}+")
+        words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 24))) for _ in range(12)]
+        odd.learn(sorted(set(words)))
+        ranks = {t: i for i, t in enumerate(entries)}
+        assert all(odd.ids[w] == " ".join(map(str, brute(ranks, w))) for w in words)
+
+
+def test_ten_long_runs_in_a_batch(spark):
+    docs = make_docs(spark, [(i, ("-" if i % 2 else "a") * (1_500_000 + i), "en", "a") for i in range(10)]).coalesce(1)
+    rows = bpe.encode(docs, PATH, P.PATTERN, outputs=("n_tokens", "decoded_sha256")).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in rows} == {i: hashlib.sha256((("-" if i % 2 else "a") * (1_500_000 + i)).encode()).hexdigest() for i in range(10)}
+
+
 def brute(ranks, word):
     """One leftmost pair of minimum rank after another."""
     parts = [bytes([b]) for b in word.encode()]
