@@ -79,7 +79,7 @@ def op8_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = shards.store_shards(_table(spark, sf_dir, "documents"), path)
     if not where.limit(1).count():
         return where.withColumn("tokens_sha256", F.lit(None).cast("string"))
-    stored = shards.read_shards(spark, path, lines=False).select("slot", F.unhex(F.sha2("tokens", 256)).alias("digest"))
+    stored = shards.read_shards(spark, path).select("slot", F.unhex(F.sha2("tokens", 256)).alias("digest"))
     return where.join(stored, "slot", "left").select("slot", "shard", "byte_offset", "doc_id", "piece", F.lower(F.hex("digest")).alias("tokens_sha256"))
 
 

@@ -168,7 +168,8 @@ def store_shards(
     """Write the sequences of :func:`training_order` as raw shards to ``path``, and return what stands where.
 
     The result is ``slot, shard, byte_offset, doc_id, piece``: the sequence of a slot is the ``stride``
-    bytes from ``byte_offset`` on of the file of ``path/shard=N``. ``path`` must be new. An empty table
+    bytes from ``byte_offset`` on of the file of ``path/shard=N``; ``path/layout`` says how long sequences are, how
+    many a shard has and how many there are, which :func:`read_shards` goes by. ``path`` must be new. An empty table
     writes no shard. The sequences are first written by groups of shards; each group is then exchanged,
     written as shards and deleted, so that the disk never holds the corpus, its exchange and its shards at once.
     """
@@ -184,11 +185,14 @@ def store_shards(
         found.withColumn("group", group).write.partitionBy("group").option("compression", "zstd").parquet(parked)
         parts = spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(parked)
         where = materialise(parts.select("slot", F.floor(F.col("slot") / per_shard).cast("int").alias("shard"), ((F.col("slot") % per_shard) * stride).alias("byte_offset"), "doc_id", "piece"), "slot-index")
-        for first in range(0, shards if where.limit(1).count() else 0, each):
+        n = n if where.limit(1).count() else 0
+        for first in range(0, shards if n else 0, each):
             one = f"{parked}/group={first // each}"
             write_shards(_ranged(spark.read.schema(found.schema).parquet(one), first, min(each, shards - first), per_shard, stride), path, lines=False)
             delete(spark, one)
     delete(spark, parked)
+    layout = spark.range(1).select(F.lit(stride).alias("stride"), F.lit(per_shard).alias("per_shard"), F.lit(n).cast("long").alias("sequences"), F.lit(False).alias("lines"))
+    layout.coalesce(1).write.json(f"{path}/layout")
     return where
 
 
@@ -224,9 +228,25 @@ def write_shards(ordered: DataFrame, path: str, *, lines: bool = True) -> None:
     rows.write.mode("append").option("maxRecordsPerFile", 0).option("compression", "none").partitionBy("shard").text(path)
 
 
+def layout(spark: SparkSession, path: str) -> dict | None:
+    """What :func:`store_shards` has written about the shards of ``path``; None for shards of :func:`write_shards` alone."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/layout")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema("stride int, per_shard long, sequences long, lines boolean").json(f"{path}/layout").head().asDict()
+
+
 def read_shards(spark: SparkSession, path: str, *, stride: int = STRIDE, per_shard: int = PER_SHARD, start: int = 0, lines: bool = True) -> DataFrame:
-    """``slot, tokens`` of written shards from slot ``start`` on; shards before it are not opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", False).option("pathGlobFilter", "*.txt").load(path)
+    """``slot, tokens`` of written shards from slot ``start`` on; shards before it are not opened.
+
+    Stored shards are read by their own layout, whatever the arguments say; ``stride``, ``per_shard`` and ``lines`` are
+    those of shards that :func:`write_shards` has written alone.
+    """
+    if stored := layout(spark, path):
+        stride, per_shard, lines = stored["stride"], stored["per_shard"], stored["lines"]
+        if not stored["sequences"]:
+            return spark.createDataFrame([], "slot long, tokens binary")
+    files = spark.read.format("binaryFile").option("basePath", path).option("pathGlobFilter", "*.txt").load(f"{path}/shard=*")
     step, tail = (stride + 1, 0) if lines else (stride, 1)
     ship_package(spark)
 

@@ -63,9 +63,24 @@ def test_offsets_find_their_sequences(spark, tmp_path, monkeypatch, groups, empt
     assert len(files) == len(raw) == -(-len(tokens) // 100)
     assert {(r.doc_id, r.piece): (r.slot, r.shard, r.byte_offset, raw[r.shard][r.byte_offset : r.byte_offset + 64]) for r in where.collect()} == tokens
     assert sum(map(len, raw.values())) == 64 * len(tokens) + len(raw)
-    read = {r.slot: bytes(r.tokens) for r in shards.read_shards(spark, path, stride=64, per_shard=100, start=150, lines=False).collect()}
+    read = {r.slot: bytes(r.tokens) for r in shards.read_shards(spark, path, start=150).collect()}
     assert read == {slot: t for slot, _, _, t in tokens.values() if slot >= 150}
+    assert shards.layout(spark, path) == {"stride": 64, "per_shard": 100, "sequences": len(tokens), "lines": False}
     assert shards.store_shards(empty, f"{tmp_path}/none").count() == 0
+    assert shards.read_shards(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_query_with_larger_shards(spark, monkeypatch):
+    """More sequences than MOST_SHARDS shards of the usual size hold: shards double, and every digest stays."""
+    from docloom.llm import queries
+
+    ask = lambda: {(r.doc_id, r.piece): (r.slot, r.tokens_sha256) for r in queries.op8_training_shards(spark, "/root/testdata/sf0.001").collect()}
+    usual = ask()
+    monkeypatch.setattr(shards, "PER_SHARD", 256)
+    monkeypatch.setattr(shards, "MOST_SHARDS", 2)
+    assert shards.shard_size(len(usual)) > 256
+    rows = queries.op8_training_shards(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(usual) and {(r.doc_id, r.piece): (r.slot, r.tokens_sha256) for r in rows} == usual
 
 
 def test_query_reads_its_shards(spark, monkeypatch):
