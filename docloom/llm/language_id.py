@@ -144,13 +144,18 @@ def predict(docs: DataFrame, model: KernelModel, *, id_col: str = "doc_id", text
 def keep_determined(docs: DataFrame, model: KernelModel, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents whose language the model can tell, with all their columns; ``und`` ones go.
 
-    Where ``lang_col`` is a string column of ``docs``, its nulls become the predicted language.
+    A model that has learned no language (a corpus without labels) rejects only texts that have none: those that are
+    null or without a letter go, all others stay as they are. Where ``lang_col`` is a string column of ``docs``, its nulls become the predicted language.
     """
     label, at = _labeller(model), docs.columns.index(text_col)
     named = docs.columns.index(lang_col) if lang_col in docs.columns and docs.schema[lang_col].dataType.simpleString() == "string" else None
 
     def run(batches):
         for batch in batches:
+            if not model.languages:
+                texts, valid = strings(batch.column(at))
+                yield batch.filter(pa.array([bool(v) and _has_letter(t) for t, v in zip(texts, valid, strict=True)], pa.bool_()))
+                continue
             labels, _ = label(batch.column(at))
             if named is not None:
                 batch = batch.set_column(named, batch.schema.field(named), pc.coalesce(batch.column(named), pa.array(labels, batch.schema.field(named).type)))

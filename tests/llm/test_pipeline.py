@@ -52,6 +52,16 @@ def test_stages_and_run(spark, tmp_path):
     assert sorted((r.doc_id, r.decoded_sha256) for r in whole) == sorted((r.doc_id, r.decoded_sha256) for r in last)
 
 
+def test_a_corpus_without_labels_keeps_its_documents(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, t, None, "a") for i, t in enumerate([words(rng, 40, 10**6), words(rng, 50, 10**6), "", None, "12 !!", "É"])]
+    docs = make_docs(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    first = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and sorted(map(str, first.collect())) == sorted(map(str, docs.where("doc_id IN (0, 1, 5)").collect()))
+    assert {0, 1} <= {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+
 def test_language_stage_keeps_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = corpus_pipeline.language(spark, docs, "/root/testdata/sf0.001")
