@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("retrieval", "text", "compute", "tree", "structure", "views", "tools", "scoring", "lookup", "plans", "events", "search", "nodes")
+FAMILIES = ("retrieval", "text", "compute", "tree", "structure", "views", "tools", "scoring", "lookup", "plans", "events", "search", "nodes", "catalogs")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in FAMILIES:

@@ -61,7 +61,7 @@ def rank(rows: DataFrame, n: int, *, unit: str | None = None, year: int | None =
 def numeric_records(rows: DataFrame, field: str = "value", *, order: str = "ord") -> DataFrame:
     """Rows with a number in ``field``; of equal (node, number, label, year) the first in order stays."""
     out = rows.withColumn("number", number_of(rows, field)).where("number IS NOT NULL")
-    keys = [c for c in ("node_id", "number", "label", "year") if c in out.columns]
+    keys = [c for c in ("doc_id", "node_id", "number", "label", "year") if c in out.columns]
     return out.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("n = 1").drop("n")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.keys import doc, key, shared
+
 
 def neighbours(edges: DataFrame, seeds: DataFrame, *, types: list[str] | None = None, include_self: bool = False) -> DataFrame:
     """Children, parents, siblings and page mates of each seed: ``seed, node_id, relation``.
@@ -14,52 +16,59 @@ def neighbours(edges: DataFrame, seeds: DataFrame, *, types: list[str] | None =
     Edges: src, dst, type; seeds: node_id. A node reached in several ways keeps the first of these
     relations. Seeds are few next to edges, so each join filters edges by seed.
     """
-    child = edges.where("type = 'child'").select("src", "dst")
-    same_page = edges.where("type = 'same_page'").select("src", "dst")
-    s = seeds.select(F.col("node_id").alias("seed")).distinct()
-    parents = s.join(child, F.col("seed") == F.col("dst")).select("seed", F.col("src").alias("node_id"))
+    in_doc = doc(edges, seeds)
+    child = edges.where("type = 'child'").select(*in_doc, "src", "dst")
+    same_page = edges.where("type = 'same_page'").select(*in_doc, "src", "dst")
+    s = seeds.select(*in_doc, F.col("node_id").alias("seed")).distinct()
+    of = lambda c: [*in_doc, "seed", F.col(c).alias("node_id")]
+    below, above = child.withColumnRenamed("src", "seed"), child.withColumnRenamed("dst", "seed")
+    parents = s.join(above, [*in_doc, "seed"]).select(*of("src"))
     kinds = {
-        "child": s.join(child, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node_id")),
+        "child": s.join(below, [*in_doc, "seed"]).select(*of("dst")),
         "parent": parents,
-        "sibling": parents.withColumnRenamed("node_id", "src").join(child, "src").select("seed", F.col("dst").alias("node_id")),
-        "same_page": s.join(same_page.select(F.col("dst").alias("seed"), "src"), "seed").join(same_page, "src").select("seed", F.col("dst").alias("node_id")),
+        "sibling": parents.withColumnRenamed("node_id", "src").join(child, [*in_doc, "src"]).select(*of("dst")),
+        "same_page": s.join(same_page.withColumnRenamed("dst", "seed"), [*in_doc, "seed"]).join(same_page, [*in_doc, "src"]).select(*of("dst")),
     }
     if include_self:
-        kinds = {"self": s.select("seed", F.col("seed").alias("node_id"))} | kinds
+        kinds = {"self": s.select(*in_doc, "seed", F.col("seed").alias("node_id"))} | kinds
     wanted = [k for k in kinds if types is None or k in types or k == "self"]
-    rows = reduce(DataFrame.unionByName, [kinds[k].select("seed", "node_id", F.lit(i).alias("p"), F.lit(k).alias("relation")) for i, k in enumerate(wanted)])
+    rows = reduce(DataFrame.unionByName, [kinds[k].select(*in_doc, "seed", "node_id", F.lit(i).alias("p"), F.lit(k).alias("relation")) for i, k in enumerate(wanted)])
     rows = rows if include_self else rows.where("seed <> node_id")
-    return rows.groupBy("seed", "node_id").agg(F.min_by("relation", "p").alias("relation")).where(F.lit(include_self) | (F.col("seed") != F.col("node_id")))
+    return rows.groupBy(*in_doc, "seed", "node_id").agg(F.min_by("relation", "p").alias("relation")).where(F.lit(include_self) | (F.col("seed") != F.col("node_id")))
 
 
 def expand_nodes(edges: DataFrame, base: DataFrame, types: list[str]) -> DataFrame:
     """The base nodes and what their edges of the given types lead to; ``parent`` follows child edges upwards."""
-    out = edges.where(F.col("type").isin(*types)).select(F.col("src").alias("node_id"), F.col("dst").alias("to"))
+    in_doc = doc(edges, base)
+    out = edges.where(F.col("type").isin(*types)).select(*in_doc, F.col("src").alias("node_id"), F.col("dst").alias("to"))
     if "parent" in types:
-        out = out.unionByName(edges.where("type IN ('child', 'parent')").select(F.col("dst").alias("node_id"), F.col("src").alias("to")))
-    reached = base.select("node_id").distinct().join(out, "node_id").select(F.col("to").alias("node_id"))
-    first = base.select("node_id", F.lit(0).alias("hop"))
-    return first.unionByName(reached.select("node_id", F.lit(1).alias("hop"))).groupBy("node_id").agg(F.min("hop").alias("hop"))
+        out = out.unionByName(edges.where("type IN ('child', 'parent')").select(*in_doc, F.col("dst").alias("node_id"), F.col("src").alias("to")))
+    own = [*in_doc, "node_id"]
+    reached = base.select(*own).distinct().join(out, own).select(*in_doc, F.col("to").alias("node_id"))
+    first = base.select(*own, F.lit(0).alias("hop"))
+    return first.unionByName(reached.select(*own, F.lit(1).alias("hop"))).groupBy(*own).agg(F.min("hop").alias("hop"))
 
 
 def expand_hits(edges: DataFrame, children: DataFrame, seeds: DataFrame, *, include_self: bool = False) -> DataFrame:
     """Hits of score 0.6 for all neighbours of the seeds and the children of seed headings (node_id, child)."""
-    near = neighbours(edges, seeds, include_self=include_self).select("node_id")
-    below = children.join(seeds.select("node_id").distinct(), "node_id").select(F.col("child").alias("node_id"))
+    own = [*doc(edges, seeds), "node_id"]
+    near = neighbours(edges, seeds, include_self=include_self).select(*own)
+    below = children.join(seeds.select(*own).distinct(), shared(children, seeds)).select(*own[:-1], F.col("child").alias("node_id"))
     return near.unionByName(below).distinct().withColumn("score", F.lit(0.6))
 
 
 def children_hits(edges: DataFrame, seeds: DataFrame, *, role: str | None = None, roles: DataFrame | None = None) -> DataFrame:
     """Hits of score 0.7 for the children of the seeds, of one role if asked (roles: node_id, role)."""
-    kids = edges.where("type = 'child'").join(seeds.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node_id")).distinct()
+    in_doc = doc(edges, seeds)
+    kids = edges.where("type = 'child'").join(seeds.select(*in_doc, F.col("node_id").alias("src")), [*in_doc, "src"], "left_semi").select(*in_doc, F.col("dst").alias("node_id")).distinct()
     if role is not None:
-        kids = kids.join(roles.where(F.col("role") == role), "node_id", "left_semi")
+        kids = kids.join(roles.where(F.col("role") == role), shared(kids, roles), "left_semi")
     return kids.withColumn("score", F.lit(0.7))
 
 
 def unseen(hits: DataFrame, visited: DataFrame, *, n: int = 6) -> DataFrame:
     """The first ``n`` hits whose nodes were not visited."""
-    return hits.join(visited, "node_id", "left_anti").orderBy(F.desc("score"), "node_id").limit(n)
+    return hits.join(visited, shared(hits, visited), "left_anti").orderBy(F.desc("score"), *key(hits)).limit(n)
 
 
 def distinct_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,7 @@ def build_views(nodes: DataFrame, *, compat: bool = False, encode: Callable[[lis
     sparse = views.sparse_docs(nodes, compat=compat)
     spans = views.figure_spans(nodes)
     summary = views.summary_nodes(nodes)
-    lists, list_stats = retrieval.posting_lists(sparse.withColumn("node_id", F.to_json(F.struct("doc_id", "node_id"))), SPARSE_FIELDS)
-    back = F.from_json("node_id", "doc_id string, node_id string")
-    lists = lists.withColumn("k", back).select("k.doc_id", "field", "term", "k.node_id", "role", "tf", "n")
+    lists, list_stats = retrieval.posting_lists(sparse, SPARSE_FIELDS)
     figure_tokens = views.span_tokens(spans).join(nodes.select("doc_id", "node_id", "page_idx"), ["doc_id", "node_id"])
     return {
         "summary": summary,
@@ -54,45 +53,79 @@ def build_views(nodes: DataFrame, *, compat: bool = False, encode: Callable[[lis
     }
 
 
-def write_index(nodes: DataFrame, path: str, *, compat: bool = False, encode: Callable[[list[str]], list[list[float]]] | None = None) -> None:
-    """Write all views below ``path``, postings and posting lists by field; a rerun replaces them."""
-    from docloom.sources.io import write_view
+#: Views that searches read by field and term, and small ones: not by document.
+BY_FIELD, SMALL = ("postings", "lists"), ("list_stats", "figure_terms")
+
+
+def write_index(nodes: DataFrame, path: str, *, compat: bool = False, encode: Callable[[list[str]], list[list[float]]] | None = None, buckets: int = 16, views: Sequence[str] | None = None) -> None:
+    """Write all views (or those named) below ``path``; a rerun replaces them.
+
+    Postings and posting lists lie by field, in order of their terms. All other views are bucketed by ``doc_id``, each
+    bucket one file in order of it: a search of one document reads one bucket of each, and joins of views on their
+    documents need no exchange. Buckets should hold a few hundred MB of the largest view; their number is written too.
+    """
+    from docloom.sources.io import write_bucketed, write_view
 
     for name, view in build_views(nodes, compat=compat, encode=encode).items():
-        write_view(view, f"{path}/{name}", by="field" if name in ("postings", "lists") else None)
+        if views is not None and name not in views:
+            continue
+        if name in BY_FIELD or name in SMALL:
+            write_view(view, f"{path}/{name}", by="field" if name in BY_FIELD else None)
+        else:
+            write_bucketed(view, f"{path}/{name}", "doc_id", buckets)
+    layout = nodes.sparkSession.range(1).select(F.lit(buckets).alias("buckets"))
+    layout.coalesce(1).write.mode("overwrite").json(f"{path}/layout")
 
 
 def load_catalog(spark: SparkSession, path: str, *, doc_id: str | None = None, encode: Callable[[str], list[float]] | None = None) -> Catalog:
     """The catalog of a written index, of one document if asked.
 
-    ``encode`` must be the encoder of the index for one text; without it, queries are hashed as the default view is.
-    The statistics of posting lists and figures are those of the whole index; one document's searches scan it.
+    A node's key is its document and its id, in every table and in all hits. ``encode`` must be the encoder of the
+    index for one text; without it, queries are hashed as the default view is. The statistics of posting lists and
+    figures are those of the whole index; one document's searches scan its own bucket. Views that were not written are
+    absent. Joins on the whole key can use the buckets once ``spark.sql.requireAllClusterKeysForCoPartition`` is false,
+    which this sets.
     """
-
-    def view(name: str) -> DataFrame:
-        df = spark.read.parquet(f"{path}/{name}")
-        return df if doc_id is None else df.where(F.col("doc_id") == doc_id)
-
-    summary, leaf = view("summary"), view("dense_leaf")
-    texts = leaf.select("node_id", F.col("raw_text").alias("text")).unionByName(summary.select("node_id", F.col("dense_text").alias("text")))
+    from docloom.sources.io import exists, read_bucketed
+
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    buckets = spark.read.schema("buckets int").json(f"{path}/layout").head()[0]
+    there: dict[str, DataFrame | None] = {}
+
+    def view(name: str) -> DataFrame | None:
+        if name not in there:
+            where = f"{path}/{name}"
+            if not exists(spark, where):
+                there[name] = None
+            elif name in BY_FIELD or name in SMALL:
+                there[name] = spark.read.parquet(where)
+            else:
+                df = read_bucketed(spark, where, "doc_id", buckets)
+                there[name] = df if doc_id is None else df.where(F.col("doc_id") == doc_id)
+        return there[name]
+
+    def made(name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+        return None if (df := view(name)) is None else make(df)
+
+    texts = [t for t in (made("dense_leaf", lambda d: d.select("doc_id", "node_id", F.col("raw_text").alias("text"))), made("summary", lambda d: d.select("doc_id", "node_id", F.col("dense_text").alias("text")))) if t is not None]
     modality = F.when(F.col("role").isin("table", "image"), F.col("role")).otherwise("text")
     return Catalog(
         sparse=view("sparse_coarse"),
         dense=view("dense"),
         lists=view("lists") if doc_id is None else None,
-        list_stats=spark.read.parquet(f"{path}/list_stats"),
-        figure_least=spark.read.parquet(f"{path}/figure_terms").agg(F.min("df").alias("least_df")) if doc_id is None else None,
+        list_stats=view("list_stats"),
+        figure_least=made("figure_terms", lambda d: d.agg(F.min("df").alias("least_df"))) if doc_id is None else None,
         tables=view("tables"),
         figure_tokens=view("figure_tokens"),
         figure_spans=view("figure_spans"),
         edges=view("edges"),
-        children=view("heading_children").select("node_id", F.explode("children").alias("child")),
-        headings=summary.where("role = 'section'").select("node_id", F.col("title").alias("heading")),
+        children=made("heading_children", lambda d: d.select("doc_id", "node_id", F.explode("children").alias("child"))),
+        headings=made("summary", lambda d: d.where("role = 'section'").select("doc_id", "node_id", F.col("title").alias("heading"))),
         page_index=view("page_index"),
-        nodes=summary.select("node_id", "role", "page_idx", "label", F.col("dense_text").alias("caption")),
-        texts=texts,
-        evidence=summary.select("node_id", modality.alias("modality"), F.col("dense_text").alias("content")),
-        labels=view("id_maps").where("kind = 'label'").select(F.col("key").alias("label"), "node_id"),
+        nodes=made("summary", lambda d: d.select("doc_id", "node_id", "role", "page_idx", "label", F.col("dense_text").alias("caption"))),
+        texts=reduce(DataFrame.unionByName, texts) if texts else None,
+        evidence=made("summary", lambda d: d.select("doc_id", "node_id", modality.alias("modality"), F.col("dense_text").alias("content"))),
+        labels=made("id_maps", lambda d: d.where("kind = 'label'").select("doc_id", F.col("key").alias("label"), "node_id")),
         encode=encode or (lambda query: encode_query(spark, query)),
     )
 

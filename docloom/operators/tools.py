@@ -1,6 +1,7 @@
 """Retrieval and extraction tools over the index views.
 
-Tools return hits: ``node_id, evidence_type, modality, score`` and columns of their own. Search terms are
+Tools return hits: ``node_id, evidence_type, modality, score`` and columns of their own, with ``doc_id`` where the
+tables they search are of several documents (:mod:`docloom.operators.keys`). Search terms are
 driver-side literals; what they are compared with are columns.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import retrieval
+from docloom.operators.keys import doc, key, shared
 
 NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 # Evidence type and modality by role.
@@ -55,7 +57,7 @@ def clamp(score: Column) -> Column:
 def shape_hits(rows: DataFrame, *, view: str | None = None) -> DataFrame:
     """Hits of one shape from (node_id, role, score): evidence type and modality by role or view, score in 0..1."""
     role = F.col("role") if view is None else F.lit(view)
-    return rows.select("node_id", by_role(EVIDENCE, role, "text").alias("evidence_type"), by_role(MODALITY, role, "text").alias("modality"), clamp(F.coalesce("score", F.lit(0.0))).alias("score"))
+    return rows.select(*key(rows), by_role(EVIDENCE, role, "text").alias("evidence_type"), by_role(MODALITY, role, "text").alias("modality"), clamp(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
 def _any(cells: Column, term: str) -> Column:
@@ -107,10 +109,10 @@ def table_search(tables: DataFrame, *, columns=(), rows=(), keywords=(), query:
     lower = lambda a: F.transform(a, lambda c: F.lower(T.text(c)))
     args = dict(column_terms=column_terms, keywords=keys, units=units, years=year_terms)
     scored = F.transform("rows", lambda r, i: F.struct(i.alias("row_index"), F.get(r, F.lit(0)).alias("row_label"), row_score(lower(r), lower(F.col("columns")), row_terms=asked_rows, **args).alias("score")))
-    found = tables.select("node_id", "caption", "columns", F.filter(scored, lambda s: s["score"] > 0).alias("matched"))
+    found = tables.select(*key(tables), "caption", "columns", F.filter(scored, lambda s: s["score"] > 0).alias("matched"))
     by_table = F.lit(0.0) if asked_rows else table_score(F.lower(T.text(F.col("caption"))), lower(F.col("columns")), **args)
     best = F.coalesce(F.array_max(F.transform("matched", lambda m: m["score"])), by_table)
-    return found.withColumn("best", best).where("best > 0").select("node_id", F.lit("table").alias("evidence_type"), F.lit("table").alias("modality"), F.least(F.lit(1.0), F.col("best") / 5.0).alias("score"), "caption", "columns", "matched")
+    return found.withColumn("best", best).where("best > 0").select(*key(tables), F.lit("table").alias("evidence_type"), F.lit("table").alias("modality"), F.least(F.lit(1.0), F.col("best") / 5.0).alias("score"), "caption", "columns", "matched")
 
 
 def chart_search(tokens: DataFrame, *, keywords=(), units=(), years=(), chart_types=(), pages=(), parent: str | None = None, k: int = 6, meta: DataFrame | None = None, least_df: DataFrame | None = None) -> DataFrame:
@@ -133,8 +135,8 @@ def chart_search(tokens: DataFrame, *, keywords=(), units=(), years=(), chart_ty
 def figure_metadata(images: DataFrame, spans: DataFrame) -> DataFrame:
     """Images with caption and chart type of their own, else of their first spans, and their span roles."""
     first = lambda c, cond: F.min_by(F.when(cond, F.col(c)), F.when(cond, F.col("ord")))
-    held = spans.groupBy("node_id").agg(first("dense_text", F.col("role") == "figure_caption").alias("span_caption"), first("chart_type", F.col("chart_type").isNotNull()).alias("span_type"), F.array_sort(F.collect_set("role")).alias("span_roles"))
-    return images.join(held, "node_id", "left").withColumn("caption", F.coalesce("caption", "span_caption")).withColumn("chart_type", F.coalesce("chart_type", "span_type")).drop("span_caption", "span_type")
+    held = spans.groupBy(*shared(images, spans)).agg(first("dense_text", F.col("role") == "figure_caption").alias("span_caption"), first("chart_type", F.col("chart_type").isNotNull()).alias("span_type"), F.array_sort(F.collect_set("role")).alias("span_roles"))
+    return images.join(held, shared(images, held), "left").withColumn("caption", F.coalesce("caption", "span_caption")).withColumn("chart_type", F.coalesce("chart_type", "span_type")).drop("span_caption", "span_type")
 
 
 def heading_score(heading: Column, keywords: list[str]) -> Column:
@@ -150,8 +152,8 @@ def locate_headings(headings: DataFrame, keywords=()) -> DataFrame:
     """Sections (node_id, heading) by their best-scored heading, at most 1."""
     wanted = list(dict.fromkeys(" ".join(k.lower().split()) for k in ([keywords] if isinstance(keywords, str) else keywords) if k.strip()))
     scored = headings.withColumn("s", heading_score(T.heading_key(F.col("heading")), wanted)).where("s > 0")
-    best = scored.groupBy("node_id").agg(F.max(F.struct("s", "heading")).alias("b"))
-    return best.select("node_id", F.lit("layout").alias("evidence_type"), F.lit("text").alias("modality"), F.least(F.lit(1.0), F.col("b.s")).alias("score"), F.col("b.heading").alias("heading"))
+    best = scored.groupBy(*key(headings)).agg(F.max(F.struct("s", "heading")).alias("b"))
+    return best.select(*key(headings), F.lit("layout").alias("evidence_type"), F.lit("text").alias("modality"), F.least(F.lit(1.0), F.col("b.s")).alias("score"), F.col("b.heading").alias("heading"))
 
 
 def locate_pages(page_index: DataFrame, roles: DataFrame, pages: list[int] | str | None) -> DataFrame:
@@ -162,7 +164,8 @@ def locate_pages(page_index: DataFrame, roles: DataFrame, pages: list[int] | str
         pages = None if pages.strip().lower() == "all" else [int(found[1])] if found else []
     if pages is not None:
         rows = rows.where(F.col("page").isin(*pages)) if pages else rows.limit(0)
-    first = rows.groupBy("node_id").agg(F.min("page").alias("page")).join(roles.select("node_id", "role"), "node_id", "left")
+    own = shared(page_index, roles)
+    first = rows.groupBy(*own).agg(F.min("page").alias("page")).join(roles.select(*own, "role"), own, "left")
     return shape_hits(first.withColumn("score", F.lit(1.0)))
 
 
@@ -170,24 +173,25 @@ def find_regions(nodes: DataFrame, *, source: DataFrame | None = None, pages: li
     """Regions of interest: nodes (node_id, role, page_idx, label, caption) of some kinds, from source hits, pages, or everywhere."""
     rows = nodes.where(F.col("role").isin(*kinds))
     if source is not None:
-        on = source.join(nodes.select("node_id", "page_idx"), "node_id").select("page_idx").distinct()
-        rows = rows.join(source.select("node_id").distinct().withColumn("__hit", F.lit(1)), "node_id", "left").join(on.withColumn("__page", F.lit(1)), "page_idx", "left").where("__hit = 1 OR __page = 1").drop("__hit", "__page")
+        own, in_doc = shared(source, nodes), doc(source, nodes)
+        on = source.select(*own).distinct().join(nodes.select(*own, "page_idx"), own).select(*in_doc, "page_idx").distinct()
+        rows = rows.join(source.select(*own).distinct().withColumn("__hit", F.lit(1)), own, "left").join(on.withColumn("__page", F.lit(1)), [*in_doc, "page_idx"], "left").where("__hit = 1 OR __page = 1").drop("__hit", "__page")
     if pages:
         rows = rows.where(F.col("page_idx").isin(*pages))
     if label:
         rows = rows.where(T.normalise_label(F.col("label")) == T.normalise_label(F.lit(label)))
-    return rows.select("node_id", F.lit("graphics").alias("evidence_type"), F.lit("image").alias("modality"), F.lit(1.0).alias("score"), "page_idx", "label", "caption").orderBy("node_id")
+    return rows.select(*key(nodes), F.lit("graphics").alias("evidence_type"), F.lit("image").alias("modality"), F.lit(1.0).alias("score"), "page_idx", "label", "caption").orderBy(*key(nodes))
 
 
 def screen_charts(rois: DataFrame, spans: DataFrame, *, only_positive: bool = True) -> DataFrame:
     """Which regions show charts: a chart type, axis labels, a legend, or a telling word; 1.0, else 0.2."""
-    held = spans.groupBy("node_id").agg(
+    held = spans.groupBy(*shared(rois, spans)).agg(
         F.bool_or(F.col("chart_type").isNotNull()).alias("typed"),
         F.bool_or(F.col("role") == "axis_label").alias("has_axis"),
         F.bool_or(F.col("role") == "figure_legend").alias("has_legend"),
         F.bool_or(F.lower("dense_text").rlike("chart|graph|plot|diagram")).alias("told"),
     )
-    rows = rois.join(held, "node_id", "left").fillna(False, ["typed", "has_axis", "has_legend", "told"])
+    rows = rois.join(held, shared(rois, held), "left").fillna(False, ["typed", "has_axis", "has_legend", "told"])
     chart = F.col("typed") | F.col("has_axis") | F.col("has_legend") | F.col("told") | F.lower(T.text(F.col("caption"))).rlike("chart|graph|plot|diagram")
     out = rows.withColumn("has_chart", chart).withColumn("score", F.when(chart, 1.0).otherwise(0.2))
     return out.where("has_chart") if only_positive else out
@@ -207,7 +211,7 @@ def extract_regex(texts: DataFrame, pattern: str, *, around: int = 40) -> DataFr
     rows = texts.withColumn("m", F.explode(F.aggregate(pairs, start, step)["out"])).where("m.match IS NOT NULL AND m.match <> ''")
     end = F.col("m.start") + F.length("m.match")
     low = F.greatest(F.lit(0), F.col("m.start") - around)
-    return rows.select("node_id", F.col("m.match").alias("match"), F.col("m.start").alias("start"), end.alias("end"), F.substring(F.col("text"), low + 1, end + around - low).alias("snippet"))
+    return rows.select(*key(texts), F.col("m.match").alias("match"), F.col("m.start").alias("start"), end.alias("end"), F.substring(F.col("text"), low + 1, end + around - low).alias("snippet"))
 
 
 def _segments(c: Column) -> Column:
@@ -217,16 +221,16 @@ def _segments(c: Column) -> Column:
 def extract_series(texts: DataFrame) -> DataFrame:
     """Chart readings in texts (node_id, text): ``label: number unit`` of each segment."""
     rule = rf"([A-Za-z0-9\s\-]+):?\s*({NUMBER})\s*(%|percent|pct)?"
-    rows = texts.select("node_id", F.posexplode(_segments(F.col("text"))).alias("ord", "line"))
+    rows = texts.select(*key(texts), F.posexplode(_segments(F.col("text"))).alias("ord", "line"))
     value = F.regexp_extract("line", rule, 2)
     unit = F.when((F.regexp_extract("line", rule, 3) != "") | F.col("line").contains("%"), F.lit("%"))
-    return rows.where(value != "").select("node_id", "ord", F.trim(F.regexp_extract("line", rule, 1)).alias("label"), F.regexp_replace(value, ",", "").cast("double").alias("value"), unit.alias("unit"), F.col("line").alias("text"))
+    return rows.where(value != "").select(*key(texts), "ord", F.trim(F.regexp_extract("line", rule, 1)).alias("label"), F.regexp_replace(value, ",", "").cast("double").alias("value"), unit.alias("unit"), F.col("line").alias("text"))
 
 
 def extract_lines(texts: DataFrame, *, value_hints=(), label_hints=(), unit: str | None = None, years=()) -> DataFrame:
     """Numbers in the segments of plain texts (node_id, text), with label, unit and year."""
     values, labels = terms(value_hints), terms(label_hints)
-    rows = texts.select("node_id", F.posexplode(_segments(F.col("text"))).alias("ord", "line"))
+    rows = texts.select(*key(texts), F.posexplode(_segments(F.col("text"))).alias("ord", "line"))
     low = F.lower("line")
     rule = rf"({NUMBER})\s*(%|percent|pct)?"
     if values:
@@ -238,7 +242,7 @@ def extract_lines(texts: DataFrame, *, value_hints=(), label_hints=(), unit: str
         rows = rows.where(reduce(lambda a, b: a | b, [F.lower("label").contains(x) for x in labels]))
     found = F.when((F.regexp_extract("line", rule, 2) != "") | F.col("line").contains("%"), F.lit("%"))
     year = F.coalesce(*(F.when(F.col("line").contains(str(y)), F.lit(int(y))) for y in years), F.lit(None).cast("int"))
-    return rows.select("node_id", "ord", "label", F.regexp_replace("raw", ",", "").cast("double").alias("value"), (F.lit(unit) if unit else found).alias("unit"), year.alias("year"), F.col("line").alias("text"))
+    return rows.select(*key(texts), "ord", "label", F.regexp_replace("raw", ",", "").cast("double").alias("value"), (F.lit(unit) if unit else found).alias("unit"), year.alias("year"), F.col("line").alias("text"))
 
 
 def extract_column(tables: DataFrame, *, value_hints=(), label_hints=(), unit: str | None = None, years=(), allowed: DataFrame | None = None) -> DataFrame:
@@ -254,11 +258,12 @@ def extract_column(tables: DataFrame, *, value_hints=(), label_hints=(), unit: s
     numeric = F.filter(indexes, lambda i: F.exists("rows", lambda r: F.coalesce(F.get(r, i).rlike(NUMBER), F.lit(False))))
     percent = F.transform("columns", lambda _, i: F.exists("rows", lambda r: F.coalesce(F.get(r, i).contains("%"), F.lit(False))))
     wide = tables.withColumns({"idxs": F.when(F.size(named) > 0, named).otherwise(numeric), "pct": percent})
-    rows = wide.select("node_id", "columns", "idxs", "pct", F.posexplode("rows").alias("row_index", "row"))
+    rows = wide.select(*key(tables), "columns", "idxs", "pct", F.posexplode("rows").alias("row_index", "row"))
     if allowed is not None:
-        listed = allowed.select("node_id").distinct().withColumn("__listed", F.lit(1))
-        ok = allowed.select("node_id", "row_index").distinct().withColumn("__ok", F.lit(1))
-        rows = rows.join(listed, "node_id", "left").join(ok, ["node_id", "row_index"], "left").where("__listed IS NULL OR __ok = 1").drop("__listed", "__ok")
+        own = shared(tables, allowed)
+        listed = allowed.select(*own).distinct().withColumn("__listed", F.lit(1))
+        ok = allowed.select(*own, "row_index").distinct().withColumn("__ok", F.lit(1))
+        rows = rows.join(listed, own, "left").join(ok, [*own, "row_index"], "left").where("__listed IS NULL OR __ok = 1").drop("__listed", "__ok")
     rows = rows.withColumn("label", F.trim(F.get("row", F.lit(0)))).where("label IS NOT NULL")
     if labels:
         rows = rows.where((F.col("label") == "") | reduce(lambda a, b: a | b, [F.lower("label").contains(x) for x in labels]))
@@ -267,7 +272,7 @@ def extract_column(tables: DataFrame, *, value_hints=(), label_hints=(), unit: s
     year = F.coalesce(*(F.when(F.col("cell").contains(str(y)) | F.col("label").contains(str(y)), F.lit(int(y))) for y in years), F.lit(None).cast("int"))
     found = F.when(F.get("pct", F.col("idx")), F.lit("%"))
     return cells.where(value.isNotNull()).select(
-        "node_id",
+        *key(tables),
         F.concat("node_id", F.lit(":r"), F.col("row_index") + 1, F.lit("c"), F.col("idx") + 1).alias("cell_id"),
         "label",
         value.alias("value"),
@@ -281,26 +286,30 @@ def extract_column(tables: DataFrame, *, value_hints=(), label_hints=(), unit: s
 
 def observe(hits: DataFrame, evidence: DataFrame, visited: DataFrame, *, n: int = 6) -> DataFrame:
     """Evidence of the first ``n`` unseen hits."""
-    fresh = hits.join(visited, "node_id", "left_anti").orderBy(F.desc("score"), "node_id").limit(n)
-    return fresh.select("node_id", "score").join(evidence, "node_id", "left")
+    fresh = hits.join(visited, shared(hits, visited), "left_anti").orderBy(F.desc("score"), *key(hits)).limit(n)
+    return fresh.select(*key(hits), "score").join(evidence, shared(hits, evidence), "left")
 
 
 def pack_context(observations: DataFrame, *, rows: int = 6, chars: int = 280) -> DataFrame:
     """One row ``context``: observations as JSON, texts cut to ``chars``, tables to ``rows`` lines."""
     short = F.when(F.col("modality") == "table", F.substring_index("content", "\n", rows)).otherwise(F.substring("content", 1, chars))
-    item = F.struct((-F.col("score")).alias("s"), "node_id", "modality", short.alias("content"))
-    ordered = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["node_id"].alias("node_id"), x["modality"].alias("modality"), x["content"].alias("content")))
+    told = [*key(observations), "modality", "content"]
+    item = F.struct((-F.col("score")).alias("s"), *key(observations), "modality", short.alias("content"))
+    ordered = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in told)))
     return observations.agg(F.to_json(ordered).alias("context"))
 
 
 def match_label_or_pages(images: DataFrame, *, labels: list[str] = (), pages: list[int] = ()) -> DataFrame:
     """Images (node_id, label, page_idx, logical_page) for a question: named ones, else those on its pages.
 
-    A page number is meant as logical, physical or counted from one; the three joins are a union.
+    A page number is meant as logical, physical or counted from one; the three joins are a union. Images of several
+    documents count by document: one that names none of its images gives those on the pages.
     """
     wanted = [T.normalise_label(F.lit(x)) for x in labels]
     named = images.where(reduce(lambda a, b: a | b, [T.normalise_label(F.col("label")) == w for w in wanted], F.lit(False)))
     on = F.col("page_idx").isin(*pages, *[p - 1 for p in pages]) | F.col("logical_page").isin(*[str(p) for p in pages]) if pages else F.lit(False)
+    if doc(images):
+        return named.select(*key(images)).unionByName(images.where(on).join(named.select("doc_id").distinct(), "doc_id", "left_anti").select(*key(images))).distinct()
     count = named.agg((F.count("*") > 0).alias("__named"))
     return named.select("node_id").unionByName(images.where(on).crossJoin(F.broadcast(count)).where("NOT __named").select("node_id")).distinct()  # one row
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.scoring import format_conforms, quality
 from docloom.operators import tools
+from docloom.operators.keys import key, shared
 from docloom.plans.executor import Catalog, Executor, run_plan
 from docloom.plans.ir import repair
 from docloom.plans.slots import Slots
@@ -21,7 +22,8 @@ class Memory:
 
     decisions: list = field(default_factory=list)
     plans: list = field(default_factory=list)
-    visited: set[str] = field(default_factory=set)
+    #: Keys of nodes that were looked at: ids, after those of their documents where the catalog has several.
+    visited: set[tuple[str, ...]] = field(default_factory=set)
     answers: list[dict] = field(default_factory=list)
 
 
@@ -47,15 +49,17 @@ def ask(question: str, catalog: Catalog, *, slots: Slots | None = None, rounds:
         if "result" in rows.columns:
             seen = [r.asDict() for r in rows.limit(6).collect()]
         elif catalog.evidence is not None:
-            fresh = rows.select("node_id", "score") if "score" in rows.columns else rows.select("node_id", F.lit(1.0).alias("score"))
-            visited = catalog.evidence.sparkSession.createDataFrame([(v,) for v in memory.visited], "node_id string")
+            own = shared(rows, catalog.evidence)
+            fresh = rows.select(*own, "score" if "score" in rows.columns else F.lit(1.0).alias("score"))
+            visited = catalog.evidence.sparkSession.createDataFrame([v for v in memory.visited if len(v) == len(own)], ", ".join(f"{c} string" for c in own))
             seen = [r.asDict() for r in tools.observe(fresh, catalog.evidence, visited).collect()]
-        memory.visited.update(r["node_id"] for r in seen if r.get("node_id"))
+        keys = [tuple(r[c] for c in key(rows) if r.get(c)) for r in seen if r.get("node_id")]
+        memory.visited.update(keys)
         answer = slots.reason(seen)
         verdict = slots.judge(answer, len(seen))
         form = rows.sparkSession.range(1).select(format_conforms(F.lit(str(answer["answer"])), getattr(decision, "expected", None))).head()[0]
         total = _quality(seen, form, verdict["score"], answer["confidence"])
-        outcome = {**answer, "quality": total, "passed": verdict["passed"], "evidence": [r.get("node_id") for r in seen if r.get("node_id")]}
+        outcome = {**answer, "quality": total, "passed": verdict["passed"], "evidence": ["/".join(k) for k in keys]}
         memory.answers.append(outcome)
         if best is None or (outcome["passed"], total) > (best["passed"], best["quality"]):
             best = outcome

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import compute, graph, lookup, pack, retrieval, tools
+from docloom.operators.keys import doc, key, shared
 from docloom.plans.ir import Node, Plan, Stage, chosen_steps, should_run
 
 Tool = Callable[["Context", dict[str, Any]], DataFrame]
@@ -21,7 +22,10 @@ Tool = Callable[["Context", dict[str, Any]], DataFrame]
 
 @dataclass
 class Catalog:
-    """The tables a plan can search; absent views are None."""
+    """The tables a plan can search; absent views are None.
+
+    Tables of several documents have ``doc_id`` beside ``node_id``, all of them; then hits have it too.
+    """
 
     sparse: DataFrame | None = None
     dense: DataFrame | None = None
@@ -62,6 +66,8 @@ class Context:
         ids = args.get("node_ids") or ([named] if isinstance(named, str) else named)
         if not ids:
             raise KeyError(f"no step has saved {named!r}")
+        if (nodes := self.catalog.nodes) is not None and doc(nodes):  # the nodes of these ids in every document
+            return nodes.where(F.col("node_id").isin(*map(str, ids))).select("doc_id", "node_id", F.lit(1.0).alias("score")).distinct()
         spark = next(t for t in vars(self.catalog).values() if isinstance(t, DataFrame)).sparkSession
         return spark.createDataFrame([(str(i), 1.0) for i in dict.fromkeys(ids)], "node_id string, score double")
 
@@ -104,21 +110,22 @@ def _filter(ctx: Context, a: dict[str, Any]) -> DataFrame:
 
 def _column(ctx: Context, a: dict[str, Any]) -> DataFrame:
     hits = ctx.source(a)
-    tables = ctx.catalog.tables.join(hits.select("node_id").distinct(), "node_id", "left_semi")
-    allowed = hits.select("node_id", F.explode("matched").alias("m")).select("node_id", F.col("m.row_index").alias("row_index")) if "matched" in hits.columns else None
+    tables = ctx.catalog.tables.join(hits, shared(ctx.catalog.tables, hits), "left_semi")
+    allowed = hits.select(*key(hits), F.explode("matched").alias("m")).select(*key(hits), F.col("m.row_index").alias("row_index")) if "matched" in hits.columns else None
     return tools.extract_column(tables, value_hints=a.get("value_hints", ()), label_hints=a.get("label_hints", ()), unit=a.get("unit"), years=a.get("years", ()), allowed=allowed)
 
 
 def _texts(ctx: Context, a: dict[str, Any]) -> DataFrame:
-    return ctx.catalog.texts.join(ctx.source(a).select("node_id").distinct(), "node_id", "left_semi")
+    hits = ctx.source(a)
+    return ctx.catalog.texts.join(hits, shared(ctx.catalog.texts, hits), "left_semi")
 
 
 def _pack(ctx: Context, a: dict[str, Any]) -> DataFrame:
     hits = ctx.source(a)
     if "page_idx" not in hits.columns:
-        pages = ctx.catalog.nodes.select("node_id", "page_idx") if ctx.catalog.nodes is not None else None
-        hits = hits.join(pages, "node_id", "left") if pages is not None else hits.withColumn("page_idx", F.lit(None).cast("int"))
-    return pack.mmr_pack(hits.select("node_id", "page_idx", "score"), limit=a.get("limit"), per_page=a.get("per_page_limit", 2), trade=a.get("lambda", 0.72))
+        pages = ctx.catalog.nodes.select(*key(ctx.catalog.nodes), "page_idx") if ctx.catalog.nodes is not None else None
+        hits = hits.join(pages, shared(hits, pages), "left") if pages is not None else hits.withColumn("page_idx", F.lit(None).cast("int"))
+    return pack.mmr_pack(hits.select(*key(hits), "page_idx", "score"), limit=a.get("limit"), per_page=a.get("per_page_limit", 2), trade=a.get("lambda", 0.72))
 
 
 def _dense(ctx: Context, a: dict[str, Any]) -> DataFrame:
@@ -157,8 +164,9 @@ def _look(ctx: Context, a: dict[str, Any]) -> DataFrame:
         raise ValueError("the catalog has no images, or no model for them")
     hits = ctx.source(a)
     score = F.max("score") if "score" in hits.columns else F.lit(0.0)
-    wanted = retrieval.ranked(hits.groupBy("node_id").agg(score.alias("score")), "node_id").select("node_id", F.col("rank").alias("ord"))
-    rows = ctx.catalog.images.select("node_id", "content").join(wanted, "node_id").select("ord", "content")
+    own = shared(hits, ctx.catalog.images)
+    wanted = retrieval.ranked(hits.groupBy(*own).agg(score.alias("score"))).select(*own, F.col("rank").alias("ord"))
+    rows = ctx.catalog.images.select(*own, "content").join(wanted, own).select("ord", "content")
 
     def run(batches):
         import pandas as pd
@@ -255,7 +263,7 @@ def run_plan(plan: Plan, catalog: Catalog, executor: Executor | None = None, *,
         rows = next((o.rows for o in reversed(outcomes[stage.name]) if o.status == "ok"), None)
         if rows is None:
             continue
-        if "node_id" not in rows.columns:  # a computed or told value covers the question
+        if not key(rows):  # a computed or told value covers the question
             covered = 1.0
         elif i + 1 < len(plan.stages) or best is not None:
             covered = pack.coverage(rows, stage.k_nodes).head()[0] or 0.0
@@ -274,17 +282,18 @@ def execute_policy(policy: dict, catalog: Catalog) -> DataFrame:
     ctx, k = Context(catalog), policy["k"]
     match policy["strategy"]:
         case "direct_label":
-            return retrieval.lookup_label(catalog.labels, policy["labels"][0]).select("node_id", F.lit(1.0).alias("score"))
+            found = retrieval.lookup_label(catalog.labels, policy["labels"][0]).withColumn("score", F.lit(1.0))
         case "direct_page":
-            return tools.locate_pages(catalog.page_index, catalog.nodes, policy["pages"]).select("node_id", "score")
+            found = tools.locate_pages(catalog.page_index, catalog.nodes, policy["pages"])
         case "sparse" | "leaf":
-            return _sparse(ctx, policy).select("node_id", "score")
+            found = _sparse(ctx, policy)
         case "dense":
-            return _dense(ctx, policy).select("node_id", "score")
+            found = _dense(ctx, policy)
         case "heading":
-            return retrieval.top_k(tools.locate_headings(catalog.headings, policy["keywords"]), k).select("node_id", "score")
+            found = retrieval.top_k(tools.locate_headings(catalog.headings, policy["keywords"]), k)
         case _:
-            return _hybrid(ctx, policy).select("node_id", "score")
+            found = _hybrid(ctx, policy)
+    return found.select(*key(found), "score")
 
 
 def stub_catalog(spark: SparkSession, pairs: list[tuple[str, str]], *, role: str = "paragraph") -> Catalog:

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,6 +28,30 @@ def local_session(app: str = "docloom", cores: int | str = "*", shuffle_partitio
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only on one machine (``local[...]``, as in tests) and without the setting a temporary folder stands in, one an
+    application, which goes when the process ends. A cluster must name its folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = getattr(spark.sparkContext, "_docloom_dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="docloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = spark.sparkContext._docloom_dir = f"file://{folder}"
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing has been written to; it stays until the application's folder goes."""
+    return f"{shared_dir(spark)}/docloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give executors this package, once an application, so that Python workers find it wherever they start."""
     if getattr(spark.sparkContext, "_docloom_shipped", False):
