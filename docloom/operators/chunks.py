@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
 from docloom.session import ship_package
 
 
@@ -83,40 +84,43 @@ def leaf_blocks(leaves: DataFrame, *, least: int = 280, most: int = 720, overlap
     return leaves.groupBy("doc_id", "parent_section", "page_idx").applyInPandas(fold, schema)
 
 
-def section_chunks(units: DataFrame, *, most: int = 1800, overlap: int = 300) -> DataFrame:
+def section_chunks(units: DataFrame, *, most: int = 1800, overlap: int = 300, across_pages: bool = False) -> DataFrame:
     """Retrieval chunks of sections (doc_id, section_id, section_path, ord, page_idx, node_id, text).
 
-    Units are packed in reading order up to ``most`` characters and never across pages; the next chunk
-    of a page starts with the last ``overlap`` characters; each begins with its section's path.
+    Units are packed in reading order until the next one would pass ``most`` characters; the chunk after that starts
+    with the last whole units that ``overlap`` characters hold, a line break each, and their ids. A new page starts a
+    new chunk without overlap, unless chunks may go ``across_pages``. Each chunk begins with its section's path;
+    ``page_idx`` is its page, null if it has several, ``page_lo`` and ``page_hi`` the first and last. Blank units and
+    nulls are left out. A section's units are one array, folded with an array of the chunk so far as state.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        out = []
-
-        def emit(text, ids, page, path):
-            if text.strip():
-                out.append((len(out), f"[{path}]\n{text.strip()}" if path else text.strip(), page, list(ids)))
-
-        text, ids, page = "", [], None
-        path = group["section_path"].iloc[0] or ""
-        for row in group.itertuples():
-            unit = (row.text or "").strip()
-            if not unit:
-                continue
-            if text and (row.page_idx != page or len(text) + 1 + len(unit) > most):
-                emit(text, ids, page, path)
-                text, ids = (text[-overlap:] if row.page_idx == page else ""), []
-            text, page = f"{text}\n{unit}".strip(), row.page_idx
-            ids.append(row.node_id)
-        emit(text, ids, page, path)
-        frame = pd.DataFrame(out, columns=["chunk_idx", "text", "page_idx", "source_node_ids"])
-        frame.insert(0, "section_id", group["section_id"].iloc[0])
-        frame.insert(0, "doc_id", group["doc_id"].iloc[0])
-        return frame
-
     kind = dict(units.dtypes)
-    return units.groupBy("doc_id", "section_id").applyInPandas(fold, f"doc_id {kind['doc_id']}, section_id string, chunk_idx int, text string, page_idx {kind['page_idx']}, source_node_ids array<string>")
+    text = F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    unit = f"array<struct<t:string,id:string,p:{kind['page_idx']}>>"
+    rows = units.withColumn("t", text).where("t <> ''")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "node_id", "page_idx", "t")))
+    sections = rows.groupBy("doc_id", "section_id").agg(F.min_by("section_path", "ord").alias("path"), F.transform(ordered, lambda u: F.struct(u["t"].alias("t"), u["node_id"].alias("id"), u["page_idx"].alias("p"))).alias("units"))
+    size = lambda us: F.aggregate(us, F.lit(0), lambda n, u: n + F.length(u["t"]))
+
+    def tail(us):
+        last = lambda k: F.slice(us, F.size(us) - k + 1, k)
+        fits = F.filter(F.sequence(F.lit(0), F.size(us)), lambda k: size(last(k)) + k <= overlap)
+        return last(F.array_max(fits))
+
+    def step(state, u):
+        held = state["held"]
+        page = F.element_at(held, -1)["p"]
+        turned = F.lit(False) if across_pages else (F.size(held) > 0) & F.coalesce(page.isNotNull() & ~page.eqNullSafe(u["p"]), F.lit(False))
+        full = (F.size(held) > 0) & (size(held) + F.length(u["t"]) > most)
+        kept = F.when(turned, F.slice(held, 1, 0)).when(full, tail(held)).otherwise(held)
+        return F.struct(F.concat(kept, F.array(u)).alias("held"), F.when(turned | full, F.concat(state["out"], F.array(held))).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.array().cast(unit).alias("held"), F.array().cast(f"array<{unit}>").alias("out"))
+    folded = F.aggregate(F.col("units").cast(unit), start, step, lambda s: F.concat(s["out"], F.array(s["held"])))
+    chunk = sections.select("doc_id", "section_id", "path", F.posexplode(folded).alias("chunk_idx", "c"))
+    pages = F.filter(F.transform("c", lambda u: u["p"]), lambda p: p.isNotNull())
+    joined = F.array_join(F.transform("c", lambda u: u["t"]), "\n")
+    lo, hi = F.array_min(pages), F.array_max(pages)
+    return chunk.select("doc_id", "section_id", "chunk_idx", F.concat(F.lit("["), F.coalesce("path", F.lit("")), F.lit("]\n"), joined).alias("text"), F.when(lo == hi, lo).alias("page_idx"), lo.alias("page_lo"), hi.alias("page_hi"), F.transform("c", lambda u: u["id"]).alias("source_node_ids"))
 
 
 def chapter_blocks(elements: DataFrame, *, most_words: int = 400) -> DataFrame:
@@ -157,36 +161,51 @@ def block_stats(elements: DataFrame) -> DataFrame:
     return elements.groupBy("doc_id", "block").agg(F.coalesce(words, F.lit(0)).alias("word_count"), F.count("*").alias("element_count"), F.min("page_idx").alias("page_lo"), F.max("page_idx").alias("page_hi"), of("text", "paragraph").alias("n_text"), of("table").alias("n_table"), of("image", "figure").alias("n_figure"))
 
 
-_WORD = re.compile(r"[A-Za-z][A-Za-z0-9_\-]+")
+_WORD = re.compile(T.SUMMARY_TOKEN)
+STOP = frozenset(T.STOPWORDS)
 
 
 def sentence_idf(sentences: list[str]) -> dict[str, float]:
-    """IDF of words over sentences: 1 + max(0, ln((1 + n) / (1 + df)))."""
-    df = Counter(w for s in sentences for w in {w.lower() for w in _WORD.findall(s)})
+    """IDF of words over sentences, stop words left out: 1 + max(0, ln((1 + n) / (1 + df)))."""
+    df = Counter(w for s in sentences for w in {w.lower() for w in _WORD.findall(s)} - STOP)
     return {w: 1.0 + max(0.0, math.log((1 + len(sentences)) / (1 + n))) for w, n in df.items()}
 
 
-def summarise(sentences: list[str], *, k: int = 3, budget: int = 360, trade: float = 0.75) -> str:
-    """Sentences picked greedily by relevance and difference from those picked, within a budget of characters."""
-    idf = sentence_idf(sentences)
-    bags = [Counter(w.lower() for w in _WORD.findall(s)) for s in sentences]
-    vectors = [{w: n * idf[w] for w, n in b.items()} for b in bags]
-    norms = [math.sqrt(sum(v * v for v in x.values())) for x in vectors]
-    relevance = [sum(x.values()) / max(5, sum(b.values())) for x, b in zip(vectors, bags, strict=True)]
+def sentence_idfs(rows: DataFrame, sentences_col: str, *keys: str) -> DataFrame:
+    """:func:`sentence_idf` of every row's array of sentences: ``keys, word, df, idf``; ``keys`` name a row."""
+    words = F.transform(sentences_col, lambda s: F.array_distinct(T.tokens(s, T.SUMMARY_TOKEN)))
+    single = rows.select(*keys, F.size(sentences_col).alias("n"), F.explode(F.flatten(words)).alias("word")).where(~F.col("word").isin(*STOP))
+    idf = 1 + F.greatest(F.lit(0.0), F.ln((1 + F.col("n")) / (1 + F.col("df"))))
+    return single.groupBy(*keys, "n", "word").agg(F.count("*").alias("df")).select(*keys, "word", "df", idf.alias("idf"))
 
-    def similarity(a: int, b: int) -> float:
-        shared = sum(v * vectors[b].get(w, 0.0) for w, v in vectors[a].items())
-        return shared / (norms[a] * norms[b]) if norms[a] and norms[b] else 0.0
 
+def summarise(sentences: list[str], *, k: int = 3, budget: int = 360, trade: float = 0.75, keywords: tuple[str, ...] = ()) -> str:
+    """At most ``k`` sentences, in the order of their choice: relevant, and unlike those chosen before.
+
+    Relevance is the sum of a sentence's TF-IDF weights over its words (5 at least), up to half as much again for
+    ``keywords`` in it. Each choice takes the best ``trade * relevance - (1 - trade) * most similar chosen one``, at nine
+    decimals, the earlier sentence if equal. Choosing ends once ``budget`` characters are reached; a longer text is cut
+    at its last space within them.
+    """
+    idf, wanted = sentence_idf(sentences), {w.lower() for w in keywords}
+    words = [[w.lower() for w in _WORD.findall(s)] for s in sentences]
+    vectors = [{w: n * idf[w] for w, n in Counter(x for x in ws if x not in STOP).items()} for ws in words]
+    norms = [math.sqrt(sum(v * v for v in x.values())) or 1.0 for x in vectors]
+    boost = [1 + min(0.5, 0.1 * sum(w in wanted for w in ws)) for ws in words]
+    relevance = [b * sum(x.values()) / max(5, len(ws)) for x, ws, b in zip(vectors, words, boost, strict=True)]
+    closest = [0.0] * len(sentences)
     chosen: list[int] = []
     while len(chosen) < min(k, len(sentences)):
-        rest = [i for i in range(len(sentences)) if i not in chosen]
-        best = max(rest, key=lambda i: (trade * relevance[i] - (1 - trade) * max((similarity(i, j) for j in chosen), default=0.0), -i))
-        if chosen and sum(len(sentences[i]) + 1 for i in [*chosen, best]) > budget:
+        worth = [(-round(trade * relevance[i] - (1 - trade) * closest[i], 9), i) for i in range(len(sentences)) if i not in chosen]
+        last = min(worth)[1]
+        chosen.append(last)
+        if len(" ".join(sentences[i] for i in chosen)) >= budget:
             break
-        chosen.append(best)
-    text = " ".join(sentences[i] for i in sorted(chosen))
-    return text if len(text) <= budget else text[:budget].rsplit(" ", 1)[0].strip()
+        for i, x in enumerate(vectors):
+            near = sum(v * vectors[last].get(w, 0.0) for w, v in x.items()) / (norms[i] * norms[last])
+            closest[i] = near if len(chosen) == 1 else max(closest[i], near)
+    text = " ".join(sentences[i] for i in chosen)
+    return (text if len(text) <= budget else text[:budget].rsplit(" ", 1)[0]).strip()
 
 
 def summarise_texts(rows: DataFrame, sentences_col: str, *, k: int = 3, budget: int = 360) -> DataFrame:

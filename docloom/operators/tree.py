@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.session import stored
 
-#: Deepest heading level that is told apart; deeper ones count as this.
+#: Heading levels that are told apart without looking at the items first.
 MOST_LEVELS = 12
 # Id prefixes by item type.
 PREFIX = {"section": "sec_", "text": "t_", "paragraph": "t_", "image": "img_", "table": "tab_", "caption": "cap_", "equation": "eq_", "list": "lst_"}
@@ -82,18 +83,23 @@ def is_heading() -> Column:
     return (F.col("type") == "heading") | ((F.col("type") == "text") & (F.coalesce("text_level", F.lit(-1)) >= 1))
 
 
-def parents(items: DataFrame, *, heading: Column | None = None, level: str = "text_level") -> DataFrame:
+def parents(items: DataFrame, *, heading: Column | None = None, level: str = "text_level", levels: int | None = MOST_LEVELS) -> DataFrame:
     """Add ``is_section``, ``parent_ord`` and ``open_ords``, the sections a row lies in from the top.
 
     A section lies in the latest section before it of a smaller level, anything else in the latest
     section. The latest section of each level is a running last value; the parent is the largest of those
-    that qualify, so no stack is kept.
+    that qualify, so no stack is kept. ``levels`` is the deepest level there may be; a deeper one is an error when the
+    rows are computed. None looks for it in the items first, with a job of its own.
     """
     section = F.coalesce(heading if heading is not None else is_heading(), F.lit(False))
-    depth = F.least(F.lit(MOST_LEVELS), F.greatest(F.lit(0), F.coalesce(level, F.lit(1)))).cast("int")
+    depth = F.greatest(F.lit(0), F.coalesce(level, F.lit(1))).cast("int")
+    if levels is None:
+        levels = items.agg(F.max(F.when(section, depth))).head()[0] or 0
+    deeper = F.raise_error(F.concat(F.lit("heading level "), depth.cast("string"), F.lit(f" is deeper than levels={levels}")))
+    depth = F.when(section & (depth > levels), deeper).otherwise(depth).cast("int")
     before = in_order().rowsBetween(Window.unboundedPreceding, -1)
     rows = items.withColumn("is_section", section).withColumn("depth_level", depth)
-    latest = {n: F.last(F.when(F.col("is_section") & (F.col("depth_level") == n), F.col("ord")), ignorenulls=True).over(before) for n in range(MOST_LEVELS + 1)}
+    latest = {n: F.last(F.when(F.col("is_section") & (F.col("depth_level") == n), F.col("ord")), ignorenulls=True).over(before) for n in range(levels + 1)}
     rows = rows.withColumns({f"latest_{n}": c for n, c in latest.items()})
     fits = [F.when(~F.col("is_section") | (F.col("depth_level") > n), F.col(f"latest_{n}")) for n in latest]
     # a level's latest section is still open if no section of a smaller level came after it
@@ -102,14 +108,14 @@ def parents(items: DataFrame, *, heading: Column | None = None, level: str = "te
     return rows.drop("depth_level", *(f"latest_{n}" for n in latest))
 
 
-def build_tree(items: DataFrame) -> DataFrame:
+def build_tree(items: DataFrame, *, levels: int | None = MOST_LEVELS) -> DataFrame:
     """The document tree: ``doc_id, ord, node_id, parent_id, type, level, title, text, page_idx, read_order``.
 
     Unknown types are dropped; list items become text joined by line breaks. A section's title is the
-    first line of its text.
+    first line of its text. ``levels`` as in :func:`parents`.
     """
     known = [*PREFIX, "heading"]
-    placed = parents(items.where(F.col("type").isin(*known)))
+    placed = parents(items.where(F.col("type").isin(*known)), levels=levels)
     kind = F.when(F.col("is_section"), "section").otherwise(F.col("type"))
     prefix = F.create_map(*(F.lit(x) for pair in PREFIX.items() for x in pair))
     named = placed.withColumn("node_type", kind).withColumn("node_id", F.concat(F.element_at(prefix, kind), F.col("ord").cast("string")))
@@ -171,23 +177,28 @@ def prev_next(nodes: DataFrame, *, order: str = "read_order") -> DataFrame:
     return rows.where("dst IS NOT NULL").withColumn("type", F.lit("prev_next"))
 
 
-def ancestors(nodes: DataFrame, *, most: int = MOST_LEVELS) -> DataFrame:
+def ancestors(nodes: DataFrame, *, most: int | None = None) -> DataFrame:
     """``doc_id, node_id, ancestor, distance`` for every section above a node; distance 1 is the parent.
 
-    Trees that carry ``ancestors`` (from the top) need no join. For others the closure grows by one level
-    a step, at most ``most``; each step joins on (doc_id, node).
+    Trees that carry ``ancestors`` (from the top) need no join. For others the closure grows by one level a step, each
+    a join on (doc_id, node), until ``most`` or, without it, until no node has a further one; then each step is written.
     """
     if "ancestors" in nodes.columns:
         above = nodes.select("doc_id", "node_id", F.size("ancestors").alias("n"), F.posexplode("ancestors").alias("i", "ancestor"))
-        return above.select("doc_id", "node_id", "ancestor", (F.col("n") - F.col("i")).alias("distance")).where(F.col("distance") <= most)
+        return above.select("doc_id", "node_id", "ancestor", (F.col("n") - F.col("i")).alias("distance")).where(F.lit(True) if most is None else F.col("distance") <= most)
     up = nodes.where("parent_id IS NOT NULL").select("doc_id", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("above"))
     steps = [nodes.where("parent_id IS NOT NULL").select("doc_id", "node_id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))]
-    for n in range(2, most + 1):
-        steps.append(steps[-1].join(up, ["doc_id", "ancestor"]).select("doc_id", "node_id", F.col("above").alias("ancestor"), F.lit(n).alias("distance")))
+    n = 1
+    while most is None or n < most:
+        n += 1
+        step = steps[-1].join(up, ["doc_id", "ancestor"]).select("doc_id", "node_id", F.col("above").alias("ancestor"), F.lit(n).alias("distance"))
+        if most is None and (step := stored(step, "ancestors")).isEmpty():
+            break
+        steps.append(step)
     return reduce(DataFrame.unionByName, steps)
 
 
-def paths(nodes: DataFrame, *, sep: str = " > ", most: int = MOST_LEVELS) -> DataFrame:
+def paths(nodes: DataFrame, *, sep: str = " > ", most: int | None = None) -> DataFrame:
     """``doc_id, node_id, path``: titles of the sections above a node, from the top."""
     above = ancestors(nodes, most=most)
     titles = nodes.where(F.col("title").isNotNull()).select("doc_id", F.col("node_id").alias("ancestor"), "title")
@@ -196,13 +207,13 @@ def paths(nodes: DataFrame, *, sep: str = " > ", most: int = MOST_LEVELS) -> Dat
     return nodes.select("doc_id", "node_id").join(gathered.select("doc_id", "node_id", path.alias("path")), ["doc_id", "node_id"], "left").fillna("", ["path"])
 
 
-def depths(nodes: DataFrame, *, most: int = MOST_LEVELS) -> DataFrame:
+def depths(nodes: DataFrame, *, most: int | None = None) -> DataFrame:
     """``doc_id, node_id, depth``: sections above a node."""
     deep = ancestors(nodes, most=most).groupBy("doc_id", "node_id").agg(F.max("distance").alias("depth"))
     return nodes.select("doc_id", "node_id").join(deep, ["doc_id", "node_id"], "left").fillna(0, ["depth"])
 
 
-def level_statistics(nodes: DataFrame, *, most: int = MOST_LEVELS) -> DataFrame:
+def level_statistics(nodes: DataFrame, *, most: int | None = None) -> DataFrame:
     """For each depth: nodes, leaves, leaf ratio and mean children of inner nodes, to three places."""
     children = nodes.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_children"))
     each = depths(nodes, most=most).join(children, ["doc_id", "node_id"], "left").fillna(0, ["n_children"])
@@ -220,7 +231,7 @@ def type_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
-def inherited(nodes: DataFrame, column: str, *, most: int = MOST_LEVELS) -> DataFrame:
+def inherited(nodes: DataFrame, column: str, *, most: int | None = None) -> DataFrame:
     """``doc_id, node_id, value``: a node's own value of a column, else its nearest ancestor's."""
     own = nodes.select("doc_id", "node_id", F.lit(0).alias("distance"), F.col(column).alias("value"))
     above = ancestors(nodes, most=most).join(nodes.select("doc_id", F.col("node_id").alias("ancestor"), F.col(column).alias("value")), ["doc_id", "ancestor"])
@@ -229,19 +240,21 @@ def inherited(nodes: DataFrame, column: str, *, most: int = MOST_LEVELS) -> Data
     return nodes.select("doc_id", "node_id").join(found, ["doc_id", "node_id"], "left")
 
 
-def flatten_nested(trees: DataFrame, *, levels: int = 8, root: str = "root") -> DataFrame:
+def flatten_nested(trees: DataFrame, *, levels: int | None = None, root: str = "root") -> DataFrame:
     """Adjacency rows of trees nested as JSON text: ``doc_id, node_id, parent_id, ord_path, node``.
 
     ``root`` holds a JSON object with ``children``; each level is one explode over parsed arrays of JSON
-    texts, ``levels`` of them. ``node`` is the node's JSON, to be read with a schema of choice.
+    texts, ``levels`` of them below the root or, without that, as many as there are; then each level is written. ``node`` is the node's JSON, to be read with a schema of choice.
     """
     row = lambda level: level.select("doc_id", F.get_json_object("node", "$.node_id").alias("node_id"), "parent_id", "ord_path", "node")
     level = trees.select("doc_id", F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<int>").alias("ord_path"), F.col(root).alias("node"))
     out = [row(level)]
-    for _ in range(levels):
+    while levels is None or len(out) <= levels:
         kids = F.from_json(F.get_json_object("node", "$.children"), "array<string>")
         level = level.select("doc_id", F.get_json_object("node", "$.node_id").alias("parent_id"), "ord_path", F.posexplode(kids).alias("i", "child"))
         level = level.select("doc_id", "parent_id", F.concat("ord_path", F.array("i")).alias("ord_path"), F.col("child").alias("node"))
+        if levels is None and (level := stored(level, "nested")).isEmpty():
+            break
         out.append(row(level))
     return reduce(DataFrame.unionByName, out)
 

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import stored
+
 
 def signature(params: dict[str, Any], inputs: list[str] = (), version: str = "") -> str:
     """Ten hex digits of the parameters, the inputs' signatures and the operator's version."""
@@ -40,9 +42,11 @@ class StepCache:
 def memoised(requests: DataFrame, known: DataFrame, call: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Answers of ``requests`` (key, request): known ones (key, response) joined, others called for.
 
-    Returns all answers, and the new ones to append to the known table.
+    Each distinct unknown request is called for once: the new answers are written before they are used, so that those
+    joined and those returned, to append to the known table, are the same.
     """
-    new = call(requests.join(known.select("key"), "key", "left_anti"))
+    unknown = requests.join(known.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    new = stored(call(unknown), "memoised")
     return requests.join(known.unionByName(new), "key"), new
 
 

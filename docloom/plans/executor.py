@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docloom.operators import compute, graph, lookup, pack, retrieval, tools
 from docloom.operators.keys import doc, key, shared
 from docloom.plans.ir import Node, Plan, Stage, chosen_steps, should_run
+from docloom.session import stored
 
 Tool = Callable[["Context", dict[str, Any]], DataFrame]
 
@@ -175,7 +176,7 @@ def _look(ctx: Context, a: dict[str, Any]) -> DataFrame:
             said = [look(question, bytes(c)) if c is not None else {} for c in batch["content"]]
             yield pd.DataFrame({"ord": batch["ord"], "answer": [str(s.get("answer") or "") for s in said], "confidence": [float(s.get("confidence") or 0.0) for s in said], "thinking": [s.get("thinking") for s in said]})
 
-    told = rows.mapInPandas(run, "ord int, answer string, confidence double, thinking string")
+    told = stored(rows.mapInPandas(run, "ord int, answer string, confidence double, thinking string"), "told")  # each image once
     count = told.agg(F.count("*").alias("n_images"))
     return lookup.combine_answers(told.where("answer <> ''")).crossJoin(F.broadcast(count))  # one row each
 
@@ -266,6 +267,7 @@ def run_plan(plan: Plan, catalog: Catalog, executor: Executor | None = None, *,
         if not key(rows):  # a computed or told value covers the question
             covered = 1.0
         elif i + 1 < len(plan.stages) or best is not None:
+            rows = stored(rows, "stage")  # its coverage and its rows come from one run
             covered = pack.coverage(rows, stage.k_nodes).head()[0] or 0.0
         else:
             covered = 0.0

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import lookup, structure, tree
+from docloom.session import stored
 
 Model = Callable[[list[str]], list[str]]
 
@@ -125,6 +126,8 @@ def caption_roles(items: DataFrame, model: Model | None = None, *, k: int = 3) -
 def clean_captions(items: DataFrame, model: Model | None = None, *, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Items with their caption roles written and captions taken off the headings, and the counts of what was found."""
     roles = caption_roles(items, model, k=k)
+    if model is not None:
+        roles = stored(roles, "caption-roles")  # the model is asked once for both results
     texts = roles.where("role = 'caption'").join(items.select("doc_id", "ord", "text"), ["doc_id", "ord"])
     held = texts.groupBy("doc_id", F.col("media_ord").alias("ord")).agg(F.array_sort(F.collect_set("text")).alias("captions"))
     return structure.apply_captions(items.join(held, ["doc_id", "ord"], "left"), roles), lookup.caption_statistics(roles)

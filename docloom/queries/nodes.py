@@ -388,3 +388,18 @@ def source_page_images(spark, sf_dir):
     images = io.page_images(files)
     missing = io.missing_pages(c.select((F.col("k") - 1).cast("int").alias("page_idx")), images)
     return images.unionByName(missing.select(F.lit(None).cast("string").alias("path"), "page_idx")).select("path", F.col("page_idx").cast("long").alias("page_idx"))
+
+
+@FAMILY.add(
+    """WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, max(l_quantity)::DOUBLE AS q, min(l_partkey) AS k FROM lineitem GROUP BY ALL),
+c AS (SELECT doc_id, n, 'a/img_' || n || '.png' AS img_path FROM r),
+l AS (SELECT doc_id, CASE WHEN n % 2 = 1 THEN 'img_' || n ELSE 'page_img_' || n || '_' || (k % 3) END AS other, q AS box FROM r WHERE n % 3 > 0)
+SELECT c.doc_id, c.img_path, arg_min(l.box, (l.other <> 'img_' || c.n, l.other)) AS box FROM c LEFT JOIN l ON l.doc_id = c.doc_id AND contains(l.other, 'img_' || c.n) GROUP BY ALL"""
+)
+def source_layout_boxes(spark, sf_dir):
+    """Boxes of a layout by file name inside each document: the same name, else a name that contains it."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.max("l_quantity").cast("double").alias("q"), F.min("l_partkey").alias("k"))
+    content = rows.select("doc_id", F.concat(F.lit("a/img_"), "n", F.lit(".png")).alias("img_path"))
+    name = F.when(F.col("n") % 2 == 1, F.concat(F.lit("b/img_"), "n", F.lit(".png"))).otherwise(F.concat(F.lit("b/page_img_"), "n", F.lit("_"), F.col("k") % 3, F.lit(".jpg")))
+    layout = rows.where("n % 3 > 0").select("doc_id", name.alias("img_path"), F.array("q").alias("bbox"))
+    return io.enrich_with_layout(content, layout).select("doc_id", "img_path", F.get("bbox", F.lit(0)).alias("box"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators import chunks
 from docloom.queries.base import Family, sql_list, table
 
 FAMILY = Family()
@@ -172,19 +173,14 @@ def text_roman(spark, sf_dir):
 
 
 @FAMILY.add(
-    r"""
+    rf"""
 WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+[.!?]')) AS s FROM documents),
 w AS (SELECT doc_id, s, list_distinct(regexp_extract_all(lower(s), '[a-z][a-z0-9_\-]+')) AS w FROM s),
 n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
-df AS (SELECT doc_id, t, count(*) AS df FROM (SELECT doc_id, unnest(w) AS t FROM w) GROUP BY doc_id, t)
+df AS (SELECT doc_id, t, count(*) AS df FROM (SELECT doc_id, unnest(w) AS t FROM w) WHERE t NOT IN ({sql_list(T.STOPWORDS)}) GROUP BY doc_id, t)
 SELECT doc_id, count(*) AS n_words, round(sum(1 + greatest(0, ln((1 + n) / (1 + df)))), 6) AS idf_sum FROM df JOIN n USING (doc_id) GROUP BY doc_id"""
 )
 def text_sentence_idf(spark, sf_dir):
-    """Sum of the sentence IDF of each document's words."""
-    docs = table(spark, sf_dir, "documents")
-    s = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([^.!?\n]+[.!?])"), F.lit(1))).alias("s"))
-    words = s.select("doc_id", F.array_distinct(T.tokens(F.col("s"), T.SUMMARY_TOKEN)).alias("w"))
-    n = words.groupBy("doc_id").agg(F.count("*").alias("n"))
-    df = words.select("doc_id", F.explode("w").alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("df"))
-    idf = 1 + F.greatest(F.lit(0.0), F.ln((1 + F.col("n")) / (1 + F.col("df"))))
-    return df.join(n, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.round(F.sum(idf), 6).alias("idf_sum"))
+    """Sum of the sentence IDF of each document's words, stop words left out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"([^.!?\n]+[.!?])"), F.lit(1)).alias("s"))
+    return chunks.sentence_idfs(docs, "s", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.round(F.sum("idf"), 6).alias("idf_sum"))

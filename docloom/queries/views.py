@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import chunks, tree, views
-from docloom.queries.base import Family, table
+from docloom.queries.base import Family, sql_list, table
 from docloom.queries.tree import TREE_SQL, items
 
 FAMILY = Family()
@@ -148,12 +148,26 @@ def block_statistics(spark, sf_dir):
     return chunks.block_stats(rows).select("doc_id", "block", "word_count", "element_count")
 
 
-@FAMILY.add()
+# One unit after another: a chunk is given out when a unit turns the page or no longer fits, and its last whole units open the next one.
+_SECTION_CHUNK_SQL = rf"""WITH RECURSIVE {TREE_SQL},
+u AS (SELECT doc_id, coalesce(parent_id, 'root') AS section_id, row_number() OVER (PARTITION BY doc_id, coalesce(parent_id, 'root') ORDER BY ord) AS k, {{{{'t': t, 'id': node_id, 'p': page_idx}}}} AS u
+      FROM (SELECT *, regexp_replace(text, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM nodes WHERE type = 'text') WHERE t <> ''),
+f AS (SELECT doc_id, section_id, k, [u] AS held, CASE WHEN false THEN [u] END AS out FROM u WHERE k = 1
+  UNION ALL SELECT doc_id, section_id, k, list_append(CASE WHEN turned THEN [] WHEN full_ THEN held[len(held) - fits + 1:] ELSE held END, u), CASE WHEN turned OR full_ THEN held END
+  FROM (SELECT *, NOT turned AND list_sum(list_transform(held, lambda x: length(x.t))) + length(u.t) > 1800 AS full_,
+               list_max(list_filter(range(0, len(held) + 1), lambda n: coalesce(list_sum(list_transform(held[len(held) - n + 1:], lambda x: length(x.t) + 1)), 0) <= 300)) AS fits
+        FROM (SELECT f.doc_id, f.section_id, u.k, f.held, u.u, f.held[-1].p IS DISTINCT FROM u.u.p AS turned FROM f JOIN u ON f.doc_id = u.doc_id AND f.section_id = u.section_id AND u.k = f.k + 1))),
+c AS (SELECT doc_id, section_id, k, out AS c FROM f WHERE out IS NOT NULL UNION ALL SELECT doc_id, section_id, 1000000000, arg_max(held, k) FROM f GROUP BY ALL)
+SELECT doc_id, section_id, (row_number() OVER (PARTITION BY doc_id, section_id ORDER BY k) - 1)::BIGINT AS chunk_idx, c[1].p::BIGINT AS page_idx, (3 + list_sum(list_transform(c, lambda x: length(x.t))) + len(c) - 1)::BIGINT AS n_chars, array_to_string(list_transform(c, lambda x: x.id), ',') AS ids FROM c"""
+
+
+@FAMILY.add(_SECTION_CHUNK_SQL.replace("{{", "{").replace("}}", "}"))
 def section_chunks(spark, sf_dir):
-    """Retrieval chunks of sections (a fold; tested against its definition)."""
+    """Retrieval chunks of the sections of all trees, with the ids of their units."""
     n = nodes(spark, sf_dir).where("type = 'text'")
     units = n.select("doc_id", F.coalesce("parent_id", F.lit("root")).alias("section_id"), F.lit("").alias("section_path"), "ord", "page_idx", "node_id", "text")
-    return chunks.section_chunks(units).select("doc_id", "section_id", "chunk_idx", "page_idx", F.length("text").alias("n_chars"))
+    out = chunks.section_chunks(units)
+    return out.select("doc_id", "section_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("page_idx").cast("long").alias("page_idx"), F.length("text").cast("long").alias("n_chars"), F.array_join("source_node_ids", ",").alias("ids"))
 
 
 @FAMILY.add()
@@ -164,8 +178,31 @@ def leaf_blocks(spark, sf_dir):
     return chunks.leaf_blocks(rows).select("doc_id", "parent_section", "page_idx", "block_idx", F.length("raw_text").alias("n_chars"))
 
 
-@FAMILY.add()
+# The greedy choice written out for three sentences: each takes the best of relevance less likeness to those before it.
+_SUMMARY_SQL = rf"""
+WITH parts AS (SELECT doc_id, trim(text) AS t, list_transform(regexp_split_to_array(regexp_replace(trim(text, ' '), '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'))) AS p FROM documents),
+kept AS (SELECT doc_id, CASE WHEN t = '' THEN [] WHEN len(list_filter(p, lambda x: length(x) >= 20)) = 0 THEN [t] ELSE list_filter(p, lambda x: length(x) >= 20)[:30] END AS s FROM parts),
+s AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i, len(s) AS n FROM kept),
+tok AS (SELECT doc_id, i, n, unnest(regexp_extract_all(lower(s), '[a-z][a-z0-9_\-]+')) AS t FROM s),
+size AS (SELECT doc_id, i, count(*) AS size FROM tok GROUP BY ALL),
+tf AS (SELECT doc_id, i, n, t, count(*) AS tf FROM tok WHERE t NOT IN ({sql_list(T.STOPWORDS)}) GROUP BY ALL),
+df AS (SELECT doc_id, t, count(*) AS df FROM tf GROUP BY ALL),
+v AS (SELECT doc_id, i, t, tf * (1 + greatest(0, ln((1 + n) / (1 + df)))) AS x FROM tf JOIN df USING (doc_id, t)),
+norm AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm, sum(x) AS total FROM v GROUP BY ALL),
+r AS (SELECT s.doc_id, s.i, s.s, 0.75 * coalesce(total, 0) / greatest(5, coalesce(size, 0)) AS rel, coalesce(norm, 1.0) AS norm FROM s LEFT JOIN size USING (doc_id, i) LEFT JOIN norm USING (doc_id, i)),
+c1 AS (SELECT doc_id, i, s, norm, s AS told FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(rel, 9) DESC, i) = 1),
+d1 AS (SELECT a.doc_id, a.i, sum(a.x * b.x) AS dot FROM v a JOIN c1 ON a.doc_id = c1.doc_id JOIN v b ON b.doc_id = c1.doc_id AND b.i = c1.i AND b.t = a.t GROUP BY ALL),
+r2 AS (SELECT r.*, coalesce(dot / (r.norm * c1.norm), 0) AS sim, c1.i AS i1, c1.told FROM r JOIN c1 USING (doc_id) LEFT JOIN d1 ON d1.doc_id = r.doc_id AND d1.i = r.i),
+c2 AS (SELECT doc_id, i, norm, told || ' ' || s AS told FROM r2 WHERE i <> i1 AND length(told) < 360 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(rel - 0.25 * sim, 9) DESC, i) = 1),
+d2 AS (SELECT a.doc_id, a.i, sum(a.x * b.x) AS dot FROM v a JOIN c2 ON a.doc_id = c2.doc_id JOIN v b ON b.doc_id = c2.doc_id AND b.i = c2.i AND b.t = a.t GROUP BY ALL),
+r3 AS (SELECT r2.* EXCLUDE (sim, told), greatest(sim, coalesce(dot / (r2.norm * c2.norm), 0)) AS sim, c2.i AS i2, c2.told FROM r2 JOIN c2 USING (doc_id) LEFT JOIN d2 ON d2.doc_id = r2.doc_id AND d2.i = r2.i),
+c3 AS (SELECT doc_id, told || ' ' || s AS told FROM r3 WHERE i <> i1 AND i <> i2 AND length(told) < 360 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(rel - 0.25 * sim, 9) DESC, i) = 1),
+told AS (SELECT doc_id, coalesce(c3.told, c2.told, c1.told, '') AS told FROM kept LEFT JOIN c1 USING (doc_id) LEFT JOIN c2 USING (doc_id) LEFT JOIN c3 USING (doc_id))
+SELECT doc_id, CASE WHEN length(told) <= 360 THEN trim(told) WHEN contains(told[:360], ' ') THEN trim(told[:360 - strpos(reverse(told[:360]), ' ')]) ELSE told[:360] END AS summary FROM told"""
+
+
+@FAMILY.add(_SUMMARY_SQL)
 def extractive_summaries(spark, sf_dir):
-    """Sentence selection by relevance and difference (a fold; tested on small cases)."""
+    """Sentences chosen by relevance and difference from every whole document's sentences."""
     docs = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
     return chunks.summarise_texts(docs, "s").select("doc_id", "summary")

@@ -148,14 +148,28 @@ def normalise_elements(elements: DataFrame) -> DataFrame:
 
 
 def enrich_with_layout(content: DataFrame, layout: DataFrame) -> DataFrame:
-    """Content rows (img_path) with the layout box of the same file name, else of a name that contains it."""
+    """Content rows (img_path) with the layout box of the same file name, else of a name that contains its stem.
+
+    Names are those of a document where both tables have ``doc_id``; the first name in order counts. Names that contain
+    another are found by an index of their short pieces: a stem asks for the rarest of its own, and only names that
+    have it are compared.
+    """
     base = lambda c: F.substring_index(c, "/", -1)
-    boxes = layout.select(base(F.col("img_path")).alias("file"), F.col("bbox").alias("exact_box")).dropDuplicates(["file"])
-    rows = content.withColumn("file", base(F.col("img_path"))).join(boxes, "file", "left")
-    stem = F.regexp_replace("file", r"\.[^.]+$", "")
-    near = layout.select(F.regexp_replace(base(F.col("img_path")), r"\.[^.]+$", "").alias("other"), F.col("bbox").alias("near_box"))
-    loose = rows.where("exact_box IS NULL AND file IS NOT NULL").select("file", stem.alias("stem")).distinct().join(near, F.col("other").contains(F.col("stem"))).groupBy("file").agg(F.min_by("near_box", "other").alias("near_box"))
-    return rows.join(loose, "file", "left").withColumn("bbox", F.coalesce("exact_box", "near_box")).drop("file", "exact_box", "near_box")
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
+    own = ["doc_id"] if "doc_id" in content.columns and "doc_id" in layout.columns else []
+    named = layout.select(*own, base(F.col("img_path")).alias("file"), "img_path", "bbox").where("file IS NOT NULL")
+    boxes = named.groupBy(*own, "file").agg(F.min_by("bbox", "img_path").alias("exact_box"))
+    rows = content.withColumn("file", base(F.col("img_path"))).join(boxes, [*own, "file"], "left")
+    loose = rows.where("exact_box IS NULL").select(*own, "file", stem(F.col("file")).alias("stem")).where("stem <> ''").distinct()
+    others = named.select(*own, stem(F.col("file")).alias("other"), "bbox").groupBy(*own, "other").agg(F.min_by("bbox", "other").alias("near_box"))
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, n)))
+    index = others.select(*own, "other", F.explode(F.flatten(F.array(*(pieces(F.col("other"), F.lit(n)) for n in (1, 2, 3))))).alias("piece")).distinct()
+    often = index.groupBy(*own, "piece").agg(F.count("*").alias("n"))
+    asked = loose.select(*own, "file", "stem", F.explode(pieces(F.col("stem"), F.least(F.lit(3), F.length("stem")))).alias("piece"))
+    rarest = asked.join(often, [*own, "piece"], "left").groupBy(*own, "file", "stem").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    found = rarest.join(index, [*own, "piece"]).where(F.contains("other", F.col("stem"))).join(others, [*own, "other"])
+    near = found.groupBy(*own, "file").agg(F.min_by("near_box", "other").alias("near_box"))
+    return rows.join(near, [*own, "file"], "left").withColumn("bbox", F.coalesce("exact_box", "near_box")).drop("file", "exact_box", "near_box")
 
 
 #: Columns of question samples: what is asked, the gold answer, and what a run adds.

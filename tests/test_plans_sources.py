@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,27 @@ def test_step_cache(spark, tmp_path):
 
     every, new = memoised(spark.createDataFrame([("a", "x"), ("b", "y")], "key string, request string"), known, call)
     assert asked == ["b"] and {r.response for r in every.collect()} == {"A", "B"} and new.count() == 1
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def model(x):
+        calls.add(1)
+        return x + str(uuid.uuid4())
+
+    twice = spark.createDataFrame([("c", "x"), ("d", "y"), ("c", "x")], "key string, request string")
+    every, new = memoised(twice, known, lambda df: df.select("key", model("request").alias("response")))
+    used = {r.key: r.response for r in every.collect()}
+    assert calls.value == 2 and {r.key: r.response for r in new.collect()} == used and every.count() == 3 and calls.value == 2
+
+
+def test_layout_names_stay_in_their_document(spark):
+    """Equal names in two documents; the plan compares no name with all others."""
+    content = spark.createDataFrame([("a", "x/1.png"), ("b", "x/1.png"), ("a", "2.png"), ("b", "no.png"), ("a", None)], "doc_id string, img_path string")
+    layout = spark.createDataFrame([("a", "1.png", [1.0]), ("b", "1.png", [2.0]), ("b", "y/2.png", [3.0]), ("a", "fig_2_b.png", [4.0]), ("a", "fig_2_a.png", [5.0])], "doc_id string, img_path string, bbox array<double>")
+    out = io.enrich_with_layout(content, layout)
+    assert {(r.doc_id, r.img_path): r.bbox for r in out.collect()} == {("a", "x/1.png"): [1.0], ("b", "x/1.png"): [2.0], ("a", "2.png"): [5.0], ("b", "no.png"): None, ("a", None): None}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_streaming_view(spark, tmp_path):

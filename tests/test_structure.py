@@ -101,6 +101,70 @@ def test_section_chunks_stay_on_their_page(spark):
     assert [(r.page_idx, list(r.source_node_ids)) for r in out] == [(0, ["n0", "n1"]), (0, ["n2"]), (1, ["n3", "n4"]), (1, ["n5"]), (2, ["n6"])]
 
 
+def chunked(units, most, overlap):
+    """Sections packed unit by unit, as lists of (ids, page, text)."""
+    out, held = [], []
+    for node, page, text in units:
+        if not (text or "").strip():
+            continue
+        text = text.strip()
+        if held and held[-1][1] is not None and held[-1][1] != page:
+            out.append(held)
+            held = []
+        if held and sum(len(t) for _, _, t in held) + len(text) > most:
+            out.append(held)
+            tail, n = [], 0
+            for u in reversed(held):
+                if n + len(u[2]) + 1 > overlap:
+                    break
+                tail.insert(0, u)
+                n += len(u[2]) + 1
+            held = tail
+        held = [*held, (node, page, text)]
+    return [*out, held] if held else out
+
+
+def test_section_chunks_keep_whole_units(spark):
+    """Overlaps are whole units with their ids; blanks, nulls, null pages and units longer than a chunk included."""
+    import random
+
+    rng = random.Random(3)
+    sections = {}
+    for s in range(12):
+        page = 0
+        sections[f"s{s}"] = []
+        for i in range(rng.randrange(1, 40)):
+            page = None if rng.random() < 0.05 else (page or 0) + (rng.random() < 0.15)
+            sections[f"s{s}"].append((f"n{i}", page, rng.choice([None, " \t", "x" * rng.randrange(1, 90), "é" * 30, "w " * rng.randrange(1, 60), "y" * 500])))
+    rows = [("d", s, "P", i, p, n, t) for s, us in sections.items() for i, (n, p, t) in enumerate(us)]
+    df = spark.createDataFrame(rows, "doc_id string, section_id string, section_path string, ord int, page_idx int, node_id string, text string")
+    got = {}
+    for r in chunks.section_chunks(df.repartition(5), most=200, overlap=90).orderBy("section_id", "chunk_idx").collect():
+        got.setdefault(r.section_id, []).append((list(r.source_node_ids), r.text))
+    want = {s: [([n for n, _, _ in c], "[P]\n" + "\n".join(t for _, _, t in c)) for c in found] for s, us in sections.items() if (found := chunked(us, 200, 90))}
+    assert got == want and any(a[0][-1] == b[0][0] for cs in want.values() for a, b in zip(cs, cs[1:], strict=False))
+    assert chunks.section_chunks(df.limit(0)).count() == 0
+
+
+def test_trees_of_any_depth(spark):
+    """Forty levels of headings, of nested nodes and of parents: none is lost or moved."""
+    from docloom.operators import tree
+
+    items = spark.createDataFrame([("d", i, "text", f"h{i}", i + 1, 0) for i in range(40)] + [("d", 40, "text", "body", None, 0)], "doc_id string, ord int, type string, text string, text_level int, page_idx int")
+    rows = {r.ord: r for r in tree.build_tree(items, levels=None).collect()}
+    assert all(rows[i].parent_id == f"sec_{i - 1}" and len(rows[i].ancestors) == i for i in range(1, 41))
+    assert {r.ord for r in tree.build_tree(items, levels=40).collect()} == set(rows)
+    with pytest.raises(Exception, match="deeper than levels=12"):
+        tree.build_tree(items).collect()
+    node = '{"node_id": "n39"}'
+    for i in reversed(range(39)):
+        node = f'{{"node_id": "n{i}", "children": [{node}]}}'
+    flat = {r.node_id: r.parent_id for r in tree.flatten_nested(spark.createDataFrame([("d", node)], "doc_id string, root string")).collect()}
+    assert flat == {"n0": None} | {f"n{i}": f"n{i - 1}" for i in range(1, 40)}
+    plain = spark.createDataFrame([("d", f"n{i}", f"n{i - 1}" if i else None) for i in range(20)], "doc_id string, node_id string, parent_id string")
+    assert tree.ancestors(plain).count() == sum(range(20))
+
+
 def test_leaf_blocks(spark):
     rows = [("d", "s", 0, f"t_{i}", "y" * n) for i, n in enumerate([100, 100, 100, 900, 10])]
     df = spark.createDataFrame(rows, "doc_id string, parent_section string, page_idx int, node_id string, raw_text string")
@@ -119,3 +183,10 @@ def test_summaries():
     s = ["Cats eat fish every single day.", "Cats eat fish every single day again.", "Dogs prefer bones to anything else."]
     assert chunks.summarise(s, k=2, budget=200).count(".") == 2 and "Dogs" in chunks.summarise(s, k=2, budget=200)
     assert chunks.summarise([], k=2) == "" and len(chunks.summarise(["a b c d e f g h " * 20], budget=50)) <= 50
+    assert set(chunks.sentence_idf(["the cat and it", "a cat of the dogs"])) == {"cat", "dogs"}  # stop words have no weight
+    # the order of choice, not of the text; the last choice may pass the budget and is cut
+    words = ["ordinary words about nothing much here", "zebra quagga okapi tapir gnu", "zebra quagga okapi tapir gnu again"]
+    assert chunks.summarise(words, k=1).startswith("zebra") and chunks.summarise(words, k=2).split(" ordinary")[0].startswith("zebra")
+    assert chunks.summarise(words, k=3, budget=30) == "zebra quagga okapi tapir gnu" and len(chunks.summarise(words, k=3, budget=40)) <= 40
+    alike = ["alpha beta gamma delta epsilon", "zeta eta theta iota kappa"]
+    assert chunks.summarise(alike, k=1) == alike[0] and chunks.summarise(alike, k=1, keywords=("Iota",)) == alike[1]
