@@ -1,4 +1,4 @@
-"""What a retrieval back end has to offer, and the two that come with the package."""
+"""What a retrieval back end has to offer, and those that come with the package."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from typing import Protocol, runtime_checkable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import index, retrieval
+from docloom.operators import index, retrieval, vector_index
 from docloom.sources.io import write_view
 
 
@@ -82,3 +82,33 @@ class VectorBackend(Backend):
     def load(self, spark: SparkSession, path: str) -> VectorBackend:
         self.vectors = spark.read.parquet(f"{path}/vectors")
         return self
+
+
+class ListBackend(VectorBackend):
+    """Cosine over lists of vectors by centroid: the ``probes`` lists most like a query, or all that can hold a hit."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[float]]] | None = None, *, probes: int = 8, exact: bool = False):
+        super().__init__(encode)
+        self.probes, self.exact, self.index = probes, exact, None
+
+    def build(self, rows: DataFrame) -> ListBackend:
+        super().build(rows)
+        self.index = vector_index.build(self.vectors)
+        return self
+
+    def search(self, query: str, *, k: int = 20) -> DataFrame:
+        spark = self.index.lists.sparkSession
+        asked = spark.createDataFrame([(0, index.encode_query(spark, query, self.encode))], "query_id int, embedding array<double>")
+        return self.search_all(asked, k=k).select("node_id", "score")
+
+    def search_all(self, queries: DataFrame, *, k: int = 20) -> DataFrame:
+        """The top k of every row of a query table (query_id, embedding)."""
+        return vector_index.search(self.index, queries, k=k, probes=self.probes, exact=self.exact)
+
+    def persist(self, path: str) -> None:
+        self.index.persist(path)
+
+    def load(self, spark: SparkSession, path: str) -> ListBackend:
+        self.index = vector_index.load(spark, path)
+        self.vectors = self.index.lists
+        return self

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import graph, pack, retrieval
+from docloom.operators import graph, pack, retrieval, vector_index
 from docloom.queries.base import Family, table
 
 FAMILY = Family()
@@ -110,6 +110,13 @@ def dense_search_all(spark, sf_dir):
     return retrieval.nearest(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), k=100, roles=[0, 2]).select("query_id", "node_id", "role", F.round("score", 6).alias("score"))
 
 
+@FAMILY.add(f"WITH {_ALL_SQL.format(tiny='1e-8', where='true')} SELECT query_id, node_id, role, round(score, 6) AS score FROM placed WHERE place <= 50")
+def vector_index_search_all(spark, sf_dir):
+    """Top 50 vectors by cosine of every query row from lists by centroid: those most like it, then all that could hold a better one."""
+    built = vector_index.build(_vectors(spark, sf_dir))
+    return vector_index.search(built, _vector_queries(spark, sf_dir), k=50, probes=8, exact=True).select("query_id", "node_id", "role", F.round("score", 6).alias("score"))
+
+
 @FAMILY.add(f"WITH {_ALL_SQL.format(tiny='1e-8', where='role = 1')} SELECT query_id, node_id, round(score, 6) AS score FROM placed WHERE place <= 20")
 def dense_search_roles_first_all(spark, sf_dir):
     """Top 20 vectors of one role by cosine of every query row."""
