@@ -51,37 +51,39 @@ def chunk_texts(rows: DataFrame, *, text_col: str = "text", limit: int = 600, ov
 def leaf_blocks(leaves: DataFrame, *, least: int = 280, most: int = 720, overlap: int = 80) -> DataFrame:
     """Raw blocks of leaves (doc_id, parent_section, page_idx, node_id, raw_text): merged, then split.
 
-    Leaves of a section and page, in the order of their ids as texts, are joined until a block has
-    ``least`` characters; blocks over ``most`` are split with an overlap.
+    Leaves of a section and page, in the order of their ids as texts (of ``orig_node_id`` and ``chunk_idx`` first, where
+    they are given), are joined by a space until a block has ``least`` characters; a leaf without text only opens a
+    block. Blocks over ``most`` are split with an overlap, up to a piece that is blank. Texts keep their blanks. The
+    leaves of a section and page are one array, folded with the block so far as state.
     """
+    origin = F.coalesce("orig_node_id", F.lit("")) if "orig_node_id" in leaves.columns else F.col("node_id")
+    place = F.coalesce(F.col("chunk_idx").cast("int"), F.lit(0)) if "chunk_idx" in leaves.columns else F.lit(0)
+    leaf = F.struct(origin.alias("o"), place.alias("c"), F.col("node_id").alias("id"), F.coalesce("raw_text", F.lit("")).alias("t"))
+    kind = "array<struct<id:string,t:string>>"
+    groups = leaves.groupBy("doc_id", "parent_section", "page_idx").agg(F.transform(F.array_sort(F.collect_list(leaf)), lambda u: F.struct(u["id"].alias("id"), u["t"].alias("t"))).cast(kind).alias("leaves"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node_id")
-        out, held, ids = [], "", []
-
-        def emit():
-            for i, start in enumerate(range(0, max(1, len(held)), most - overlap)):
-                piece = held[start : start + most]
-                if piece.strip() and (i == 0 or start + overlap < len(held)):
-                    out.append((ids[0], len(out), piece.strip(), list(ids)))
-
-        for node, text in zip(group["node_id"], group["raw_text"], strict=True):
-            held, ids = f"{held} {text or ''}".strip(), [*ids, node]
-            if len(held) >= least:
-                emit()
-                held, ids = "", []
-        if held:
-            emit()
-        first = group.iloc[0]
-        frame = pd.DataFrame(out, columns=["node_id", "block_idx", "raw_text", "source_ids"])
-        frame.insert(0, "page_idx", first["page_idx"])
-        frame.insert(0, "parent_section", first["parent_section"])
-        frame.insert(0, "doc_id", first["doc_id"])
-        return frame
-
-    kind = dict(leaves.dtypes)
-    schema = f"doc_id {kind['doc_id']}, parent_section string, page_idx {kind['page_idx']}, node_id string, block_idx int, raw_text string, source_ids array<string>"
-    return leaves.groupBy("doc_id", "parent_section", "page_idx").applyInPandas(fold, schema)
+    def step(state, u):
+        held, n = state["held"], F.length(u["t"])
+        opens, full = F.size(held) == 0, state["n"] >= least
+        kept = F.when(opens | full, F.array(u)).when(n == 0, held).otherwise(F.concat(held, F.array(u)))
+        size = F.when(opens | full, n).when(n == 0, state["n"]).otherwise(state["n"] + n + 1)
+        return F.struct(kept.alias("held"), size.alias("n"), F.when(~opens & full, F.concat(state["out"], F.array(held))).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.array().cast(kind).alias("held"), F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("out"))
+    blocks = F.aggregate("leaves", start, step, lambda s: F.concat(s["out"], F.array(s["held"])))
+    stride = most - overlap
+
+    def split(block):
+        joined = F.array_join(F.filter(F.transform(block, lambda u: u["t"]), lambda t: t != ""), " ")
+        more = F.ceil(F.greatest(F.lit(0), F.length(joined) - most) / F.lit(stride)).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), more), lambda i: F.substring(joined, i * stride + 1, F.lit(most)))
+        blank = F.array_position(F.transform(pieces, lambda p: ~p.rlike(r"\S")), True)
+        told = F.when(blank > 0, F.slice(pieces, F.lit(1), (blank - 1).cast("int"))).otherwise(pieces)
+        ids = F.transform(block, lambda u: u["id"])
+        return F.transform(told, lambda p: F.struct(F.get(ids, F.lit(0)).alias("node_id"), p.alias("raw_text"), ids.alias("source_ids")))
+
+    out = groups.select("doc_id", "parent_section", "page_idx", F.posexplode(F.flatten(F.transform(blocks, split))).alias("block_idx", "b"))
+    return out.select("doc_id", "parent_section", "page_idx", "b.node_id", "block_idx", "b.raw_text", "b.source_ids")
 
 
 def section_chunks(units: DataFrame, *, most: int = 1800, overlap: int = 300, across_pages: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.operators.keys import shared
 
 
 def filter_nodes(nodes: DataFrame, *, role: str | None = None, filters: list[dict] = (), scope: DataFrame | None = None) -> DataFrame:
@@ -143,32 +144,29 @@ def align_in_order(entries: DataFrame, candidates: DataFrame, *, window: int = 2
     """Contents entries matched to candidates in order: ``doc_id, ord, match_ord``.
 
     A pointer moves through the candidates; each entry takes the most similar of the next ``window`` (token
-    Jaccard), if it is similar enough, and the pointer goes behind it. The pointer makes it a fold over one
-    document's entries.
+    Jaccard; the first of equal ones), if it is ``least`` similar, and the pointer goes behind it. A document's entries
+    are folded with the pointer as state, over its candidates as an array.
     """
-    import pandas as pd
+    words = lambda c: F.array_distinct(T.tokens(c, T.PLAIN_TOKEN))
+    kind = dict(candidates.dtypes)["ord"]
+    pack = lambda df, text: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", words(F.col(text)).alias("w")))).alias(text))
+    both = pack(entries.select("doc_id", "ord", "title"), "title").join(pack(candidates.select("doc_id", "ord", "text"), "text"), "doc_id", "left")
+    listed = F.coalesce("text", F.array().cast(f"array<struct<ord:{kind},w:array<string>>>"))
 
-    kinds = dict(entries.dtypes)
-    entries, candidates = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (entries, candidates))  # both may come from one table
+    def step(state, entry):
+        def scored(c, i):
+            union = F.size(F.array_union(c["w"], entry["w"]))
+            like = F.when(union > 0, F.size(F.array_intersect(c["w"], entry["w"])) / union).otherwise(0.0)
+            return F.struct(like.alias("like"), (-i).alias("i"), c["ord"].alias("ord"))
 
-    def tokens(s: str) -> set[str]:
-        return set("".join(ch if ch.isascii() and (ch.isalnum() or ch.isspace()) else " " for ch in (s or "").lower()).split())
+        best = F.array_max(F.transform(F.slice(listed, state["at"] + 1, F.lit(window)), scored))
+        found = F.coalesce(best["like"] >= least, F.lit(False))
+        match = F.struct(entry["ord"].alias("ord"), F.when(found, best["ord"]).cast("long").alias("match_ord"))
+        return F.struct(F.when(found, state["at"] - best["i"] + 1).otherwise(state["at"]).alias("at"), F.concat(state["out"], F.array(match)).alias("out"))
 
-    def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("ord")
-        words, orders, at, out = [tokens(t) for t in right["text"]], list(right["ord"]), 0, []
-        for row in left.sort_values("ord").itertuples():
-            mine, best, score = tokens(row.title), None, least
-            for i in range(at, min(at + window, len(words))):
-                union = mine | words[i]
-                s = len(mine & words[i]) / len(union) if union else 0.0
-                if s > score or (s == score and best is None and s >= least):
-                    best, score = i, s
-            out.append((row.doc_id, row.ord, None if best is None else orders[best]))
-            at = at if best is None else best + 1
-        return pd.DataFrame(out, columns=["doc_id", "ord", "match_ord"]).astype({"match_ord": "Int64"})
-
-    return entries.groupBy("doc_id").cogroup(candidates.groupBy("doc_id")).applyInPandas(fold, f"doc_id {kinds['doc_id']}, ord {kinds['ord']}, match_ord long")
+    own = dict(entries.dtypes)["ord"]
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<ord:{own},match_ord:bigint>>").alias("out"))
+    return both.select("doc_id", F.inline(F.aggregate("title", start, step, lambda s: s["out"])))
 
 
 def outline(headings: DataFrame, *, most: int = 200) -> DataFrame:
@@ -220,8 +218,12 @@ def unite(*frames: DataFrame) -> DataFrame:
 
 
 def blocks_by_id(blocks: DataFrame, ids: DataFrame) -> DataFrame:
-    """Blocks (node_id, ...) of the wanted ids (node_id, ord), with their place; a wanted id without block is left out."""
-    return blocks.join(ids.select("node_id", "ord").dropDuplicates(["node_id"]), "node_id")
+    """Blocks (node_id, ...) of the wanted ids (node_id, ord), with their first place; a wanted id without block is left out.
+
+    Ids are those of a document where both tables have ``doc_id``.
+    """
+    own = shared(blocks, ids)
+    return blocks.join(ids.groupBy(*own).agg(F.min("ord").alias("ord")), own)
 
 
 def allowed_top(hits: DataFrame, allowed: DataFrame, k: int) -> DataFrame:

@@ -34,12 +34,12 @@ def _run(catalog: Catalog, *steps: ir.Node):
 
 @FAMILY.add(
     f"""WITH {TREE_SQL} SELECT DISTINCT n.doc_id, n.node_id, 0.7::DOUBLE AS score FROM nodes n JOIN nodes s ON s.doc_id = n.doc_id AND s.node_id = n.parent_id
-WHERE n.type = 'image' AND contains(lower(s.title), 'license')"""
+WHERE n.type = 'image' AND contains(lower(s.title), 'and')"""
 )
 def catalog_headings_children(spark, sf_dir):
-    """Of every document: the images under headings that name a licence."""
+    """Of every document: the images under headings that have the letters of a keyword."""
     catalog = _catalog(spark, sf_dir, "summary", "edges")
-    return _run(catalog, ir.Node("toc_anchor.locate", {"keywords": ("license",)}, "heads"), ir.Node("structure.children", {}, "kids", ("heads",))).select("doc_id", "node_id", "score")
+    return _run(catalog, ir.Node("toc_anchor.locate", {"keywords": ("and",)}, "heads"), ir.Node("structure.children", {}, "kids", ("heads",))).select("doc_id", "node_id", "score")
 
 
 @FAMILY.add(

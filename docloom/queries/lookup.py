@@ -78,9 +78,38 @@ def lookup_page_text(spark, sf_dir):
     return lookup.page_text(table(spark, sf_dir, "supplier").select("s_suppkey", F.concat("s_name", F.lit("\n x \n"), "s_name").alias("text")), most=15)
 
 
-@FAMILY.add()
+@FAMILY.add(
+    rf"""WITH RECURSIVE {ITEMS_SQL},
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM items),
+e AS (SELECT doc_id, ord, w, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM w WHERE text_level = 1),
+c AS (SELECT doc_id, list({{'ord': ord, 'w': w}} ORDER BY ord) AS c FROM w WHERE type = 'text' GROUP BY doc_id),
+f AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS pos, NULL::BIGINT AS ord, NULL::BIGINT AS match_ord FROM (SELECT DISTINCT doc_id FROM e)
+  UNION ALL SELECT doc_id, k, CASE WHEN best.s >= 0.5 THEN best.i ELSE pos END, ord, CASE WHEN best.s >= 0.5 THEN c[best.i].ord END
+  FROM (SELECT f.doc_id, e.k, f.pos, e.ord, c.c, list_reduce(list_transform(range(f.pos + 1, least(f.pos + 20, len(c.c)) + 1), lambda i: {{'s': coalesce(len(list_intersect(c.c[i].w, e.w)) / nullif(len(list_distinct(list_concat(c.c[i].w, e.w))), 0), 0), 'i': i}}), lambda a, b: CASE WHEN b.s > a.s THEN b ELSE a END, {{'s': -1.0::DOUBLE, 'i': 0::BIGINT}}) AS best
+        FROM f JOIN e ON e.doc_id = f.doc_id AND e.k = f.k + 1 JOIN c ON c.doc_id = f.doc_id))
+SELECT doc_id, ord, match_ord FROM f WHERE k > 0"""
+)
 def lookup_align_in_order(spark, sf_dir):
-    """Contents entries aligned in order (a fold; tested against its definition)."""
+    """Contents entries aligned with the texts of every document, in order."""
     rows = items(spark, sf_dir)
     entries = rows.where("text_level = 1").select("doc_id", "ord", F.col("text").alias("title"))
-    return lookup.align_in_order(entries, rows.where("type = 'text'").select("doc_id", "ord", "text"))
+    found = lookup.align_in_order(entries, rows.where("type = 'text'").select("doc_id", "ord", "text"))
+    return found.select("doc_id", F.col("ord").cast("long").alias("ord"), "match_ord")
+
+
+@FAMILY.add("WITH w AS (SELECT l_orderkey AS doc_id, 'n' || l_linenumber AS node_id, min(l_partkey) AS ord FROM lineitem WHERE l_quantity > 40 GROUP BY ALL), b AS (SELECT DISTINCT l_orderkey AS doc_id, 'n' || l_linenumber AS node_id FROM lineitem) SELECT b.doc_id, b.node_id, ord FROM b JOIN w USING (doc_id, node_id)")
+def lookup_blocks_by_id(spark, sf_dir):
+    """Blocks by id inside each document, with the first place that asks for them."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("n"), "l_linenumber").alias("node_id"), F.col("l_partkey").alias("ord"), "l_quantity")
+    return lookup.blocks_by_id(rows.select("doc_id", "node_id").distinct(), rows.where("l_quantity > 40")).select("doc_id", "node_id", "ord")
+
+
+@FAMILY.add(
+    """WITH h AS (SELECT o_custkey AS doc_id, (o_orderkey % 13)::INT AS page_idx, max(o_totalprice)::DOUBLE AS score FROM orders GROUP BY ALL)
+SELECT doc_id, page_idx, round(score, 2) AS score FROM h WHERE (doc_id + page_idx) % 3 > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page_idx) <= 2"""
+)
+def lookup_allowed_top(spark, sf_dir):
+    """The best two pages of each document among those that are allowed."""
+    hits = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 13).cast("int").alias("page_idx")).agg(F.max("o_totalprice").cast("double").alias("score"))
+    allowed = hits.where((F.col("doc_id") + F.col("page_idx")) % 3 > 0)
+    return lookup.allowed_top(hits, allowed.select("doc_id", "page_idx"), 2).select("doc_id", "page_idx", F.round("score", 2).alias("score"))

@@ -170,12 +170,27 @@ def section_chunks(spark, sf_dir):
     return out.select("doc_id", "section_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("page_idx").cast("long").alias("page_idx"), F.length("text").cast("long").alias("n_chars"), F.array_join("source_node_ids", ",").alias("ids"))
 
 
-@FAMILY.add()
+# One leaf after another: a block of enough characters is given out when the next leaf comes.
+_LEAF_BLOCK_SQL = f"""WITH RECURSIVE {TREE_SQL},
+u AS (SELECT doc_id, coalesce(parent_id, 'root') AS sec, page_idx, row_number() OVER (PARTITION BY doc_id, coalesce(parent_id, 'root'), page_idx ORDER BY node_id) AS k, node_id AS id, coalesce(text, '') AS t FROM nodes WHERE type = 'text'),
+f AS (SELECT doc_id, sec, page_idx, k, [t] AS held, [id] AS ids, length(t) AS n, CASE WHEN false THEN [t] END AS out, CASE WHEN false THEN [id] END AS out_ids FROM u WHERE k = 1
+  UNION ALL SELECT f.doc_id, f.sec, f.page_idx, u.k, CASE WHEN f.n >= 280 THEN [u.t] WHEN u.t = '' THEN held ELSE list_append(held, u.t) END, CASE WHEN f.n >= 280 THEN [u.id] WHEN u.t = '' THEN ids ELSE list_append(ids, u.id) END,
+    CASE WHEN f.n >= 280 THEN length(u.t) WHEN u.t = '' THEN f.n ELSE f.n + length(u.t) + 1 END, CASE WHEN f.n >= 280 THEN held END, CASE WHEN f.n >= 280 THEN ids END
+  FROM f JOIN u ON f.doc_id = u.doc_id AND f.sec = u.sec AND f.page_idx = u.page_idx AND u.k = f.k + 1),
+b AS (SELECT doc_id, sec, page_idx, k, array_to_string(list_filter(out, lambda x: x <> ''), ' ') AS t, out_ids AS ids FROM f WHERE out IS NOT NULL
+  UNION ALL SELECT doc_id, sec, page_idx, 1000000000, array_to_string(list_filter(arg_max(held, k), lambda x: x <> ''), ' '), arg_max(ids, k) FROM f GROUP BY ALL),
+p AS (SELECT *, list_transform(range(0, ceil(greatest(0, length(t) - 720) / 640)::BIGINT + 1), lambda i: substr(t, i * 640 + 1, 720)) AS pieces FROM b),
+e AS (SELECT doc_id, sec, page_idx, k, ids, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i, coalesce(nullif(list_position(list_transform(pieces, lambda x: NOT regexp_matches(x, '\\S')), true), 0), 1000000000) AS blank FROM p)
+SELECT doc_id, sec AS parent_section, page_idx::BIGINT AS page_idx, (row_number() OVER (PARTITION BY doc_id, sec, page_idx ORDER BY k, i) - 1)::BIGINT AS block_idx, length(piece)::BIGINT AS n_chars, array_to_string(ids, ',') AS ids FROM e WHERE i + 1 < blank"""
+
+
+@FAMILY.add(_LEAF_BLOCK_SQL)
 def leaf_blocks(spark, sf_dir):
-    """Raw leaf blocks (a fold; tested against its definition)."""
+    """Raw leaf blocks of the sections and pages of all trees, with the ids of their leaves."""
     n = nodes(spark, sf_dir).where("type = 'text'")
     rows = n.select("doc_id", F.coalesce("parent_id", F.lit("root")).alias("parent_section"), "page_idx", "node_id", F.col("text").alias("raw_text"))
-    return chunks.leaf_blocks(rows).select("doc_id", "parent_section", "page_idx", "block_idx", F.length("raw_text").alias("n_chars"))
+    out = chunks.leaf_blocks(rows)
+    return out.select("doc_id", "parent_section", F.col("page_idx").cast("long").alias("page_idx"), F.col("block_idx").cast("long").alias("block_idx"), F.length("raw_text").cast("long").alias("n_chars"), F.array_join("source_ids", ",").alias("ids"))
 
 
 # The greedy choice written out for three sentences: each takes the best of relevance less likeness to those before it.

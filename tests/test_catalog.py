@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from docloom.operators import index
 from docloom.operators.keys import key
 from docloom.plans import ask, ir
-from docloom.plans.executor import Context, Executor, default_registry, execute_policy
+from docloom.plans.executor import Context, Executor, execute_policy
 from tests.test_views_tools import nodes  # noqa: F401  the fixture
 
 DOCS = ("a", "b", "c")
@@ -47,21 +47,20 @@ def rows(df):
     return sorted((str({c: getattr(r, c) for c in sorted(df.columns)}) for r in df.collect()), key=str)
 
 
-def context(spark, path, doc_id=None):
-    catalog = index.load_catalog(spark, path, doc_id=doc_id)
-    ctx = Context(catalog)
-    kept = catalog.nodes.select("doc_id", "node_id", F.lit(1.0).alias("score"), F.col("caption"))
-    if "hits" not in ctx.results:
-        ctx.results["hits"] = kept
-    return ctx
+@pytest.fixture(scope="module")
+def contexts(spark, many):
+    """The whole index (None) and each of its documents, with all nodes as hits."""
+    out = {}
+    for doc_id in (None, *DOCS):
+        catalog = index.load_catalog(spark, many, doc_id=doc_id)
+        out[doc_id] = Context(catalog, {"hits": catalog.nodes.select("doc_id", "node_id", F.lit(1.0).alias("score"), F.col("caption"))})
+    return out
 
 
-@pytest.mark.parametrize("tool", TOOLS)
-def test_whole_index_gives_every_document_its_own_hits(spark, many, tool):
+@pytest.mark.parametrize("tool", sorted(set(TOOLS) - {"chart_index.search"}))
+def test_whole_index_gives_every_document_its_own_hits(contexts, tool):
     """Tools whose scores do not depend on the rest of the corpus: the whole index is the union of its documents."""
-    if tool == "chart_index.search":
-        pytest.skip("statistics of the corpus: below")
-    run = lambda doc_id: Executor(retries=0).run(context(spark, many, doc_id), ir.Node(tool, TOOLS[tool], "out"))
+    run = lambda doc_id: Executor(retries=0).run(contexts[doc_id], ir.Node(tool, TOOLS[tool], "out"))
     whole, single = run(None), [run(d) for d in DOCS]
     assert all(o.status == "ok" for o in [whole, *single]), whole.error
     assert key(whole.rows) == ["doc_id", "node_id"]
@@ -69,9 +68,9 @@ def test_whole_index_gives_every_document_its_own_hits(spark, many, tool):
 
 
 @pytest.mark.parametrize("tool", ["bm25_node.search", "hybrid.search", "chart_index.search"])
-def test_searches_with_statistics_of_the_index(spark, many, tool):
+def test_searches_with_statistics_of_the_index(contexts, tool):
     args = TOOLS.get(tool) or {"query": "latency over time", "k": 100}
-    out = Executor(retries=0).run(context(spark, many), ir.Node(tool, args, "out"))
+    out = Executor(retries=0).run(contexts[None], ir.Node(tool, args, "out"))
     assert out.status == "ok", out.error
     found = [(r.doc_id, r.node_id) for r in out.rows.collect()]
     assert len(found) == len(set(found)) and {d for d, _ in found} >= {"a"}
@@ -81,21 +80,19 @@ def test_searches_with_statistics_of_the_index(spark, many, tool):
         assert same and len({d for d, _ in found}) >= 2
 
 
-def test_equal_nodes_are_not_one(spark, many):
+def test_equal_nodes_are_not_one(contexts):
     """Two documents with the same title under the same id: two hits, each with its own score."""
-    ctx = context(spark, many)
-    both = [r for r in Executor().run(ctx, ir.Node("toc_anchor.locate", {"keywords": ()}, "out")).rows.collect() if r.node_id == "sec_0"]
+    both = [r for r in Executor().run(contexts[None], ir.Node("toc_anchor.locate", {"keywords": ()}, "out")).rows.collect() if r.node_id == "sec_0"]
     assert sorted(r.doc_id for r in both) == ["a", "b", "c"]
 
 
-def test_ids_alone_mean_the_nodes_of_every_document(spark, many):
-    ctx = context(spark, many)
-    out = Executor(retries=0).run(ctx, ir.Node("structure.expand", {"node_ids": ["sec_0"], "include_self": True}, "out")).rows
+def test_ids_alone_mean_the_nodes_of_every_document(contexts):
+    out = Executor(retries=0).run(contexts[None], ir.Node("structure.expand", {"node_ids": ["sec_0"], "include_self": True}, "out")).rows
     assert {r.doc_id for r in out.where("node_id = 'sec_0'").collect()} == set(DOCS)
 
 
-def test_policies_and_questions(spark, many):
-    catalog = index.load_catalog(spark, many)
+def test_policies_and_questions(contexts):
+    catalog = contexts[None].catalog
     label = catalog.labels.head()
     found = execute_policy({"strategy": "direct_label", "labels": [label.label], "k": 5}, catalog).collect()
     assert {(r.doc_id, r.node_id) for r in found} == {(r.doc_id, r.node_id) for r in catalog.labels.where(F.col("label") == label.label).collect()}
@@ -106,13 +103,13 @@ def test_policies_and_questions(spark, many):
     assert said["evidence"] and all("/" in e for e in said["evidence"]) and all(len(v) == 2 for v in memory.visited)
 
 
-def test_layout_prunes_and_joins_without_exchange(spark, many):
+def test_layout_prunes_and_joins_without_exchange(spark, contexts):
     """One document reads one bucket of four; views meet on their keys without a shuffle."""
-    one = index.load_catalog(spark, many, doc_id="b")
+    one = contexts["b"].catalog
     spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # or plans without joins do not say what they skip
     assert "SelectedBucketsCount: 1 out of 4" in one.nodes.select("node_id")._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
-    whole = index.load_catalog(spark, many)
+    whole = contexts[None].catalog
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

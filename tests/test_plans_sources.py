@@ -169,6 +169,19 @@ def test_step_cache(spark, tmp_path):
     assert calls.value == 2 and {r.key: r.response for r in new.collect()} == used and every.count() == 3 and calls.value == 2
 
 
+def test_samples_round_trip(spark, tmp_path):
+    """Samples read, joined with the pages found for them, written and read again: best pages first, at most k."""
+    lines = [{"doc_id": "a", "question": "q1", "answer": "x", "evidence_pages": [1]}, {"doc_id": "b", "question": "q1"}, {"doc_id": "b", "question": "q2", "retrieved_pages": [9]}]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\nnot json\n")
+    samples = io.read_samples(spark, f"{tmp_path}/in.jsonl")
+    ids = {(r.doc_id, r.question): r.sample_id for r in samples.collect()}
+    assert len(ids) == len(set(ids.values())) == 3
+    hits = spark.createDataFrame([(ids["a", "q1"], p, s) for p, s in ((4, 0.5), (2, 0.9), (7, 0.5))] + [(ids["b", "q1"], 1, 0.1)], "sample_id string, page_idx int, score double")
+    io.write_samples(samples, hits, f"{tmp_path}/out", k=2)
+    back = {(r.doc_id, r.question): (r.retrieved_pages, r.retrieved_scores, r.answer) for r in io.read_samples(spark, f"{tmp_path}/out").collect()}
+    assert back == {("a", "q1"): ([2, 4], [0.9, 0.5], "x"), ("b", "q1"): ([1], [0.1], None), ("b", "q2"): (None, None, None)}
+
+
 def test_layout_names_stay_in_their_document(spark):
     """Equal names in two documents; the plan compares no name with all others."""
     content = spark.createDataFrame([("a", "x/1.png"), ("b", "x/1.png"), ("a", "2.png"), ("b", "no.png"), ("a", None)], "doc_id string, img_path string")
