@@ -188,17 +188,29 @@ def sentences(c: Column, *, least: int = 20, most: int = 30) -> Column:
 def hints(c: Column, k: int = 6) -> Column:
     """Up to k keywords: listed words first, then others by frequency, ties by first place.
 
-    Counts by comparing tokens, so for titles and snippets; whole texts go through :func:`text_hints`.
+    The text is tokenised once; equal tokens are counted as runs of the sorted ones, so long titles stay linear.
     """
-    found = tokens(c, SUMMARY_TOKEN)
-    listed = F.filter(found, lambda t: t.isin(*HINT_WORDS))
-    rest = F.filter(found, lambda t: ~t.isin(*STOPWORDS) & (F.length(t) >= 3))
-    counted = F.transform(
-        F.array_distinct(rest),
-        lambda t, i: F.struct((-F.size(F.filter(rest, lambda x: x == t))).alias("n"), i.alias("i"), t.alias("t")),
-    )
-    ordered = F.slice(F.transform(F.array_sort(counted), lambda s: s["t"]), 1, max(k, 10))
-    return F.slice(F.array_distinct(F.concat(listed, ordered)), 1, k)
+    none = F.array().cast("array<string>")
+
+    def of_tokens(found: Column) -> Column:
+        rest = F.filter(found, lambda t: ~t.isin(*STOPWORDS) & (F.length(t) >= 3))
+        placed = F.array_sort(F.transform(rest, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+        ordered = F.transform(let(placed, lambda s: let(_run_starts(s), lambda starts: _run_lengths(s, starts))), lambda x: x["t"])
+        return F.slice(F.array_distinct(F.concat(F.filter(found, lambda t: t.isin(*HINT_WORDS)), F.slice(ordered, 1, max(k, 10)))), 1, k)
+
+    return F.coalesce(let(tokens(c, SUMMARY_TOKEN), of_tokens), none)
+
+
+def _run_starts(s: Column) -> Column:
+    """Of sorted structs (t, i): the first of each run of equal ``t``, with its place ``at``."""
+    marked = F.transform(s, lambda x, j: F.struct(x["t"].alias("t"), x["i"].alias("i"), j.alias("at"), F.coalesce(F.get(s, j - 1)["t"] != x["t"], F.lit(True)).alias("first")))
+    return F.filter(marked, lambda x: x["first"])
+
+
+def _run_lengths(s: Column, starts: Column) -> Column:
+    """Runs as structs (n, i, t), longest first; ``n`` is the negated length."""
+    end = lambda m: F.coalesce(F.get(starts, m + 1)["at"], F.size(s))
+    return F.array_sort(F.transform(starts, lambda x, m: F.struct((x["at"] - end(m)).alias("n"), x["i"].alias("i"), x["t"].alias("t"))))
 
 
 def text_hints(rows: DataFrame, text_col: str, *, key: str = "node_id", k: int = 6) -> DataFrame:

@@ -129,3 +129,17 @@ def test_html_tables_in_frames(spark):
     df = spark.createDataFrame([(HTML,), (None,)], "h string")
     out = df.select(html.parse_table("h").alias("t"), html.table_markdown("h").alias("m")).collect()
     assert len(out[0].t["rows"]) == 2 and out[1].t["columns"] == []
+
+
+def test_hints_of_long_titles_are_counted_in_linear_time(value):
+    """Every distinct word used to run the tokeniser over the whole text again."""
+    import time
+    from collections import Counter
+
+    words = [f"w{'abcdefghij'[n % 10]}{n}" for i in range(20_000) for n in [i % 15_000]]
+    began = time.perf_counter()
+    found = value(T.hints(L(" ".join(["axis", *words, "wz wz wz the"]))))
+    assert time.perf_counter() - began < 30
+    first = {w: i for i, w in reversed(list(enumerate(words)))}
+    best = sorted(Counter(words).items(), key=lambda x: (-x[1], first[x[0]]))
+    assert found == ["axis", *(w for w, _ in best[:5])]
