@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -147,12 +148,16 @@ def normalise_elements(elements: DataFrame) -> DataFrame:
     return elements.withColumn("type", kind).withColumn("page", F.coalesce(*names, F.lit(0)))
 
 
+#: Layout names of a document up to which all are compared with each of its content names.
+FEW_NAMES = 64
+
+
 def enrich_with_layout(content: DataFrame, layout: DataFrame) -> DataFrame:
     """Content rows (img_path) with the layout box of the same file name, else of a name that contains its stem.
 
-    Names are those of a document where both tables have ``doc_id``; the first name in order counts. Names that contain
-    another are found by an index of their short pieces: a stem asks for the rarest of its own, and only names that
-    have it are compared.
+    Names are those of a document where both tables have ``doc_id``; the first name in order counts. Documents of at
+    most ``FEW_NAMES`` names have them compared outright. Else names that contain another are found by an index of their
+    short pieces: a stem asks for the rarest of its own, and only names that have it are compared.
     """
     base = lambda c: F.substring_index(c, "/", -1)
     stem = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
@@ -162,12 +167,20 @@ def enrich_with_layout(content: DataFrame, layout: DataFrame) -> DataFrame:
     rows = content.withColumn("file", base(F.col("img_path"))).join(boxes, [*own, "file"], "left")
     loose = rows.where("exact_box IS NULL").select(*own, "file", stem(F.col("file")).alias("stem")).where("stem <> ''").distinct()
     others = named.select(*own, stem(F.col("file")).alias("other"), "bbox").groupBy(*own, "other").agg(F.min_by("bbox", "other").alias("near_box"))
+    small = []
+    if own:
+        counts = others.groupBy(*own).agg(F.count("*").alias("__n"))
+        counted = others.join(counts, own)
+        few, others = counted.where(F.col("__n") <= FEW_NAMES).drop("__n"), counted.where(F.col("__n") > FEW_NAMES).drop("__n")
+        small = [loose.join(few, own).where(F.contains("other", F.col("stem"))).select(*own, "file", "other", "near_box")]
+        loose = loose.join(counts.where(F.col("__n") > FEW_NAMES), own, "left_semi")
     pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, n)))
     index = others.select(*own, "other", F.explode(F.flatten(F.array(*(pieces(F.col("other"), F.lit(n)) for n in (1, 2, 3))))).alias("piece")).distinct()
     often = index.groupBy(*own, "piece").agg(F.count("*").alias("n"))
     asked = loose.select(*own, "file", "stem", F.explode(pieces(F.col("stem"), F.least(F.lit(3), F.length("stem")))).alias("piece"))
     rarest = asked.join(often, [*own, "piece"], "left").groupBy(*own, "file", "stem").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
-    found = rarest.join(index, [*own, "piece"]).where(F.contains("other", F.col("stem"))).join(others, [*own, "other"])
+    found = rarest.join(index, [*own, "piece"]).where(F.contains("other", F.col("stem"))).join(others, [*own, "other"]).select(*own, "file", "other", "near_box")
+    found = reduce(DataFrame.unionByName, small, found)
     near = found.groupBy(*own, "file").agg(F.min_by("near_box", "other").alias("near_box"))
     return rows.join(near, [*own, "file"], "left").withColumn("bbox", F.coalesce("exact_box", "near_box")).drop("file", "exact_box", "near_box")
 

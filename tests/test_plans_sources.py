@@ -211,3 +211,19 @@ def test_streaming_windows(spark, tmp_path):
     q.awaitTermination()
     batch = ingest.windowed_counts(spark.read.parquet(path))
     assert {tuple(r)[:3] for r in spark.table("win").collect()} == {tuple(r)[:3] for r in batch.collect()}
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_layout_names_of_small_documents_are_compared_outright(spark, monkeypatch, few):
+    """A document of many names uses the index of pieces, others none of it; both find the first name that contains a stem."""
+    monkeypatch.setattr(io, "FEW_NAMES", few)
+    names = [("a", f"page_{i}_x.jpg") for i in range(70)] + [("b", "page_3_x.jpg"), ("b", "page_3_a.jpg"), ("c", "3.png")]
+    content = [(d, f"in/{n}.png") for d in "abcd" for n in ("3", "page_6", "69_x")]
+    layout = spark.createDataFrame([(d, n, [float(i)]) for i, (d, n) in enumerate(names)], "doc_id string, img_path string, bbox array<double>")
+    found = io.enrich_with_layout(spark.createDataFrame(content, "doc_id string, img_path string"), layout).collect()
+    want = {}
+    for d, p in content:
+        stem = p[3:-4]
+        held = sorted((n != stem + ".png", n.rsplit(".", 1)[0], i) for i, (x, n) in enumerate(names) if x == d and stem in n)
+        want[d, p] = [float(held[0][2])] if held else None
+    assert {(r.doc_id, r.img_path): r.bbox for r in found} == want and len(found) == len(content)
