@@ -64,8 +64,7 @@ SELECT field, term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM p GROUP BY
 def bm25f_postings(spark, sf_dir):
     """Document and collection frequency of every term by field."""
     posted = retrieval.postings(_docs(spark, sf_dir), ["title", "body"])
-    total = posted.groupBy("field", "term").agg(F.sum("tf").alias("cf"))
-    return retrieval.document_frequency(posted).join(total, ["field", "term"]).select("field", "term", "df", "cf")
+    return retrieval.document_frequency(posted).select("field", "term", "df", "cf")
 
 
 @FAMILY.add(
