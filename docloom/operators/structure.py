@@ -135,9 +135,12 @@ def toc_matches(entries: DataFrame, candidates: DataFrame, *, least: float = 0.3
 
     Entries without a candidate of at least ``least`` keep a null ``match_ord``: a heading is to be put in.
     """
-    words = lambda c: T.caption_tokens(F.col(c))
-    pairs = entries.withColumnRenamed("ord", "entry_ord").join(candidates.select("doc_id", F.col("logical_page").alias("page"), "ord", "text"), ["doc_id", "page"])
-    scored = pairs.withColumn("similarity", T.jaccard(words("title"), words("text"))).where(F.col("similarity") >= least)
+    words = lambda c: F.array_distinct(T.caption_tokens(F.col(c)))
+    asked = entries.select("doc_id", "page", F.col("ord").alias("entry_ord"), words("title").alias("a"))
+    pairs = asked.join(candidates.select("doc_id", F.col("logical_page").alias("page"), "ord", words("text").alias("b")), ["doc_id", "page"])
+    common = pairs.select("doc_id", "entry_ord", "ord", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("both"))
+    likeness = F.when(F.col("both") == 0, F.lit(0.0)).otherwise(F.col("common") / F.nullif(F.col("both") - F.col("common"), F.lit(0)))
+    scored = common.withColumn("similarity", likeness).where(F.col("similarity") >= least)
     best = scored.groupBy("doc_id", "entry_ord").agg(F.max(F.struct("similarity", (-F.col("ord")).alias("o"))).alias("b"))
     found = best.select("doc_id", F.col("entry_ord").alias("ord"), (-F.col("b.o")).alias("match_ord"), F.col("b.similarity").alias("similarity"))
     return entries.join(found, ["doc_id", "ord"], "left")
