@@ -174,8 +174,11 @@ def sentence_idf(sentences: list[str]) -> dict[str, float]:
 
 
 def sentence_idfs(rows: DataFrame, sentences_col: str, *keys: str) -> DataFrame:
-    """:func:`sentence_idf` of every row's array of sentences: ``keys, word, df, idf``; ``keys`` name a row."""
-    each = rows.select(*keys, F.size(sentences_col).alias("n"), F.explode(sentences_col).alias("sentence"))
+    """:func:`sentence_idf` of every row's array of sentences: ``keys, word, df, idf``; ``keys`` name a row.
+
+    Rows are dealt by their keys first, so that sentences are exchanged once, not the words of each.
+    """
+    each = rows.select(*keys, sentences_col).repartition(*keys).select(*keys, F.size(sentences_col).alias("n"), F.explode(sentences_col).alias("sentence"))
     single = each.select(*keys, "n", F.explode(F.array_distinct(T.tokens(F.col("sentence"), T.SUMMARY_TOKEN))).alias("word")).where(~F.col("word").isin(*STOP))
     idf = 1 + F.greatest(F.lit(0.0), F.ln((1 + F.col("n")) / (1 + F.col("df"))))
     return single.groupBy(*keys, "n", "word").agg(F.count("*").alias("df")).select(*keys, "word", "df", idf.alias("idf"))
