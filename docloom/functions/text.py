@@ -137,10 +137,15 @@ def first_year(*values: Column) -> Column:
 
 def label(c: Column) -> Column:
     """Struct (kind, label, number) of the first figure label, else the first table label, else nulls."""
-    figure, table = F.regexp_extract(text(c), FIGURE_LABEL, 1), F.regexp_extract(text(c), TABLE_LABEL, 1)
-    number = F.when(figure != "", figure).when(table != "", table)
-    kind = F.when(figure != "", F.lit("figure")).when(table != "", F.lit("table"))
-    return F.struct(kind.alias("kind"), F.concat(F.initcap(kind), F.lit(" "), number).alias("label"), number.alias("number"))
+    found = F.struct(F.regexp_extract(text(c), FIGURE_LABEL, 1).alias("figure"), F.regexp_extract(text(c), TABLE_LABEL, 1).alias("table"))
+
+    def named(m: Column) -> Column:
+        figure, table = m["figure"], m["table"]
+        number = F.when(figure != "", figure).when(table != "", table)
+        kind = F.when(figure != "", F.lit("figure")).when(table != "", F.lit("table"))
+        return F.struct(kind.alias("kind"), F.concat(F.initcap(kind), F.lit(" "), number).alias("label"), number.alias("number"))
+
+    return let(found, named)
 
 
 def caption_aliases(c: Column) -> Column:
@@ -214,8 +219,11 @@ def _run_lengths(s: Column, starts: Column) -> Column:
 
 
 def text_hints(rows: DataFrame, text_col: str, *, key: str = "node_id", k: int = 6) -> DataFrame:
-    """``key, hints`` of whole texts, by exploding and counting their tokens; a key's row is missing if it has none."""
-    words = rows.select(key, F.posexplode(tokens(F.col(text_col), SUMMARY_TOKEN)).alias("i", "t"))
+    """``key, hints`` of whole texts, by exploding and counting their tokens; a key's row is missing if it has none.
+
+    Texts are dealt by key first, so that they are exchanged once and their tokens are counted where they lie.
+    """
+    words = rows.select(key, text_col).repartition(key).select(key, F.posexplode(tokens(F.col(text_col), SUMMARY_TOKEN)).alias("i", "t"))
     counted = words.groupBy(key, "t").agg(F.count("*").alias("n"), F.min("i").alias("i"))
     listed = F.col("t").isin(*HINT_WORDS)
     usable = counted.where(listed | (~F.col("t").isin(*STOPWORDS) & (F.length("t") >= 3)))
@@ -269,7 +277,8 @@ def simple_stem(c: Column) -> Column:
 
 def with_bigrams(words: Column) -> Column:
     """Tokens followed by their adjacent pairs ``a_b``."""
-    return F.concat(words, F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.filter(words, lambda _, i: i > 0), lambda a, b: F.concat(a, F.lit("_"), b)))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.filter(w, lambda _, i: i > 0), lambda a, b: F.concat(a, F.lit("_"), b))
+    return let(words, lambda w: F.concat(w, pairs(w)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
