@@ -182,5 +182,5 @@ SELECT doc_id, count(*) AS n_words, round(sum(1 + greatest(0, ln((1 + n) / (1 +
 )
 def text_sentence_idf(spark, sf_dir):
     """Sum of the sentence IDF of each document's words, stop words left out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"([^.!?\n]+[.!?])"), F.lit(1)).alias("s"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.regexp_extract_all("text", F.lit(r"([^.!?\n]+[.!?]?)"), F.lit(1)), lambda x: F.substring(x, -1, 1).isin(".", "!", "?")).alias("s"))  # a run without an end is passed over at once
     return chunks.sentence_idfs(docs, "s", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.round(F.sum("idf"), 6).alias("idf_sum"))
