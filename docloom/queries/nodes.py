@@ -126,7 +126,7 @@ def html_tables(spark, sf_dir):
     """HTML tables as columns and rows, as Markdown and as a preview."""
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     text = F.concat(F.lit("<table><tr><th>Name</th><th>Price</th><th>Price</th><th> </th></tr><tr>"), cell(F.col("p_name")), cell(F.col("p_size").cast("string")), cell(F.lit("9")), F.lit("</tr></table>"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), text.alias("h"))
+    rows = html.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey").select(F.col("p_partkey").alias("k"), text.alias("h"))
     parsed = rows.select("k", html.parse_table("h").alias("t"), html.table_markdown("h").alias("markdown"))
     return parsed.select("k", F.array_join("t.columns", "|").alias("columns"), F.array_join(F.get("t.rows", F.lit(0)), "|").alias("first"), "markdown", lookup.table_preview(F.col("t.columns"), F.col("t.rows")).alias("preview"))
 

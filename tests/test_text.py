@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +146,22 @@ def test_hints_of_long_titles_are_counted_in_linear_time(value):
     first = {w: i for i, w in reversed(list(enumerate(words)))}
     best = sorted(Counter(words).items(), key=lambda x: (-x[1], first[x[0]]))
     assert found == ["axis", *(w for w, _ in best[:5])]
+
+
+def test_plain_tables_are_read_as_by_the_parser(monkeypatch):
+    rng = random.Random(5)
+    pieces = ["<table>", "</table>", "<thead>", "</thead>", "<tbody>", "</tbody>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", "<br>", "</br>", " a ", "b\r\nc", "1 > 0", "]]>", "é"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(2000)]
+    fed = []
+    monkeypatch.setattr(html._Reader, "feed", lambda self, data: fed.append(data))
+    plain = [html.read_rows(t) for t in texts]
+    assert not fed
+    monkeypatch.undo()
+    monkeypatch.setattr(html, "_PLAIN", re.compile("(?!)"))
+    assert plain == [html.read_rows(t) for t in texts]
+
+
+def test_tables_of_one_file_are_parsed_by_many_tasks(spark):
+    from docloom import catalog
+
+    assert catalog.QUERIES["html_tables"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
