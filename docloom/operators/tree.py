@@ -17,6 +17,8 @@ from docloom.session import stored
 
 #: Heading levels that are told apart without looking at the items first.
 MOST_LEVELS = 12
+#: Bytes of items that one task sorts.
+TASK_BYTES = 32 << 20
 # Id prefixes by item type.
 PREFIX = {"section": "sec_", "text": "t_", "paragraph": "t_", "image": "img_", "table": "tab_", "caption": "cap_", "equation": "eq_", "list": "lst_"}
 
@@ -25,6 +27,18 @@ def in_order(*by: str) -> Window:
     return Window.partitionBy("doc_id").orderBy(*(by or ("ord",)))
 
 
+def by_document(items: DataFrame) -> DataFrame:
+    """Items dealt by document over so many tasks that one sorts some ``TASK_BYTES`` of them, or one longer document.
+
+    A job sums their sizes first; the session's number of shuffle partitions would give each task more as the input grows.
+    """
+    if items.isStreaming:
+        return items
+    size = F.lit(100) + (F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in items.columns else F.lit(0))
+    total = items.agg(F.sum(size.cast("long"))).head()[0] or 0
+    return items.repartition(max(items.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)), "doc_id")
+
+
 def reindex(items: DataFrame, *, order: str = "ord", column: str = "node_idx") -> DataFrame:
     """Number the rows of each document from 0 in their order, with ids ``doc#n``."""
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1
@@ -52,11 +66,17 @@ def with_layout(items: DataFrame, blocks: DataFrame) -> DataFrame:
 
     ``blocks`` has ``doc_id, page_idx, pos, bbox``; pages numbered from 1 are shifted to 0.
     """
-    first = blocks.groupBy("doc_id").agg(F.min("page_idx").alias("lowest"))
-    shifted = blocks.join(first, "doc_id").select("doc_id", (F.col("page_idx") - F.when(F.col("lowest") == 1, 1).otherwise(0)).alias("page_idx"), F.col("pos").alias("place"), F.col("bbox").alias("block_bbox"))
-    place = F.row_number().over(Window.partitionBy("doc_id", "page_idx").orderBy("ord")) - 1
-    joined = items.withColumn("place", place).join(shifted, ["doc_id", "page_idx", "place"], "left")
-    return joined.withColumn("bbox", F.coalesce("block_bbox", "bbox")).drop("place", "block_bbox")
+    item = F.struct(*items.columns)
+    left = items.select("doc_id", "page_idx", "ord", F.lit(None).cast("long").alias("place"), item.alias("item"), F.lit(None).cast(blocks.schema["bbox"].dataType).alias("block_bbox"))
+    right = blocks.where("doc_id IS NOT NULL AND page_idx IS NOT NULL").select("doc_id", "page_idx", F.lit(None).alias("ord"), F.col("pos").cast("long").alias("place"), F.lit(None).alias("item"), F.col("bbox").alias("block_bbox"))
+    block = F.col("item").isNull()
+    lowest = F.min(F.when(block, F.col("page_idx"))).over(Window.partitionBy("doc_id"))
+    rows = by_document(left.union(right)).withColumn("page_idx", F.col("page_idx") - F.when(block & (lowest == 1), 1).otherwise(0)).withColumn("block", block)
+    place = F.row_number().over(Window.partitionBy("doc_id", "page_idx", "block").orderBy("ord")) - 1
+    placed = rows.withColumn("place", F.when(F.col("block"), F.col("place")).otherwise(place))
+    boxes = F.collect_list(F.when(F.col("block"), F.struct("block_bbox"))).over(Window.partitionBy("doc_id", "page_idx", "place"))
+    joined = placed.withColumn("boxes", boxes).where(~F.col("block")).withColumn("boxes", F.when(F.col("doc_id").isNotNull() & F.col("page_idx").isNotNull(), F.col("boxes")))
+    return joined.select("item.*", F.explode_outer("boxes").alias("b")).withColumn("bbox", F.coalesce("b.block_bbox", "bbox")).drop("b")
 
 
 def misaligned_pages(items: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -239,23 +239,15 @@ def layout_shifted_pages(spark, sf_dir):
     from pyspark.sql import Window
 
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 3).cast("int").alias("page_idx"))
-    pos = F.row_number().over(Window.partitionBy("doc_id", "page_idx").orderBy("ord")) - 1
     own = o.withColumn("bbox", F.array(F.lit(-1.0)))
-    lowest = o.groupBy("doc_id").agg(F.min("page_idx").alias("lo"))
-    blocks = o.withColumn("pos", pos).where("pos % 2 = 0").join(lowest, "doc_id")
+    pos = F.row_number().over(Window.partitionBy("doc_id", "page_idx").orderBy("ord")) - 1
+    placed = tree.by_document(o).withColumn("lo", F.min("page_idx").over(Window.partitionBy("doc_id"))).withColumn("pos", pos)
     box = F.array((F.col("doc_id") * 1000 + F.col("page_idx") * 100 + F.col("pos")).cast("double"))
     shift = F.when(F.col("lo") == 0, 1).otherwise(0)  # documents without a page 0 are left as they are, for their lowest page is not 1 by numbering
-    blocks = blocks.where("lo = 0").select("doc_id", (F.col("page_idx") + shift).alias("page_idx"), "pos", box.alias("bbox")).unionByName(blocks.where("lo > 0").select("doc_id", (F.col("page_idx") + F.when(F.col("lo") == 1, 1).otherwise(0)).alias("page_idx"), "pos", box.alias("bbox")).where("false"))
-    joined = tree.with_layout(own, blocks.unionByName(_late(o, pos, box)))
-    return joined.select("doc_id", "ord", F.col("bbox")[0].alias("x0"))
-
-
-def _late(o, pos, box):
-    """Blocks of documents without a page 0: an empty block on page 0 keeps their numbering."""
-    lowest = o.groupBy("doc_id").agg(F.min("page_idx").alias("lo")).where("lo > 0")
-    rows = o.withColumn("pos", pos).where("pos % 2 = 0").join(lowest, "doc_id").select("doc_id", "page_idx", "pos", box.alias("bbox"))
-    mark = lowest.select("doc_id", F.lit(0).alias("page_idx"), F.lit(9999).alias("pos"), F.array(F.lit(0.0)).alias("bbox"))
-    return rows.unionByName(mark)
+    blocks = placed.where("pos % 2 = 0").select("doc_id", (F.col("page_idx") + shift).alias("page_idx"), "pos", box.alias("bbox"))
+    # an empty block on page 0 keeps the numbering of documents without that page
+    mark = o.groupBy("doc_id").agg(F.min("page_idx").alias("lo")).where("lo > 0").select("doc_id", F.lit(0).alias("page_idx"), F.lit(9999).alias("pos"), F.array(F.lit(0.0)).alias("bbox"))
+    return tree.with_layout(own, blocks.unionByName(mark)).select("doc_id", "ord", F.col("bbox")[0].alias("x0"))
 
 
 @FAMILY.add(
