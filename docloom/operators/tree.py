@@ -175,19 +175,26 @@ def slides(items: DataFrame) -> DataFrame:
 
 def slide_titles(items: DataFrame) -> DataFrame:
     """``doc_id, page_idx, title``: the first text of 8 to 80 characters that is no bullet."""
-    fit = items.where((F.col("type") == "text") & F.length(F.trim("text")).between(8, 80) & ~F.trim("text").rlike(r"^[-*•·▪‣]"))
-    return fit.groupBy("doc_id", "page_idx").agg(F.min_by(F.trim("text"), "ord").alias("title"))
+    return items.where(_titles()).groupBy("doc_id", "page_idx").agg(F.min_by(F.trim("text"), "ord").alias("title"))
+
+
+def _titles() -> Column:
+    return (F.col("type") == "text") & F.length(F.trim("text")).between(8, 80) & ~F.trim("text").rlike(r"^[-*•·▪‣]")
 
 
 def slide_tree(items: DataFrame) -> DataFrame:
     """Slides as containers: a container, its title and its items for each page, numbered in pre-order."""
-    numbered = slides(items).join(slide_titles(items), ["doc_id", "page_idx"], "left")
-    pages = numbered.groupBy("doc_id", "page_idx", "slide_number").agg(F.max("title").alias("title"))
-    top = pages.select("doc_id", "page_idx", "slide_number", F.lit(0).alias("layer"), F.lit(-1).alias("ord"), F.lit("slide").alias("type"), F.lit(None).cast("string").alias("text"))
-    title = pages.select("doc_id", "page_idx", "slide_number", F.lit(1).alias("layer"), F.lit(-1).alias("ord"), F.lit("heading").alias("type"), F.coalesce("title", F.concat(F.lit("Slide "), F.col("slide_number"))).alias("text"))
-    body = numbered.select("doc_id", "page_idx", "slide_number", F.lit(2).alias("layer"), "ord", "type", "text")
-    rows = top.unionByName(title).unionByName(body)
-    return rows.withColumn("node_idx", F.row_number().over(in_order("slide_number", "layer", "ord")) - 1).drop("layer")
+    page, order = Window.partitionBy("doc_id", "page_idx").orderBy("ord"), in_order("page_idx", "ord")  # both are met in one sort
+    running, whole = order.rowsBetween(Window.unboundedPreceding, 0), page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    title = F.first(F.when(F.col("page_idx").isNotNull() & F.col("ord").isNotNull() & _titles(), F.trim("text")), ignorenulls=True).over(whole)
+    rows = by_document(items.select("doc_id", "page_idx", "ord", "type", "text")).withColumn("on_page", F.row_number().over(page)).withColumn("title", title)
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("slide_number", F.count_if(F.col("on_page") == 1).over(running).cast("int"))
+    row = lambda ord_, kind, text, n: F.struct(ord_.cast(items.schema["ord"].dataType).alias("ord"), kind.alias("type"), text.alias("text"), n.alias("node_idx"))
+    n = F.col("at") + 2 * F.col("slide_number") - 1
+    top = row(F.lit(-1), F.lit("slide"), F.lit(None).cast("string"), n - 2)
+    title = row(F.lit(-1), F.lit("heading"), F.coalesce("title", F.concat(F.lit("Slide "), F.col("slide_number"))), n - 1)
+    body = row(F.col("ord"), F.col("type"), F.col("text"), n)
+    return rows.select("doc_id", "page_idx", "slide_number", F.inline(F.when(F.col("on_page") == 1, F.array(top, title, body)).otherwise(F.array(body))))
 
 
 def prev_next(nodes: DataFrame, *, order: str = "read_order") -> DataFrame:
