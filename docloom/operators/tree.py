@@ -118,7 +118,7 @@ def parents(items: DataFrame, *, heading: Column | None = None, level: str = "te
     deeper = F.raise_error(F.concat(F.lit("heading level "), depth.cast("string"), F.lit(f" is deeper than levels={levels}")))
     depth = F.when(section & (depth > levels), deeper).otherwise(depth).cast("int")
     before = in_order().rowsBetween(Window.unboundedPreceding, -1)
-    rows = items.withColumn("is_section", section).withColumn("depth_level", depth)
+    rows = by_document(items).withColumn("is_section", section).withColumn("depth_level", depth)
     latest = {n: F.last(F.when(F.col("is_section") & (F.col("depth_level") == n), F.col("ord")), ignorenulls=True).over(before) for n in range(levels + 1)}
     rows = rows.withColumns({f"latest_{n}": c for n, c in latest.items()})
     fits = [F.when(~F.col("is_section") | (F.col("depth_level") > n), F.col(f"latest_{n}")) for n in latest]

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import chunks, structure, tree
 
@@ -190,3 +191,32 @@ def test_summaries():
     assert chunks.summarise(words, k=3, budget=30) == "zebra quagga okapi tapir gnu" and len(chunks.summarise(words, k=3, budget=40)) <= 40
     alike = ["alpha beta gamma delta epsilon", "zeta eta theta iota kappa"]
     assert chunks.summarise(alike, k=1) == alike[0] and chunks.summarise(alike, k=1, keywords=("Iota",)) == alike[1]
+
+
+def test_tasks_hold_so_many_bytes_however_large_the_input(spark, monkeypatch):
+    rows = [(f"d{d}", i, "text", "x" * 900, 1 if i % 4 == 0 else None, i // 3) for d in range(40) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id string, ord int, type string, text string, text_level int, page_idx int")
+    blocks = df.select("doc_id", "page_idx", F.lit(0).alias("pos"), F.lit(5).alias("bbox"))
+    monkeypatch.setattr(tree, "TASK_BYTES", 20_000)
+    for out in (tree.build_tree(df), tree.slide_tree(df)):
+        assert out.rdd.getNumPartitions() == 20
+    assert tree.with_layout(df.withColumn("bbox", F.lit(1)), blocks).rdd.getNumPartitions() == 4
+
+
+def test_slides_without_pages_orders_or_titles(spark):
+    rows = [("d", 0, "text", "- a bullet here", 2), ("d", 1, "text", "the later title", 2), ("d", 2, "text", " a fitting title ", 0), ("d", 3, "image", None, 0), ("d", 4, "text", "no page at all", None), ("e", 0, "text", "short", 7)]
+    df = spark.createDataFrame(rows, "doc_id string, ord int, type string, text string, page_idx int")
+    out = [(r.doc_id, r.node_idx, r.slide_number, r.type, r.text) for r in tree.slide_tree(df).orderBy("doc_id", "node_idx").collect()]
+    assert out == [
+        ("d", 0, 1, "slide", None), ("d", 1, 1, "heading", "Slide 1"), ("d", 2, 1, "text", "no page at all"),
+        ("d", 3, 2, "slide", None), ("d", 4, 2, "heading", "a fitting title"), ("d", 5, 2, "text", " a fitting title "), ("d", 6, 2, "image", None),
+        ("d", 7, 3, "slide", None), ("d", 8, 3, "heading", "the later title"), ("d", 9, 3, "text", "- a bullet here"), ("d", 10, 3, "text", "the later title"),
+        ("e", 0, 1, "slide", None), ("e", 1, 1, "heading", "Slide 1"), ("e", 2, 1, "text", "short"),
+    ]
+
+
+def test_layout_boxes_with_shifts_gaps_and_repeats(spark):
+    items = spark.createDataFrame([("a", 0, 0, 1), ("a", 1, 0, 2), ("a", 2, 1, 3), ("b", 0, 0, 4), ("c", 0, None, 5), ("z", 0, 0, None)], "doc_id string, ord int, page_idx int, bbox int")
+    blocks = spark.createDataFrame([("a", 1, 1, 20), ("a", 2, 0, 30), ("b", 0, 0, 40), ("b", 0, 0, 41), ("c", None, 0, 9), ("y", 0, 0, 8)], "doc_id string, page_idx int, pos int, bbox int")
+    got = sorted((r.doc_id, r.ord, -1 if r.page_idx is None else r.page_idx, r.bbox) for r in tree.with_layout(items, blocks).fillna(-1, ["bbox"]).collect())
+    assert got == [("a", 0, 0, 1), ("a", 1, 0, 20), ("a", 2, 1, 30), ("b", 0, 0, 40), ("b", 0, 0, 41), ("c", 0, -1, 5), ("z", 0, 0, -1)]
