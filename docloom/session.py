@@ -71,3 +71,9 @@ def ship_package(spark: SparkSession) -> None:
             out.write(file, file.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(folder / "docloom.zip"))
     spark.sparkContext._docloom_shipped = True
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Cut Arrow batches to so many rows where the session has Spark's own number: a worker holds a few batches of whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
